@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,14 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends there,
     and a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    out = spark.read.schema(schema).parquet(path)
     out._written_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps whose results are written; it
+    otherwise waits for the driver to happen to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Deletes what written() wrote for df, once nothing reads it any more."""
     path = getattr(df, "_written_path", None)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import SPACE, table, words
+from ledgerlark.llm.common import table, words, written
 
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
@@ -43,8 +43,9 @@ RULES: dict[str, tuple[str, str]] = {
 }
 
 
-def _without(text: str, characters: str) -> str:
-    return f"length({text}) - length(translate({text}, '{characters}', ''))"
+def _count(characters: str) -> Column:
+    """How many characters of a class the text has."""
+    return F.length(F.regexp_replace("_t", f"[^{characters}]+", "")).cast("long")
 
 
 def features(documents: DataFrame) -> DataFrame:
@@ -56,54 +57,49 @@ def features(documents: DataFrame) -> DataFrame:
     """
     # A window's hash sits above its place in one long, so that sorting plain longs brings equal
     # windows together; the words themselves are compared before windows count as equal.
-    bits = "CAST(ceil(log2(size(w) + 1)) AS INT)"
-    packed = (
-        f"array_sort(transform(sequence(0, size(w) - 3), i -> "
-        f"shiftleft(xxhash64(w[i], w[i + 1], w[i + 2]), {bits}) | CAST(i AS BIGINT)))"
-    )
-    mask = f"(shiftleft(1L, {bits}) - 1)"
-    same = (
-        "shiftright(p[k], b) = shiftright(p[k + {d}], b) AND "
-        "w[CAST(p[k] & m AS INT)] = w[CAST(p[k + {d}] & m AS INT)] AND "
-        "w[CAST(p[k] & m AS INT) + 1] = w[CAST(p[k + {d}] & m AS INT) + 1] AND "
-        "w[CAST(p[k] & m AS INT) + 2] = w[CAST(p[k + {d}] & m AS INT) + 2]"
-    )
+    packed = "array_sort(transform(h, (x, i) -> shiftleft(x, b) | CAST(i AS BIGINT)))"
+    same = " AND ".join(f"w[CAST(x & m AS INT) + {i}] = w[CAST(y & m AS INT) + {i}]" for i in range(3))
     found = (
-        "filter(sequence(0, size(p) - 1), k -> "
-        f"(k > 0 AND {same.format(d='(-1)')}) OR (k < size(p) - 1 AND {same.format(d='1')}))"
+        "filter(zip_with(slice(p, 1, size(p) - 1), slice(p, 2, size(p) - 1), (x, y) -> "
+        f"CASE WHEN shiftright(x, b) = shiftright(y, b) AND {same} "
+        "THEN array(x & m, (x & m) + 1, (x & m) + 2, y & m, (y & m) + 1, (y & m) + 2) END), v -> v IS NOT NULL)"
     )
     text = F.coalesce(F.col("text"), F.lit(""))
-    # Spark's \n-split lines that hold a word.
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
+    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    hashes = (
+        "CASE WHEN size(w) >= 4 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) "
+        "ELSE array() END"
+    )
+    # exploding one element keeps the optimizer from computing it again for each use
+    once = lambda c: F.explode(F.array(c))
     return (
         documents.withColumn("_t", text)
-        .withColumn("_s", F.struct(words(text).alias("w"), lines.alias("lines")))
-        .withColumn("w", F.col("_s.w"))
-        .withColumn("p", F.expr(f"CASE WHEN size(w) >= 4 THEN {packed} ELSE array() END"))
-        .withColumn("b", F.expr(bits))
-        .withColumn("m", F.expr(mask))
+        .withColumn("_s", once(F.struct(words(F.col("_t")).alias("w"), lines.alias("l"))))
+        .withColumns({"w": F.col("_s.w"), "_lines": F.col("_s.l")})
+        .withColumn("h", once(F.expr(hashes)))
+        .withColumn("b", F.expr("CAST(ceil(log2(size(w) + 1)) AS INT)"))
+        .withColumn("m", F.expr("shiftleft(1L, b) - 1"))
+        # most texts repeat no window, which the set of their hashes tells at little cost
+        .withColumn("p", once(F.expr(f"CASE WHEN size(array_distinct(h)) < size(h) THEN {packed} ELSE array() END")))
         .withColumn(
             "_again",
-            F.expr(
-                f"CASE WHEN size(p) = 0 THEN 0L ELSE CAST(size(array_distinct(flatten(transform({found}, "
-                "k -> array(p[k] & m, (p[k] & m) + 1, (p[k] & m) + 2))))) AS BIGINT) END"
-            ),
+            F.expr(f"CASE WHEN size(p) = 0 THEN 0L ELSE CAST(size(array_distinct(flatten({found}))) AS BIGINT) END"),
         )
         .withColumn(
             "_f",
             F.struct(
-                F.expr("CAST(size(w) AS BIGINT)").alias("n_words"),
-                F.length(F.regexp_replace("_t", SPACE, "")).cast("long").alias("word_chars"),
-                F.expr(_without("_t", SYMBOLS)).cast("long").alias("n_symbols"),
-                F.expr("CAST(size(_s.lines) - size(array_distinct(_s.lines)) AS BIGINT)").alias("n_dup_lines"),
+                F.size("w").cast("long").alias("n_words"),
+                F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+                _count(SYMBOLS).alias("n_symbols"),
+                (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
                 F.col("_again").alias("n_repeat_words"),
-                F.expr("CAST(size(_s.lines) AS BIGINT)").alias("n_lines"),
-                F.expr("length(_t) - length(regexp_replace(_t, '\\\\p{Lu}', ''))").cast("long").alias("n_upper"),
-                F.expr(_without("_t", ".!?")).cast("long").alias("n_stops"),
-                F.expr("CAST(size(array_distinct(w)) AS BIGINT)").alias("n_distinct"),
+                F.size("_lines").cast("long").alias("n_lines"),
+                _count(r"\p{Lu}").alias("n_upper"),
+                _count(".!?").alias("n_stops"),
+                F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
             ),
         )
-        .drop("_t", "_s", "w", "p", "b", "m", "_again")
+        .drop("_t", "_s", "_lines", "w", "h", "p", "b", "m", "_again")
     )
 
 
@@ -167,17 +163,18 @@ def judge(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of documents with the struct _f of features, _base_failed, _posterior and _kept.
 
     _base_failed: under MIN_WORDS words, or over half of them in repeated windows; such rows are
-    never kept. The texts are read twice, once to count vote patterns, and nothing but those
-    counts is shuffled. Null texts count as empty, repeated rows as rows of their own; columns
-    of any other name pass through. An empty table gives an empty result.
+    never kept. The texts are read once, and the rows with their votes written for the second
+    look; nothing but the counts of vote patterns is shuffled. Null texts count as empty,
+    repeated rows as rows of their own; columns of any other name pass through. An empty table
+    gives an empty result.
     """
-    voted = features(documents).withColumn("_votes", votes())
-    counts = (
-        features(documents.select("text")).select(votes().alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
-    )
-    failed = F.expr(
-        f"_f.n_words < {MIN_WORDS} OR 100 * _f.n_repeat_words > 50 * _f.n_words"
-    )
+    return _judged(features(documents), threshold)
+
+
+def _judged(rows: DataFrame, threshold: float) -> DataFrame:
+    voted = written(rows.withColumn("_votes", votes()), "votes")
+    counts = voted.groupBy(F.col("_votes").alias("votes")).agg(F.count(F.lit(1)).alias("n"))
+    failed = F.expr(f"_f.n_words < {MIN_WORDS} OR 100 * _f.n_repeat_words > 50 * _f.n_words")
     return (
         voted.join(F.broadcast(posteriors(counts)), "_votes", "left")
         .drop("_votes")
@@ -188,7 +185,7 @@ def judge(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge(docs).select(
+    return _judged(features(docs).drop("text"), THRESHOLD).select(
         "doc_id",
         *[F.col(f"_f.{c}").alias(c) for c in _FEATURES],
         F.col("_base_failed").alias("base_failed"),

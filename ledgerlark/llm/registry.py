@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import quality, sharding
+from ledgerlark.llm import decontamination, licenses, near_documents, packing, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op4_minhash_near_dedup": near_documents.op4_minhash_near_dedup,
+    "op5_bounded_packing": packing.op5_bounded_packing,
+    "op6_lexicon_toxicity": toxicity.op6_lexicon_toxicity,
     "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
     "op9_weak_supervision": quality.op9_weak_supervision,
+    "op10_suffix_array_decontamination": decontamination.op10_suffix_array_decontamination,
 }
 
-SQL = {"op8_rendezvous_sharding": sharding.SQL}
+SQL = {
+    "op4_minhash_near_dedup": near_documents.SQL,
+    "op8_rendezvous_sharding": sharding.SQL,
+    "op10_suffix_array_decontamination": decontamination.SQL,
+}
