@@ -21,6 +21,10 @@ from ledgerlark.llm.common import forget, written
 ROUNDS = 3
 
 
+#: Shingles that are hashed at once.
+BLOCK = 1 << 17
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads their bits."""
     x = x ^ (x >> np.uint64(30))
@@ -43,14 +47,24 @@ def band_keys(shingles: np.ndarray, starts: np.ndarray, bands: int, rows: int) -
     A key folds the least values of `rows` universal hash functions over the set. At similarity
     s two sets share a key with probability 1 - (1 - s ** rows) ** bands.
     """
-    factors, summands = family(bands * rows)
+    factors, summands = (x.astype(np.uint32) for x in family(bands * rows))
+    factors |= np.uint32(1)
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
     keys = np.zeros((len(starts), bands), np.uint64)
-    for band in range(bands):
-        key = np.full(len(starts), band + 1, np.uint64)
-        for k in range(band * rows, (band + 1) * rows):
-            values = ((shingles * factors[k] + summands[k]) >> np.uint64(32)).astype(np.uint32)
-            key = mix(key ^ np.minimum.reduceat(values, starts).astype(np.uint64))
-        keys[:, band] = key
+    ends = np.append(starts[1:], len(shingles))
+    first = 0
+    while first < len(starts):  # in blocks that stay in the processor's cache
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + BLOCK, side="right")))
+        part, at = short[starts[first] : ends[last - 1]], starts[first:last] - starts[first]
+        buffer = np.empty_like(part)
+        for band in range(bands):
+            key = np.full(last - first, band + 1, np.uint64)
+            for k in range(band * rows, (band + 1) * rows):
+                np.multiply(part, factors[k], out=buffer)
+                np.add(buffer, summands[k], out=buffer)
+                key = mix(key ^ np.minimum.reduceat(buffer, at).astype(np.uint64))
+            keys[first:last, band] = key
+        first = last
     return keys.view(np.int64)
 
 
