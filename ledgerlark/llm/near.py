@@ -1,9 +1,9 @@
 """Links among near-equal texts, from band keys to components.
 
-Members of a bucket are compared with one member of it at a time, its centre, which then leaves
-the bucket; a bucket whose members are all in one component is done. Groups of near copies so
-cost about one comparison a member and no pair of a group is ever listed. What a few rounds
-leave open is members of different components in one bucket, and those pairs are compared.
+Members of a bucket are compared with a few of its members, its centres, which hashes choose; a
+bucket whose members are all in one component is done. Groups of near copies so cost a few
+comparisons a member and the pairs of a group are never listed. What two rounds leave open is
+members of different components in one bucket, and those pairs are compared, so none is lost.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import forget, written
 
-#: Rounds of comparing buckets with a centre before the open pairs are compared.
-ROUNDS = 3
+#: Rounds of comparing buckets with their centres before the open pairs are compared, and centres
+#: of a bucket in a round.
+ROUNDS, CENTRES = 2, 3
 
 
 #: Shingles that are hashed at once.
@@ -79,20 +80,19 @@ def components(links: DataFrame) -> DataFrame:
     def least(edges: DataFrame) -> DataFrame:
         return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def are_stars(edges: DataFrame) -> bool:
+        # each larger end has one smaller end, which is no larger end itself
+        several = edges.groupBy("u").agg(F.min("v").alias("x"), F.max("v").alias("y")).filter("x <> y").select("u")
+        chained = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+        return several.unionByName(chained).isEmpty()
 
     edges = written(
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    before = None
-    while (now := state(edges)) != before:
-        before = now
+    while not are_stars(edges):
         # large-star over both directions, then small-star over edges from larger to smaller
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            both.join(least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        large = both.join(least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.filter("u > v")
         small = (
             down.join(least(down), "u")
@@ -133,6 +133,13 @@ def _near_size(x: str, y: str, percent: int) -> Column:
     return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
 
 
+def _centres(round_: int) -> list[Column]:
+    """The member whose hash is least, under each of CENTRES hash functions."""
+    return [
+        F.min(F.struct(F.xxhash64("id", F.lit(CENTRES * round_ + k)), "id", "n")).alias(f"c{k}") for k in range(CENTRES)
+    ]
+
+
 def linked(
     bands: DataFrame,
     texts: Callable[[DataFrame], DataFrame],
@@ -146,38 +153,41 @@ def linked(
     can be similar only if the smaller has at least `percent` of the larger's size.
     """
     bands = written(bands, "bands")
-    shared = bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most")
-    open_ = written(bands.join(shared.select("key"), "key").distinct(), "open")
+    names = [f"c{k}" for k in range(CENTRES)]
+    first = bands.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), *_centres(0)).filter("x <> y").drop("x", "y")
+    open_ = written(bands.join(first, "key"), "open")
     forget(bands)
     known = written(texts(open_.select("id").distinct()), "texts")
-    links: DataFrame | None = None
-    found = open_.select(F.col("id").alias("a"), F.col("id").alias("b")).filter("false")
-    comp = found.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    links = comp = None
 
     for k in range(rounds + 1):
-        tagged = open_.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
         if k:
-            split = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-            tagged = written(tagged.join(split.select("key"), "key"), "open")
-            if tagged.isEmpty():
+            tagged = written(
+                open_.select("key", "id", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")),
+                "open",
+            )
+            split = tagged.groupBy("key").agg(
+                F.min("component").alias("x"), F.max("component").alias("y"), *(_centres(k) if k < rounds else ())
+            )
+            open_ = written(tagged.join(split.filter("x <> y").drop("x", "y"), "key"), "open")
+            forget(tagged)
+            if open_.isEmpty():
                 break
         if k < rounds:
-            centre = tagged.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)), "id", "n", "component")).alias("c"))
-            with_centre = tagged.join(centre, "key")
-            pairs = with_centre.filter("id <> c.id AND component <> c.component").filter(_near_size("n", "c.n", percent))
+            centre = open_.select("id", "n", F.explode(F.array_distinct(F.array(*names))).alias("c"))
+            pairs = centre.filter("id <> c.id").filter(_near_size("n", "c.n", percent))
             pairs = pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
         else:
             # the smaller components of a bucket against all of it
-            sizes = tagged.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+            sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
             largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("l"))
-            minor = tagged.join(largest, "key").filter("component <> l.component")
-            other = tagged.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
+            minor = open_.join(largest, "key").filter("component <> l.component")
+            other = open_.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
             pairs = minor.join(other, "key").filter("component <> component2").filter(_near_size("n", "n2", percent))
             pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         new = written(verified(pairs.distinct(), known, similar), "links")
         links = new if links is None else links.unionByName(new)
-        if k < rounds:
-            nxt = written(with_centre.filter("id <> c.id").select("key", "id", "n"), "open")
-            open_ = nxt
+        if k and new.isEmpty():
+            continue
         comp = written(components(links), "components")
     return links, comp
