@@ -10,34 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import decontamination, near_documents, near_lines, packing, quality
-from ledgerlark.llm.common import table, written
+from ledgerlark.llm.common import bound_batches, table, written
 
 #: Stages that decide by fitted or hashed models can't be told in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return quality.judge(docs).filter("_kept").select(*docs.columns)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts each line but the first of its near-equal ones; every document stays."""
+    bound_batches(spark)
     return near_lines.dedup_lines(docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each component, over five-word shingles."""
     found = near_documents.near_duplicates(docs, size=5).filter("NOT kept").select(F.col("doc_id").alias("_copy")).distinct()
+    bound_batches(spark)
     return docs.join(found, F.col("doc_id") == F.col("_copy"), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bound_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -133,11 +133,17 @@ def _near_size(x: str, y: str, percent: int) -> Column:
     return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
 
 
+def _masks(round_: int) -> list[int]:
+    draws = mix(np.arange(1, CENTRES + 1, dtype=np.uint64) + np.uint64(1000 * round_))
+    return [int(x) for x in draws.view(np.int64)]
+
+
 def _centres(round_: int) -> list[Column]:
-    """The member whose hash is least, under each of CENTRES hash functions."""
-    return [
-        F.min(F.struct(F.xxhash64("id", F.lit(CENTRES * round_ + k)), "id", "n")).alias(f"c{k}") for k in range(CENTRES)
-    ]
+    """Members of a bucket, each the least under an order of its own: ids with some bits flipped.
+
+    An id is got back by flipping them again, so that plain longs are aggregated.
+    """
+    return [F.min(F.col("id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"c{k}") for k, m in enumerate(_masks(round_))]
 
 
 def linked(
@@ -174,9 +180,8 @@ def linked(
             if open_.isEmpty():
                 break
         if k < rounds:
-            centre = open_.select("id", "n", F.explode(F.array_distinct(F.array(*names))).alias("c"))
-            pairs = centre.filter("id <> c.id").filter(_near_size("n", "c.n", percent))
-            pairs = pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
+            centre = open_.select("id", F.explode(F.array_distinct(F.array(*names))).alias("c")).filter("id <> c")
+            pairs = centre.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
         else:
             # the smaller components of a bucket against all of it
             sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))

@@ -136,18 +136,19 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
     rows = written(signatures(documents, size), "signatures")
     held = rows.filter("n > 0 AND doc_id IS NOT NULL")
     # equal sets are one node, named by its least doc_id
-    nodes = held.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "keys")).alias("x"))
-    bands = nodes.select(F.explode("x.keys").alias("key"), "id", "n")
+    node_of = written(held.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")), "nodes")
+    first = held.join(node_of, (held["s1"] == node_of["s1"]) & (held["s2"] == node_of["s2"]) & (held["n"] == node_of["n"]) & (F.col("doc_id") == F.col("node")))
+    bands = first.select(F.explode("keys").alias("key"), F.col("node").alias("id"), held["n"])
 
     def texts(ids: DataFrame) -> DataFrame:
         return (
             documents.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
             .join(ids, "id")
-            .dropDuplicates(["id"])
+            .groupBy("id")
+            .agg(F.min("text").alias("text"))
         )
 
     _, comp = linked(bands, texts, similar_documents(size, percent), percent)
-    node_of = held.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
     named = (
         rows.select("doc_id", "n", "s1", "s2")
         .join(node_of, ["s1", "s2", "n"], "left")
