@@ -23,7 +23,7 @@ def binary_metrics(rows: DataFrame, label: str = "label", score: str = "score",
         .groupBy(*by)
         .agg(
             tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"),
-            ((tp + tn) / n).alias("accuracy"),
+            F.try_divide(tp + tn, n).alias("accuracy"),
             F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)).alias("precision"),
             F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)).alias("recall"),
             F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1"),
@@ -87,9 +87,8 @@ def conformal(calibration: DataFrame, test: DataFrame, alpha: float = 0.1, label
     n = calibration.filter(F.col(score).isNotNull()).agg(F.count(F.lit(1))).first()[0]
     level = min(1.0, -(-(n + 1) * (1 - alpha) // 1) / max(n, 1))
     # the smallest value with that share of rows at or below it
-    threshold = calibration.agg(F.percentile_disc(level, wrong) if hasattr(F, "percentile_disc") else F.expr(
-        f"percentile_disc({level}) WITHIN GROUP (ORDER BY CASE WHEN {label} = 1 THEN 1 - {score} ELSE {score} END)"
-    ).alias("threshold"))
+    order = f"CASE WHEN {label} = 1 THEN 1 - {score} ELSE {score} END"
+    threshold = calibration.agg(F.expr(f"percentile_disc({level}) WITHIN GROUP (ORDER BY {order})").alias("threshold"))
     size = F.when(F.col(score) <= F.col("threshold"), 1).otherwise(0) + F.when(1 - F.col(score) <= F.col("threshold"), 1).otherwise(0)
     return test.crossJoin(F.broadcast(threshold)).groupBy("threshold").agg(
         F.avg(F.when(wrong <= F.col("threshold"), 1.0).otherwise(0.0)).alias("coverage"), F.avg(size).alias("mean_set_size")
@@ -109,7 +108,7 @@ def mcnemar(rows: DataFrame, first: str, second: str, label: str = "label", cut:
     a, b = ((F.col(s) >= cut) == y for s in (first, second))
     only = rows.agg(F.count_if(a & ~b).alias("first_only"), F.count_if(~a & b).alias("second_only"))
     off, n = F.abs(F.col("first_only") - F.col("second_only")) - 1, F.col("first_only") + F.col("second_only")
-    return only.withColumn("statistic", F.when(n > 0, F.pow(F.greatest(off, F.lit(0)).cast("double"), F.lit(2.0)) / n).otherwise(0.0))
+    return only.withColumn("statistic", F.coalesce(F.try_divide(F.pow(F.greatest(off, F.lit(0)).cast("double"), F.lit(2.0)), n), F.lit(0.0)))
 
 
 def bootstrap_rate(rows: DataFrame, value: Column, rounds: int = 100, level: float = 0.95, key: str = "txn_id") -> DataFrame:
@@ -125,7 +124,7 @@ def bootstrap_rate(rows: DataFrame, value: Column, rounds: int = 100, level: flo
         rows.select(key, value.cast("double").alias("v"))
         .withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
         .groupBy("round")
-        .agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("m"))
+        .agg(F.try_divide(F.sum(weight * F.col("v")), F.sum(weight)).alias("m"))
     )
     tail = (1 - level) / 2
     return draws.agg(F.avg("m").alias("mean"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
@@ -142,7 +141,7 @@ def psi(reference: DataFrame, actual: DataFrame, column: str, bins: int = 10, fl
 
     both = binned(reference, "e").join(binned(actual, "a"), "bin", "full").na.fill(0)
     over = Window.partitionBy()  # as many rows as bins
-    e, a = (F.greatest(F.col(c) / F.sum(c).over(over), F.lit(floor)) for c in ("e", "a"))
+    e, a = (F.greatest(F.coalesce(F.try_divide(F.col(c), F.sum(c).over(over)), F.lit(0.0)), F.lit(floor)) for c in ("e", "a"))
     return both.withColumn("part", (a - e) * F.ln(a / e)).agg(F.sum("part").alias("psi"), F.count(F.lit(1)).alias("bins"))
 
 
@@ -154,7 +153,7 @@ def ks(reference: DataFrame, actual: DataFrame, column: str) -> DataFrame:
     )
     sums = values.agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
     return _cumulated(values, "x", ["e", "a"]).crossJoin(F.broadcast(sums)).agg(
-        F.max(F.abs((F.col("c_e") + F.col("e")) / F.col("te") - (F.col("c_a") + F.col("a")) / F.col("ta"))).alias("ks")
+        F.max(F.abs(F.try_divide(F.col("c_e") + F.col("e"), "te") - F.try_divide(F.col("c_a") + F.col("a"), "ta"))).alias("ks")
     )
 
 

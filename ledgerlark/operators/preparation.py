@@ -28,7 +28,7 @@ def _long(df: DataFrame, aggregates: dict[str, dict[str, Column]]) -> DataFrame:
 def missing_profile(df: DataFrame) -> DataFrame:
     """column, missing and share."""
     n = F.count(F.lit(1))
-    return _long(df, {c: {"missing": F.count_if(F.col(c).isNull()), "share": F.count_if(F.col(c).isNull()) / n} for c in df.columns})
+    return _long(df, {c: {"missing": F.count_if(F.col(c).isNull()), "share": F.try_divide(F.count_if(F.col(c).isNull()), n)} for c in df.columns})
 
 
 def table_profile(df: DataFrame) -> DataFrame:
