@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,10 @@ ROUNDS, CENTRES = 2, 3
 
 #: Shingles that are hashed at once.
 BLOCK = 1 << 17
+#: Band rows that a task gathers before it sends them, and that a bucket has on average.
+HELD_ROWS, BUCKET_ROWS = 1 << 20, 1 << 20
+#: Ids of one task with a common key above which the key counts as shared there and then.
+LOCAL = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -129,8 +134,80 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: Callable[[], Callable[
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _near_size(x: str, y: str, percent: int) -> Column:
-    return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
+def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, id) in order, and how many ids each one's key has."""
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    if len(keys):
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]
+        keys, ids = keys[new], ids[new]
+    begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+    n = np.diff(np.r_[begins, len(keys)])
+    return keys, ids, np.repeat(n, n)
+
+
+def _route(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Band keys and ids as runs of longs for each bucket of keys.
+
+    A key that many ids of one task share needs no meeting place to be known as shared: its rows
+    go on under a bucket of their own, below 0, and two of them stay for other tasks to meet.
+    """
+
+    def flush(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        keys, ids, n = _distinct(keys, ids)
+        hot = n > LOCAL
+        ends = hot & np.r_[True, keys[1:] != keys[:-1]] | hot & np.r_[keys[1:] != keys[:-1], True]
+        bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        spread = -1 - (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        keys, ids = np.r_[keys, keys[ends]], np.r_[ids, ids[ends]]
+        bucket = np.r_[np.where(hot, spread, bucket), bucket[ends]]
+        order = np.argsort(bucket, kind="stable")
+        keys, ids, bucket = keys[order], ids[order], bucket[order]
+        at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        parts = list(zip(at, [*at[1:], len(bucket)], strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[at], pa.int64()), pa.array([keys[i:j].tobytes() for i, j in parts], pa.binary()), pa.array([ids[i:j].tobytes() for i, j in parts], pa.binary())],
+            names=["bucket", "keys", "ids"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            per = np.diff(lists.offsets.to_numpy())
+            held.append((flat, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), per)))
+            size += len(flat)
+            if size >= HELD_ROWS:
+                yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _meet(rows: pd.DataFrame) -> pd.DataFrame:
+    keys, ids = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("keys", "ids"))
+    if rows["bucket"].iloc[0] >= 0:
+        keys, ids, n = _distinct(keys, ids)
+        keys, ids = keys[n > 1], ids[n > 1]
+    return pd.DataFrame({"key": keys, "id": ids})
+
+
+def shared_keys(items: DataFrame, rows: int) -> DataFrame:
+    """(key, id) of the band keys that several ids have, from items (id, keys) with about `rows` keys.
+
+    Keys cross the network as plain longs, sixteen bytes a row, and most end there.
+    """
+    buckets = max(16, -(-rows // BUCKET_ROWS))
+    return (
+        items.select("id", "keys")
+        .mapInArrow(_route(buckets), "bucket long, keys binary, ids binary")
+        .groupBy("bucket")
+        .applyInPandas(_meet, "key long, id long")
+    )
 
 
 def _masks(round_: int) -> list[int]:
@@ -147,29 +224,26 @@ def _centres(round_: int) -> list[Column]:
 
 
 def linked(
-    bands: DataFrame,
+    items: DataFrame,
+    rows: int,
     texts: Callable[[DataFrame], DataFrame],
     similar: Callable[[], Callable[[str, str], bool]],
-    percent: int,
     rounds: int = ROUNDS,
 ) -> tuple[DataFrame, DataFrame]:
-    """(links, components) from band rows (key, id, n), n being the set's size.
+    """(links, components) of items (id, keys), which have about `rows` band keys in all.
 
-    texts gets the ids that share a bucket with another and returns (id, text) of them. Two sets
-    can be similar only if the smaller has at least `percent` of the larger's size.
+    texts gets the ids that share a bucket with another and returns (id, text) of them.
     """
-    bands = written(bands, "bands")
     names = [f"c{k}" for k in range(CENTRES)]
-    first = bands.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), *_centres(0)).filter("x <> y").drop("x", "y")
-    open_ = written(bands.join(first, "key"), "open")
-    forget(bands)
+    shared = written(shared_keys(items, rows), "shared")
+    open_ = written(shared.join(shared.groupBy("key").agg(*_centres(0)), "key"), "open")
     known = written(texts(open_.select("id").distinct()), "texts")
     links = comp = None
 
     for k in range(rounds + 1):
         if k:
             tagged = written(
-                open_.select("key", "id", "n").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")),
+                open_.select("key", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")),
                 "open",
             )
             split = tagged.groupBy("key").agg(
@@ -187,8 +261,8 @@ def linked(
             sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
             largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("l"))
             minor = open_.join(largest, "key").filter("component <> l.component")
-            other = open_.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            pairs = minor.join(other, "key").filter("component <> component2").filter(_near_size("n", "n2", percent))
+            other = open_.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
+            pairs = minor.join(other, "key").filter("component <> component2")
             pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         new = written(verified(pairs.distinct(), known, similar), "links")
         links = new if links is None else links.unionByName(new)

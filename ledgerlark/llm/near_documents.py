@@ -138,7 +138,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
     # equal sets are one node, named by its least doc_id
     node_of = written(held.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")), "nodes")
     first = held.join(node_of, (held["s1"] == node_of["s1"]) & (held["s2"] == node_of["s2"]) & (held["n"] == node_of["n"]) & (F.col("doc_id") == F.col("node")))
-    bands = first.select(F.explode("keys").alias("key"), F.col("node").alias("id"), held["n"])
+    items = first.select(F.col("node").alias("id"), "keys")
 
     def texts(ids: DataFrame) -> DataFrame:
         return (
@@ -148,7 +148,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE, percent: int = PE
             .agg(F.min("text").alias("text"))
         )
 
-    _, comp = linked(bands, texts, similar_documents(size, percent), percent)
+    _, comp = linked(items, BANDS * rows.count(), texts, similar_documents(size, percent))
     named = (
         rows.select("doc_id", "n", "s1", "s2")
         .join(node_of, ["s1", "s2", "n"], "left")
