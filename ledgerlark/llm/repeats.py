@@ -12,7 +12,7 @@ need no comparison at all.
 4. Each bucket merges its runs with a loser tree that starts every comparison behind the prefix
    already known to be shared. Neighbours in the merged order give how far suffixes agree to the
    right; what lies before the anchors gives how far to the left; both give the repeated windows.
-5. Anchors that occur very often, where one bucket might meet too many suffixes, are told apart by
+5. Anchors with very many different suffixes, too many for one bucket, are told apart by
    hashes of their whole windows instead, counted with partial aggregation.
 6. Chunks turn the replies into removed bytes.
 """
@@ -37,8 +37,9 @@ GRAM = 48
 CHUNK_BYTES = 4 << 20
 #: Bytes that are hashed at once; a longer text is hashed alone.
 STEP_BYTES = 1 << 18
-#: An anchor that occurs more often than this is told apart by window hashes.
-OFTEN = 512
+#: An anchor whose chunks hold more different suffixes than this is told apart by window hashes; a
+#: group that is merged has no more of them, however often each occurs.
+OFTEN = 4096
 #: Repeated anchors that one merging task takes, on average.
 BUCKET_ANCHORS = 40_000
 
@@ -162,9 +163,10 @@ def chunks_of(documents: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
 
 
 def _repeated(pairs: DataFrame, name: str) -> DataFrame:
-    """From (key, chunk, n): chunk with the keys that occur twice anywhere, and those very often."""
+    """From (key, chunk, n, m): chunk with the keys that occur twice anywhere, and those of them
+    that have over OFTEN variants; n counts a chunk's occurrences of a key, m its variants."""
     pairs = written(pairs, name)
-    counts = pairs.groupBy("key").agg(F.sum("n").alias("total")).filter("total > 1")
+    counts = pairs.groupBy("key").agg(F.sum("n").alias("n2"), F.sum("m").alias("total")).filter("n2 > 1").drop("n2")
     got = written(
         pairs.join(counts, "key").groupBy("chunk").agg(
             F.collect_list(F.expr(f"CASE WHEN total <= {OFTEN} THEN key END")).alias("keys"),
@@ -176,19 +178,39 @@ def _repeated(pairs: DataFrame, name: str) -> DataFrame:
     return got
 
 
-def _pairs(chunk: int, keys: np.ndarray) -> pa.RecordBatch:
-    found, n = np.unique(keys, return_counts=True)
+_PAIRS = "key long, chunk long, n long, m long"
+
+
+def _pairs(chunk: int, keys: np.ndarray, variants: np.ndarray | None = None) -> pa.RecordBatch:
+    """Each key with its occurrences and, given what tells them apart, its variants."""
+    if variants is None:
+        found, n = np.unique(keys, return_counts=True)
+        m = np.zeros(len(found), np.int64)
+    else:
+        order = np.lexsort((variants, keys))
+        keys, variants = keys[order], variants[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        begins = np.flatnonzero(new)
+        new[1:] |= variants[1:] != variants[:-1]
+        found, n = keys[begins], np.diff(np.append(begins, len(keys)))
+        m = np.add.reduceat(new.astype(np.int64), begins) if len(begins) else n
     return pa.RecordBatch.from_arrays(
-        [pa.array(found.view(np.int64)), pa.array(np.full(len(found), chunk)), pa.array(n.astype(np.int64))],
-        names=["key", "chunk", "n"],
+        [pa.array(found.view(np.int64)), pa.array(np.full(len(found), chunk)), pa.array(n.astype(np.int64)), pa.array(m)],
+        names=["key", "chunk", "n", "m"],
     )
 
 
 def name_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            keys = [a.key for _, _, a in _steps(row["sizes"], row["data"], False)]
-            yield _pairs(row["chunk"], np.concatenate(keys) if keys else np.zeros(0, np.uint64))
+            keys, variants = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for _, _, a in _steps(row["sizes"], row["data"], False):
+                keys.append(a.key)
+                # both ends of what surrounds an anchor, which tell variants apart well enough to count them
+                ends = a.gram[a.low] * _A + a.gram[a.high + WINDOW - GRAM] if len(a.at) else a.key
+                variants.append(ends * _A + (a.high - a.low).astype(np.uint64))
+            yield _pairs(row["chunk"], np.concatenate(keys), np.concatenate(variants))
 
 
 def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,12 +472,12 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     very frequent ones, by 64-bit hashes. An empty table gives an empty result.
     """
     chunks = written(chunks_of(documents), "chunks")
-    named = _repeated(chunks.select("chunk", "sizes", "data").mapInArrow(name_anchors, "key long, chunk long, n long"), "anchors")
+    named = _repeated(chunks.select("chunk", "sizes", "data").mapInArrow(name_anchors, _PAIRS), "anchors")
     total = named.agg(F.sum(F.size("keys"))).first()[0] or 0
     # one chunk's replies are a row, so that texts are joined with them once
     with_keys = chunks.join(named, "chunk")
     windows = _repeated(
-        with_keys.filter("size(often) > 0").select("chunk", "sizes", "data", "often").mapInArrow(name_windows, "key long, chunk long, n long"),
+        with_keys.filter("size(often) > 0").select("chunk", "sizes", "data", "often").mapInArrow(name_windows, _PAIRS),
         "windows",
     ).select("chunk", F.concat("keys", "often").alias("windows"))
     buckets = max(8, -(-total // BUCKET_ANCHORS))
