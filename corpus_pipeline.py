@@ -28,8 +28,8 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each component, over five-word shingles."""
-    found = near_documents.near_duplicates(docs, size=5).filter("NOT kept").select(F.col("doc_id").alias("_copy")).distinct()
+    """Keeps the document of least doc_id of each component, as the operator's contract links them."""
+    found = near_documents.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_copy")).distinct()
     bound_batches(spark)
     return docs.join(found, F.col("doc_id") == F.col("_copy"), "left_anti")
 
