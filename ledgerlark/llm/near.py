@@ -229,10 +229,13 @@ def linked(
     texts: Callable[[DataFrame], DataFrame],
     similar: Callable[[], Callable[[str, str], bool]],
     rounds: int = ROUNDS,
+    exhaust: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, components) of items (id, keys), which have about `rows` band keys in all.
 
-    texts gets the ids that share a bucket with another and returns (id, text) of them.
+    texts gets the ids that share a bucket with another and returns (id, text) of them. Without
+    exhaust, pairs of different components that are in one bucket after the rounds, and of which
+    neither was a centre there, stay uncompared.
     """
     names = [f"c{k}" for k in range(CENTRES)]
     shared = written(shared_keys(items, rows), "shared")
@@ -240,7 +243,7 @@ def linked(
     known = written(texts(open_.select("id").distinct()), "texts")
     links = comp = None
 
-    for k in range(rounds + 1):
+    for k in range(rounds + exhaust):
         if k:
             tagged = written(
                 open_.select("key", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")),
