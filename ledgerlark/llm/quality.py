@@ -73,7 +73,8 @@ def features(documents: DataFrame) -> DataFrame:
     # exploding one element keeps the optimizer from computing it again for each use
     once = lambda c: F.explode(F.array(c))
     return (
-        documents.withColumn("_t", text)
+        # the rows' own columns wait in a struct, so that none can have a name used here
+        documents.select(F.struct("*").alias("_doc"), text.alias("_t"))
         .withColumn("_s", once(F.struct(words(F.col("_t")).alias("w"), lines.alias("l"))))
         .withColumns({"w": F.col("_s.w"), "_lines": F.col("_s.l")})
         .withColumn("h", once(F.expr(hashes)))
@@ -99,7 +100,7 @@ def features(documents: DataFrame) -> DataFrame:
                 F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
             ),
         )
-        .drop("_t", "_s", "_lines", "w", "h", "p", "b", "m", "_again")
+        .select("_doc.*", "_f")
     )
 
 

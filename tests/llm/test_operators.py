@@ -15,7 +15,7 @@ from ledgerlark.llm import (
 )
 
 #: Columns whose names the operators use inside.
-SCHEMA = "doc_id long, text string, lang string, n long, id long, key long, shard int, component string"
+SCHEMA = "doc_id long, text string, lang string, w long, removed long, key long, shard int, h string"
 
 
 def docs(spark, texts, ids=None):
