@@ -3,7 +3,8 @@
 Members of a bucket are compared with a few of its members, its centres, which hashes choose; a
 bucket whose members are all in one component is done. Groups of near copies so cost a few
 comparisons a member and the pairs of a group are never listed. What two rounds leave open is
-members of different components in one bucket, and those pairs are compared, so none is lost.
+members of different components in one bucket, and those pairs are compared, so none is lost:
+all of them, or, where the shingles are told, those that a set-similarity join can't rule out.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BLOCK = 1 << 17
 HELD_ROWS, BUCKET_ROWS = 1 << 20, 1 << 20
 #: Ids of one task with a common key above which the key counts as shared there and then.
 LOCAL = 64
+#: Counters of shingles, which order them from rare to frequent, and longs of a set's parity bits.
+COUNTERS, PARITY = 1 << 18, 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -223,19 +226,96 @@ def _centres(round_: int) -> list[Column]:
     return [F.min(F.col("id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"c{k}") for k, m in enumerate(_masks(round_))]
 
 
+def _sets(shingled: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], texts: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    hashes, starts = shingled(texts)
+    return [np.unique(x) for x in np.split(hashes, starts[1:])]
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Ids, components and texts, BLOCK characters at once or a text."""
+    for batch in batches:
+        ids, comps, texts = (batch.column(k).to_pylist() for k in range(3))
+        start = 0
+        while start < len(ids):
+            end, held = start, 0
+            while end < len(ids) and (end == start or held + len(texts[end]) <= BLOCK):
+                held += len(texts[end])
+                end += 1
+            yield ids[start:end], comps[start:end], texts[start:end]
+            start = end
+
+
+def joined(members: DataFrame, shingled: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
+    """Pairs (a, b) of members (id, component, text) of different components, with none left out whose similarity is percent.
+
+    Two such sets, in any one order of shingles, have a common one among the first n - ceil(n *
+    percent / 100) + 1 of each. The rarest come first, so that copies of a text, edited too
+    much to be similar, don't meet at what all of them hold. What meets is ruled out by length, by
+    what is left from the first common place on, and by parities of hashed shingles, of which no more
+    differ than shingles do.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(COUNTERS, np.int64)
+        for _, _, texts in _spans(batches):
+            for x in _sets(shingled, texts):
+                found[x % np.uint64(COUNTERS)] += 1  # twice in a set counts once, as order alone matters
+        slots = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(found[slots])], names=["slot", "n"])
+
+    counted = members.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(COUNTERS, np.int64)
+    often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    held = members.sparkSession.sparkContext.broadcast(often)
+    names = ["token", "id", "component", "n", "at", *[f"p{k}" for k in range(PARITY)]]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency = held.value
+        for ids, comps, texts in _spans(batches):
+            columns: list[list[np.ndarray]] = [[] for _ in names]
+            for i, c, x in zip(ids, comps, _sets(shingled, texts), strict=True):
+                n = len(x)
+                x = x[np.lexsort((x, frequency[x % np.uint64(COUNTERS)]))]
+                first = n - -(-n * percent // 100) + 1
+                bits = np.bincount((mix(x) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) % 2
+                parity = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                row = [x[:first].view(np.int64), np.full(first, i), np.full(first, c), np.full(first, n), np.arange(first), *(np.full(first, b) for b in parity)]
+                for k, v in enumerate(row):
+                    columns[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), pa.int64()) for v in columns], names=names)
+
+    rows = written(members.mapInArrow(prefixes, ", ".join(f"{x} long" for x in names)), "prefixes")
+    # of a token, the smaller components against all it has
+    sizes = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("l"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+    minor = written(rows.join(largest.select("token", "l"), "token").filter("component <> l.component").drop("l"), "minor")
+    other = rows.select("token", *[F.col(x).alias(f"{x}2") for x in names[1:]])
+    both = f"(({percent} * (n + n2) + {99 + percent}) DIV {100 + percent})"  # the least overlap that will do
+    differ = " + ".join(f"bit_count(p{k} ^ p{k}2)" for k in range(PARITY))
+    met = minor.join(
+        other,
+        (minor["token"] == other["token"])
+        & F.expr(f"component <> component2 AND least(n - at, n2 - at2) >= {both} AND least(n, n2) >= {both} AND {differ} <= n + n2 - 2 * {both}"),
+    )
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+
+
 def linked(
     items: DataFrame,
     rows: int,
     texts: Callable[[DataFrame], DataFrame],
     similar: Callable[[], Callable[[str, str], bool]],
     rounds: int = ROUNDS,
-    exhaust: bool = True,
+    shingled: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None,
+    percent: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, components) of items (id, keys), which have about `rows` band keys in all.
 
-    texts gets the ids that share a bucket with another and returns (id, text) of them. Without
-    exhaust, pairs of different components that are in one bucket after the rounds, and of which
-    neither was a centre there, stay uncompared.
+    texts gets the ids that share a bucket with another and returns (id, text) of them. Given
+    shingled, which returns all shingle hashes of texts and where each text's begin, and the percent
+    of Jaccard similarity that links, the last step compares the pairs of joined(), else all pairs of
+    different components that are in one bucket.
     """
     names = [f"c{k}" for k in range(CENTRES)]
     shared = written(shared_keys(items, rows), "shared")
@@ -243,7 +323,7 @@ def linked(
     known = written(texts(open_.select("id").distinct()), "texts")
     links = comp = None
 
-    for k in range(rounds + exhaust):
+    for k in range(rounds + 1):
         if k:
             tagged = written(
                 open_.select("key", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")),
@@ -259,6 +339,9 @@ def linked(
         if k < rounds:
             centre = open_.select("id", F.explode(F.array_distinct(F.array(*names))).alias("c")).filter("id <> c")
             pairs = centre.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
+        elif shingled:
+            members = open_.select("id", "component").distinct().join(known, "id").select("id", "component", "text")
+            pairs = joined(members, shingled, percent)
         else:
             # the smaller components of a bucket against all of it
             sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))

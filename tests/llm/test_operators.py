@@ -138,6 +138,31 @@ def test_lines_equal_brute_force(spark):
     assert near_lines.removed_lines(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_edited_copies_equal_brute_force(spark):
+    """Edited copies of one line crowd the same buckets; all that are similar are linked."""
+    rng = np.random.default_rng(7)
+    base = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 90))
+    texts = []
+    for _ in range(3000):
+        x = list(base)
+        for at in rng.choice(len(base), rng.integers(2, 6), replace=False):
+            x[at] = str(rng.integers(10))
+        texts.append("".join(x))
+    sets = [{t[k : k + 8] for k in range(len(t) - 7)} for t in texts]
+    place = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    columns = np.array([place[x] for s in sets for x in s])
+    has = np.zeros((len(texts), len(place)), np.float32)
+    has[rows, columns] = 1
+    both, n = has @ has.T, has.sum(1)
+    alike = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+    first = np.arange(len(texts))
+    while not np.array_equal(first, nxt := np.where(alike, first[None, :], len(texts)).min(1)):
+        first = nxt
+    got = {r.doc_id for r in near_lines.removed_lines(docs(spark, texts)).filter("n_removed > 0").collect()}
+    assert got == set(np.flatnonzero(first != np.arange(len(texts))).tolist())
+
+
 # decontamination
 
 def test_decontamination_edges(spark):
