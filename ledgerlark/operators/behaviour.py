@@ -122,18 +122,18 @@ def velocity(txns: DataFrame) -> DataFrame:
     return rows.withColumns(out).drop("_s")
 
 
-def shared_devices(txns: DataFrame, most_users: int = 1000) -> DataFrame:
+def shared_devices(txns: DataFrame) -> DataFrame:
     """Per user: devices used, and other users met on them.
 
-    Users and devices are counted on the bipartite graph; a device with more than most_users users,
-    a kiosk rather than a link, counts as a device and links nobody.
+    Users and devices are counted on the bipartite graph, whose pairs of users are never listed;
+    widest_device tells a kiosk from a link.
     """
     edges = txns.filter("device_id IS NOT NULL").select("user_id", "device_id").distinct()
     degree = edges.groupBy("device_id").agg(F.count(F.lit(1)).alias("users"))
     linked = edges.join(degree, "device_id")
     return linked.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("devices"),
-        F.sum(F.when(F.col("users") <= most_users, F.col("users") - 1).otherwise(0)).alias("links"),
+        F.sum(F.col("users") - 1).alias("links"),
         F.max("users").alias("widest_device"),
     )
 

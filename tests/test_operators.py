@@ -256,3 +256,9 @@ def test_alert_sink_replays_a_batch_once(spark, tmp_path):
     sink(rows, 0)
     sink(rows, 0)
     assert spark.read.parquet(f"{tmp_path}/alerts").count() == 1
+
+
+def test_a_device_of_many_users_links_them_all(spark):
+    rows = spark.range(1500).select(F.col("id").alias("user_id"), F.lit("kiosk").alias("device_id"))
+    found = behaviour.shared_devices(rows).agg(F.min("links"), F.max("links"), F.max("widest_device")).first()
+    assert tuple(found) == (1499, 1499, 1500)
