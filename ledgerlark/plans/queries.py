@@ -531,9 +531,9 @@ def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The transactions as a stream of files, landed in the shared folder first."""
+    """The transactions as a stream of files, landed in the shared folder in order of time first."""
     landed = f"{_shared(spark)}/landed"
-    S.transactions(spark, sf).write.parquet(landed)
+    S.land_in_order(S.transactions(spark, sf), landed, "timestamp", "event_id")
     return S.read_stream(spark, landed, S.TRANSACTIONS)
 
 

@@ -42,6 +42,37 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def land_in_order(df: DataFrame, path: str, *keys: str) -> None:
+    """Writes df to a new folder so that read_stream() takes its files, and so its rows, in order of keys.
+
+    Streams take files by modification time: it is set to follow the order, and read back, as not
+    every store keeps it.
+    """
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def files() -> list:
+        return sorted((x for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")), key=_place)
+
+    found = files()
+    if not found:
+        return
+    last = max(x.getModificationTime() for x in found)
+    for k, x in enumerate(found):
+        fs.setTimes(x.getPath(), last - 1000 * (len(found) - k), -1)
+    times = [x.getModificationTime() for x in files()]
+    if any(a >= b for a, b in zip(times, times[1:])):
+        raise RuntimeError(f"{path}: the store keeps no modification times, so a stream can't take its files in order")
+
+
+def _place(status) -> tuple[int, str]:
+    """A part file's partition, and its name for the files of one partition."""
+    name = status.getPath().getName()
+    return int(name.split("-")[1]), name.rsplit("-", 1)[1]
+
+
 def append(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 

@@ -46,3 +46,25 @@ def test_reasons_name_features(spark, sf_dir):
 
     got = q.reason_codes(spark, sf_dir).toPandas()
     assert set(got["first"]) <= set(FEATURES)
+
+
+@pytest.mark.parametrize("name", ["stream_daily_counts", "stream_features"])
+def test_streams_of_many_shuffled_files(name, spark, sf_dir, duck, tmp_path):
+    """Over the files of one micro-batch, out of order of time."""
+    from pyspark.sql import functions as F
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(40, F.xxhash64("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    conf = {
+        "spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "64k",
+        "spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        mine = rows_of(q.QUERIES[name](spark, str(tmp_path)).toPandas())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert mine == duck(q.SQL[name])
