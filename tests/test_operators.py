@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import columns as C
-from ledgerlark.operators import behaviour, evaluation, preparation, reports, scoring, workflow
+from ledgerlark.operators import behaviour, evaluation, models, preparation, reports, scoring, workflow
 from ledgerlark.sources import tables as S
 from ledgerlark.streaming import jobs
 
@@ -262,3 +262,22 @@ def test_a_device_of_many_users_links_them_all(spark):
     rows = spark.range(1500).select(F.col("id").alias("user_id"), F.lit("kiosk").alias("device_id"))
     found = behaviour.shared_devices(rows).agg(F.min("links"), F.max("links"), F.max("widest_device")).first()
     assert tuple(found) == (1499, 1499, 1500)
+
+
+def test_forests_score_a_users_rows_in_parts(spark, monkeypatch):
+    """A row's score is its own: neither other rows nor how they are dealt change it."""
+    rows = txns(spark, [(k, 1 + (k % 5 == 0), float(k * 37 % 101), k, "a") for k in range(300)])
+    features = behaviour.behaviour_features(rows).cache()
+    forests = models.train_forests(features, trees=20).cache()
+    whole = {r.event_id: r.margin for r in models.score_forests(features, forests).collect()}
+    assert len(whole) == 300
+
+    def less_first(margins):
+        return [round(margins[k] - margins[min(margins)], 9) for k in sorted(margins)]
+
+    some = {r.event_id: r.margin for r in models.score_forests(features.filter("event_id IN (1, 2, 3, 4)"), forests).collect()}
+    assert less_first(some) == less_first({k: whole[k] for k in some})
+    monkeypatch.setattr(models, "SCORED_ROWS", 7)
+    assert {r.event_id: r.margin for r in models.score_forests(features, forests).collect()} == pytest.approx(whole)
+    plan = models.score_forests(features, forests)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
