@@ -125,6 +125,15 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(21)} | {i: 100 for i in range(100, 140)} | {250: 250, 300: 250}
 
 
+def test_pipeline_keeps_documents_that_differ_in_a_word(spark):
+    import corpus_pipeline
+
+    base = lorem(30, 5).split()
+    texts = [" ".join(base), " ".join([*base[:15], "edited", *base[16:]]), " ".join(base)]
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1]
+
+
 # lines
 
 def test_lines_equal_brute_force(spark):
