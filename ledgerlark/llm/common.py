@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -30,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set where it is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session gets a temporary one;
+    a cluster's executors couldn't see that, so that it is an error there."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_ledgerlark_dir", None)
     if not at:
-        at = getattr(spark, "_ledgerlark_dir", None) or tempfile.mkdtemp(prefix="spark-ledgerlark-")
-        spark._ledgerlark_dir = at
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        at = spark._ledgerlark_dir = tempfile.mkdtemp(prefix="spark-ledgerlark-")
     return at.rstrip("/")
 
 

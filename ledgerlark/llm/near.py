@@ -1,15 +1,16 @@
 """Links among near-equal texts, from band keys to components.
 
-Members of a bucket are compared with a few of its members, its centres, which hashes choose; a
-bucket whose members are all in one component is done. Groups of near copies so cost a few
-comparisons a member and the pairs of a group are never listed. What two rounds leave open is
-members of different components in one bucket, and those pairs are compared, so none is lost:
-all of them, or, where the shingles are told, those that a set-similarity join can't rule out.
+Band keys meet by bucket. A key of few members gives its pairs at once. A crowded key's members are
+compared with a few of them, its centres: the member that most crowded keys hold, which in a
+group of edited copies is the least edited one, and some that hashes choose; so groups of near
+copies cost a few comparisons a member and their pairs are never listed. What then still
+shares a crowded key across components goes through a set-similarity join with exact bounds, so
+that no link is missed for want of a centre.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,19 +20,21 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import forget, written
 
-#: Rounds of comparing buckets with their centres before the open pairs are compared, and centres
-#: of a bucket in a round.
-ROUNDS, CENTRES = 2, 3
-
-
+#: Centres of a crowded key that hashes choose in a round, and rounds.
+CENTRES, ROUNDS = 2, 2
 #: Shingles that are hashed at once.
 BLOCK = 1 << 17
 #: Band rows that a task gathers before it sends them, and that a bucket has on average.
 HELD_ROWS, BUCKET_ROWS = 1 << 20, 1 << 20
-#: Ids of one task with a common key above which the key counts as shared there and then.
-LOCAL = 64
+#: Members up to which a key gives all its pairs; with more, anywhere, it counts as crowded.
+FEW = 8
 #: Counters of shingles, which order them from rare to frequent, and longs of a set's parity bits.
 COUNTERS, PARITY = 1 << 18, 4
+#: Longs of the bitmap of ids that thins out texts before they are shuffled.
+BITMAP = 1 << 17
+
+#: Reads stored texts as their sorted distinct shingle hashes.
+Decode = Callable[[list[bytes]], list[np.ndarray]]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,16 +53,18 @@ def family(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return draws[:n] | np.uint64(1), draws[n:]
 
 
-def band_keys(shingles: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def band_keys(shingles: np.ndarray, starts: np.ndarray, bands: int, rows: int, sketch: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Band keys, sets by bands, of sets of hashed shingles that begin at starts; none is empty.
 
     A key folds the least values of `rows` universal hash functions over the set. At similarity
-    s two sets share a key with probability 1 - (1 - s ** rows) ** bands.
+    s two sets share a key with probability 1 - (1 - s ** rows) ** bands. The second result holds
+    one byte of each of the first `sketch` least values, the signature.
     """
     factors, summands = (x.astype(np.uint32) for x in family(bands * rows))
     factors |= np.uint32(1)
     short = (shingles >> np.uint64(32)).astype(np.uint32)
     keys = np.zeros((len(starts), bands), np.uint64)
+    signature = np.zeros((len(starts), sketch), np.uint8)
     ends = np.append(starts[1:], len(shingles))
     first = 0
     while first < len(starts):  # in blocks that stay in the processor's cache
@@ -71,10 +76,13 @@ def band_keys(shingles: np.ndarray, starts: np.ndarray, bands: int, rows: int) -
             for k in range(band * rows, (band + 1) * rows):
                 np.multiply(part, factors[k], out=buffer)
                 np.add(buffer, summands[k], out=buffer)
-                key = mix(key ^ np.minimum.reduceat(buffer, at).astype(np.uint64))
+                least = np.minimum.reduceat(buffer, at)
+                if k < sketch:
+                    signature[first:last, k] = least.astype(np.uint8)
+                key = mix(key ^ least.astype(np.uint64))
             keys[first:last, band] = key
         first = last
-    return keys.view(np.int64)
+    return keys.view(np.int64), signature
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -117,26 +125,6 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similar: Callable[[], Callable[[str, str], bool]]) -> DataFrame:
-    """The pairs (a, b) whose texts (id, text) are similar, compared in full."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alike = similar()
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = [
-                (x, y)
-                for x, y, s, t in zip(a, b, batch.column(2), batch.column(3), strict=True)
-                if alike(s.as_py(), t.as_py())
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], pa.int64()), pa.array([y for _, y in keep], pa.int64())], schema=schema)
-
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
 def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, id) in order, and how many ids each one's key has."""
     order = np.lexsort((ids, keys))
@@ -149,105 +137,154 @@ def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, ids, np.repeat(n, n)
 
 
-def _route(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Band keys and ids as runs of longs for each bucket of keys.
+_ROUTED = "bucket long, keys binary, ids binary, crowded binary"
+
 
-    A key that many ids of one task share needs no meeting place to be known as shared: its rows
-    go on under a bucket of their own, below 0, and two of them stay for other tasks to meet.
+def route(parts: Iterable[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Band keys and ids, given in parts (ids, keys by bands), as runs of longs for each bucket of keys.
+
+    Where a task holds over FEW ids of a key it is known to be crowded: its rows go on under
+    buckets of their own, below 0, and one of them stays to tell the other tasks. A key's
+    meeting place so gets at most FEW rows for each HELD_ROWS of all.
     """
 
     def flush(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         keys, ids, n = _distinct(keys, ids)
-        hot = n > LOCAL
-        ends = hot & np.r_[True, keys[1:] != keys[:-1]] | hot & np.r_[keys[1:] != keys[:-1], True]
+        hot = n > FEW
+        sign = hot & np.r_[True, keys[1:] != keys[:-1]]
         bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         spread = -1 - (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        keys, ids = np.r_[keys, keys[ends]], np.r_[ids, ids[ends]]
-        bucket = np.r_[np.where(hot, spread, bucket), bucket[ends]]
+        told, told_at = keys[sign], bucket[sign]
+        keys, ids = np.r_[keys, told], np.r_[ids, ids[sign]]
+        bucket = np.r_[np.where(hot, spread, bucket), told_at]
         order = np.argsort(bucket, kind="stable")
         keys, ids, bucket = keys[order], ids[order], bucket[order]
+        told_order = np.argsort(told_at, kind="stable")
+        told, told_at = told[told_order], told_at[told_order]
         at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        parts = list(zip(at, [*at[1:], len(bucket)], strict=True))
+        spans = list(zip(at, [*at[1:], len(bucket)], strict=True))
+        low, high = (np.searchsorted(told_at, bucket[at], side) for side in ("left", "right"))
         return pa.RecordBatch.from_arrays(
-            [pa.array(bucket[at], pa.int64()), pa.array([keys[i:j].tobytes() for i, j in parts], pa.binary()), pa.array([ids[i:j].tobytes() for i, j in parts], pa.binary())],
-            names=["bucket", "keys", "ids"],
+            [
+                pa.array(bucket[at], pa.int64()), pa.array([keys[i:j].tobytes() for i, j in spans], pa.binary()),
+                pa.array([ids[i:j].tobytes() for i, j in spans], pa.binary()),
+                pa.array([told[i:j].tobytes() for i, j in zip(low, high, strict=True)], pa.binary()),
+            ],
+            names=["bucket", "keys", "ids", "crowded"],
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            per = np.diff(lists.offsets.to_numpy())
-            held.append((flat, np.repeat(batch.column(0).to_numpy(zero_copy_only=False), per)))
-            size += len(flat)
-            if size >= HELD_ROWS:
-                yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held, size = [], 0
-        if size:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for ids, keys in parts:
+        held.append((keys.ravel(), np.repeat(ids, keys.shape[1])))
+        size += keys.size
+        if size >= HELD_ROWS:
             yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    return run
+            held, size = [], 0
+    if size:
+        yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:
-    keys, ids = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("keys", "ids"))
-    if rows["bucket"].iloc[0] >= 0:
-        keys, ids, n = _distinct(keys, ids)
-        keys, ids = keys[n > 1], ids[n > 1]
-    return pd.DataFrame({"key": keys, "id": ids})
+    """A bucket's crowded keys with their members, and the pairs of its other keys."""
+    keys, ids, told = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("keys", "ids", "crowded"))
+    if rows["bucket"].iloc[0] < 0:
+        return pd.DataFrame({"crowded": True, "x": keys, "y": ids})
+    keys, ids, n = _distinct(keys, ids)
+    keys, ids, n = keys[n > 1], ids[n > 1], n[n > 1]
+    crowded = (n > FEW) | np.isin(keys, told)
+    found = [pd.DataFrame({"crowded": True, "x": keys[crowded], "y": ids[crowded]})]
+    keys, ids = keys[~crowded], ids[~crowded]
+    for away in range(1, FEW):
+        same = np.flatnonzero(keys[away:] == keys[:-away])
+        found.append(pd.DataFrame({"crowded": False, "x": ids[same], "y": ids[same + away]}))
+    return pd.concat(found).drop_duplicates()
+
+
+def buckets_for(rows: int) -> int:
+    return max(16, -(-rows // BUCKET_ROWS))
 
 
-def shared_keys(items: DataFrame, rows: int) -> DataFrame:
-    """(key, id) of the band keys that several ids have, from items (id, keys) with about `rows` keys.
+def shared_keys(routed: DataFrame) -> DataFrame:
+    """From what route() gives: (crowded, x, y), a crowded key and a member, or the two ids of a pair.
 
     Keys cross the network as plain longs, sixteen bytes a row, and most end there.
     """
-    buckets = max(16, -(-rows // BUCKET_ROWS))
-    return (
-        items.select("id", "keys")
-        .mapInArrow(_route(buckets), "bucket long, keys binary, ids binary")
-        .groupBy("bucket")
-        .applyInPandas(_meet, "key long, id long")
-    )
+    return routed.groupBy("bucket").applyInPandas(_meet, "crowded boolean, x long, y long")
 
 
-def _masks(round_: int) -> list[int]:
-    draws = mix(np.arange(1, CENTRES + 1, dtype=np.uint64) + np.uint64(1000 * round_))
-    return [int(x) for x in draws.view(np.int64)]
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be one of ids (id): a bitmap of BITMAP longs, whatever there is, is broadcast.
 
+    With many more ids than bits it lets all pass, so that an exact join has to follow.
+    """
+    word, bit = F.expr(f"pmod(xxhash64(id), {BITMAP})").alias("_word"), F.expr("CAST(pmod(hash(id), 64) AS INT)")
+    words = ids.select(word, F.expr("shiftleft(1L, CAST(pmod(hash(id), 64) AS INT))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    held = rows.select("*", word).join(F.broadcast(words), "_word").filter(F.getbit("_bits", bit) == 1)
+    return held.select(*rows.columns)
 
-def _centres(round_: int) -> list[Column]:
-    """Members of a bucket, each the least under an order of its own: ids with some bits flipped.
+
+def _spread_centres(round_: int) -> list[Column]:
+    """Members of a key, each the least under an order of its own: ids with some bits flipped.
 
     An id is got back by flipping them again, so that plain longs are aggregated.
     """
-    return [F.min(F.col("id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"c{k}") for k, m in enumerate(_masks(round_))]
+    draws = mix(np.arange(1, CENTRES + 1, dtype=np.uint64) + np.uint64(1000 * round_)).view(np.int64)
+    return [F.min(F.col("id").bitwiseXOR(F.lit(int(m)))).bitwiseXOR(F.lit(int(m))).alias(f"c{k}") for k, m in enumerate(draws)]
+
+
+def with_centres(members: DataFrame, round_: int) -> DataFrame:
+    """(a, b) of members (key, id, degree) and the centres of their keys."""
+    names = [f"c{k}" for k in range(CENTRES)]
+    chosen = members.groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("c"), *_spread_centres(round_))
+    found = members.join(chosen, "key").select("id", F.explode(F.array_distinct(F.array("c", *names))).alias("c"))
+    return found.filter("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets, sorted, have percent of their union in common."""
+    if len(x) > len(y):
+        x, y = y, x
+    least = -(-percent * (len(x) + len(y)) // (100 + percent))  # the overlap that will do
+    if len(x) < max(least, 1):
+        return False
+    at = y.searchsorted(x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x)) >= least
 
 
-def _sets(shingled: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], texts: list[str]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    hashes, starts = shingled(texts)
-    return [np.unique(x) for x in np.split(hashes, starts[1:])]
+def verified(pairs: DataFrame, known: DataFrame, decode: Decode, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets (id, n, data) are similar, compared in full.
 
+    An id that has several sets is similar where one of them is.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column(k).to_pylist() for k in (2, 3)]
+            distinct = {d: k for k, d in enumerate(dict.fromkeys(sides[0] + sides[1]))}
+            sets = decode(list(distinct))
+            keep = [alike(sets[distinct[x]], sets[distinct[y]], percent) for x, y in zip(*sides, strict=True)]
+            chosen = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema)
+            yield chosen.filter(pa.array(keep, pa.bool_()))
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[str]]]:
-    """Ids, components and texts, BLOCK characters at once or a text."""
+    one = known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("data").alias("da"))
+    two = known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("data").alias("db"))
+    both = pairs.join(one, "a").join(two, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return both.select("a", "b", "da", "db").mapInArrow(run, "a long, b long")
+
+
+def _spans(batches: Iterator[pa.RecordBatch], decode: Decode) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ids, components and sets."""
     for batch in batches:
-        ids, comps, texts = (batch.column(k).to_pylist() for k in range(3))
-        start = 0
-        while start < len(ids):
-            end, held = start, 0
-            while end < len(ids) and (end == start or held + len(texts[end]) <= BLOCK):
-                held += len(texts[end])
-                end += 1
-            yield ids[start:end], comps[start:end], texts[start:end]
-            start = end
+        ids, comps, data = (batch.column(k).to_pylist() for k in range(3))
+        for start in range(0, len(ids), 256):
+            yield from zip(ids[start : start + 256], comps[start : start + 256], decode(data[start : start + 256]), strict=True)
 
 
-def joined(members: DataFrame, shingled: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], percent: int) -> DataFrame:
-    """Pairs (a, b) of members (id, component, text) of different components, with none left out whose similarity is percent.
+def joined(members: DataFrame, decode: Decode, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (id, component, data) of different components, with none left out whose similarity is percent.
 
     Two such sets, in any one order of shingles, have a common one among the first n - ceil(n *
     percent / 100) + 1 of each. The rarest come first, so that copies of a text, edited too
@@ -258,9 +295,8 @@ def joined(members: DataFrame, shingled: Callable[[list[str]], tuple[np.ndarray,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(COUNTERS, np.int64)
-        for _, _, texts in _spans(batches):
-            for x in _sets(shingled, texts):
-                found[x % np.uint64(COUNTERS)] += 1  # twice in a set counts once, as order alone matters
+        for _, _, x in _spans(batches, decode):
+            found[x % np.uint64(COUNTERS)] += 1  # twice in a set counts once, as order alone matters
         slots = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(found[slots])], names=["slot", "n"])
 
@@ -272,18 +308,34 @@ def joined(members: DataFrame, shingled: Callable[[list[str]], tuple[np.ndarray,
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = held.value
-        for ids, comps, texts in _spans(batches):
-            columns: list[list[np.ndarray]] = [[] for _ in names]
-            for i, c, x in zip(ids, comps, _sets(shingled, texts), strict=True):
-                n = len(x)
-                x = x[np.lexsort((x, frequency[x % np.uint64(COUNTERS)]))]
-                first = n - -(-n * percent // 100) + 1
-                bits = np.bincount((mix(x) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) % 2
-                parity = np.packbits(bits.astype(np.uint8)).view(np.int64)
-                row = [x[:first].view(np.int64), np.full(first, i), np.full(first, c), np.full(first, n), np.arange(first), *(np.full(first, b) for b in parity)]
-                for k, v in enumerate(row):
-                    columns[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), pa.int64()) for v in columns], names=names)
+        columns: list[list[np.ndarray]] = [[] for _ in names]
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), pa.int64()) for v in columns], names=names)
+
+        for i, c, x in _spans(batches, decode):
+            n = len(x)
+            seen = frequency[x % np.uint64(COUNTERS)]
+            order = np.lexsort((x, seen))
+            x, seen = x[order], seen[order]
+            first = n - -(-n * percent // 100) + 1
+            # what no other member holds can't be met
+            places = np.flatnonzero(seen[:first] > 1)
+            if not len(places):
+                continue
+            bits = np.bincount((mix(x) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) % 2
+            parity = np.packbits(bits.astype(np.uint8)).view(np.int64)
+            m = len(places)
+            row = [x[places].view(np.int64), np.full(m, i), np.full(m, c), np.full(m, n), places, *(np.full(m, b) for b in parity)]
+            for k, v in enumerate(row):
+                columns[k].append(v)
+            size += m
+            if size >= BLOCK:
+                yield batch()
+                columns, size = [[] for _ in names], 0
+        if size:
+            yield batch()
 
     rows = written(members.mapInArrow(prefixes, ", ".join(f"{x} long" for x in names)), "prefixes")
     # of a token, the smaller components against all it has
@@ -298,61 +350,70 @@ def joined(members: DataFrame, shingled: Callable[[list[str]], tuple[np.ndarray,
         (minor["token"] == other["token"])
         & F.expr(f"component <> component2 AND least(n - at, n2 - at2) >= {both} AND least(n, n2) >= {both} AND {differ} <= n + n2 - 2 * {both}"),
     )
-    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    found = written(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "pairs")
+    forget(rows)
+    forget(minor)
+    held.destroy()
+    return found
+
+
+def joined_with(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) with links (a, b) added to what comp (id, component) joins.
+
+    Only the components that links touch are walked anew.
+    """
+    if comp is None:
+        return written(components(links), "components")
+    at = [comp.select(F.col("id").alias(s), F.col("component").alias(f"c{s}")) for s in ("a", "b")]
+    over = links.join(at[0], "a", "left").join(at[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = written(components(over), "moved")
+    renamed = moved.select(F.col("id").alias("component"), F.col("component").alias("_to"))
+    return written(
+        comp.join(renamed, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+        .unionByName(moved.join(comp.select("id"), "id", "left_anti")),
+        "components",
+    )
 
 
 def linked(
-    items: DataFrame,
-    rows: int,
-    texts: Callable[[DataFrame], DataFrame],
-    similar: Callable[[], Callable[[str, str], bool]],
-    rounds: int = ROUNDS,
-    shingled: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None,
-    percent: int = 0,
-) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of items (id, keys), which have about `rows` band keys in all.
-
-    texts gets the ids that share a bucket with another and returns (id, text) of them. Given
-    shingled, which returns all shingle hashes of texts and where each text's begin, and the percent
-    of Jaccard similarity that links, the last step compares the pairs of joined(), else all pairs of
-    different components that are in one bucket.
+    routed: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    decode: Decode,
+    percent: int,
+    look: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
+) -> tuple[DataFrame | None, DataFrame]:
+    """(components, sets): (id, component) of the ids that are linked, or None, and what fetch gave.
+
+    routed is what route() gives for the band keys of all. fetch gets the ids that share a key
+    with another and returns (id, n, data) of them, n shingles that decode reads from data. look may
+    rule pairs out by their signatures.
     """
-    names = [f"c{k}" for k in range(CENTRES)]
-    shared = written(shared_keys(items, rows), "shared")
-    open_ = written(shared.join(shared.groupBy("key").agg(*_centres(0)), "key"), "open")
-    known = written(texts(open_.select("id").distinct()), "texts")
-    links = comp = None
-
-    for k in range(rounds + 1):
-        if k:
-            tagged = written(
-                open_.select("key", "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")),
-                "open",
-            )
-            split = tagged.groupBy("key").agg(
-                F.min("component").alias("x"), F.max("component").alias("y"), *(_centres(k) if k < rounds else ())
-            )
-            open_ = written(tagged.join(split.filter("x <> y").drop("x", "y"), "key"), "open")
-            forget(tagged)
-            if open_.isEmpty():
-                break
-        if k < rounds:
-            centre = open_.select("id", F.explode(F.array_distinct(F.array(*names))).alias("c")).filter("id <> c")
-            pairs = centre.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
-        elif shingled:
-            members = open_.select("id", "component").distinct().join(known, "id").select("id", "component", "text")
-            pairs = joined(members, shingled, percent)
+    met = written(shared_keys(routed), "met")
+    crowded = met.filter("crowded").select(F.col("x").alias("key"), F.col("y").alias("id"))
+    few = met.filter("NOT crowded").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    ids = met.select(F.explode(F.expr("CASE WHEN crowded THEN array(y) ELSE array(x, y) END")).alias("id")).distinct()
+    known = written(fetch(written(ids, "ids")), "known")
+    open_ = written(crowded.join(crowded.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id"), "open")
+    pairs = few.unionByName(with_centres(open_, 0)).distinct()
+    comp: DataFrame | None = None
+    for k in range(1, ROUNDS + 2):
+        links = written(verified(look(pairs), known, decode, percent), "links")
+        if not links.isEmpty():
+            comp = joined_with(comp, links)
+        if k > ROUNDS or open_.isEmpty():
+            break
+        tagged = open_.drop("component")
+        tagged = tagged.join(comp, "id", "left") if comp is not None else tagged.withColumn("component", F.col("id"))
+        tagged = written(tagged.withColumn("component", F.coalesce("component", "id")), "tagged")
+        split = tagged.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y")
+        forget(open_)
+        open_ = written(tagged.join(split.select("key"), "key"), "open")
+        forget(tagged)
+        if open_.isEmpty():
+            break
+        if k < ROUNDS:
+            pairs = with_centres(open_, k)
         else:
-            # the smaller components of a bucket against all of it
-            sizes = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-            largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("l"))
-            minor = open_.join(largest, "key").filter("component <> l.component")
-            other = open_.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
-            pairs = minor.join(other, "key").filter("component <> component2")
-            pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-        new = written(verified(pairs.distinct(), known, similar), "links")
-        links = new if links is None else links.unionByName(new)
-        if k and new.isEmpty():
-            continue
-        comp = written(components(links), "components")
-    return links, comp
+            members = open_.select("id", "component").distinct().join(known, "id").select("id", "component", "data")
+            pairs = joined(written(members, "members"), decode, percent)
+    return comp, known
