@@ -28,10 +28,8 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each component, linked by shingles of five words."""
-    found = near_documents.near_duplicates(docs, size=5).filter("NOT kept").select(F.col("doc_id").alias("_copy")).distinct()
-    bound_batches(spark)
-    return docs.join(found, F.col("doc_id") == F.col("_copy"), "left_anti")
+    """Keeps one row of each component, that of least doc_id, linked by shingles of five words; rows without words stay."""
+    return near_documents.one_of_each(docs, size=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
