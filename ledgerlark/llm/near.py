@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import forget, written
 
-#: Centres of a crowded key that hashes choose in a round, and rounds.
-CENTRES, ROUNDS = 2, 2
+#: Centres of a crowded key that hashes choose, besides the one that the degree chooses.
+CENTRES = 2
 #: Shingles that are hashed at once.
 BLOCK = 1 << 17
 #: Band rows that a task gathers before it sends them, and that a bucket has on average.
@@ -30,6 +30,8 @@ HELD_ROWS, BUCKET_ROWS = 1 << 20, 1 << 20
 FEW = 8
 #: Counters of shingles, which order them from rare to frequent, and longs of a set's parity bits.
 COUNTERS, PARITY = 1 << 18, 4
+#: Shingles before it that a shingle carries, to tell that two sets have met already.
+BEFORE = 6
 #: Longs of the bitmap of ids that thins out texts before they are shuffled.
 BITMAP = 1 << 17
 
@@ -127,10 +129,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, id) in order, and how many ids each one's key has."""
-    order = np.lexsort((ids, keys))
+    order = np.argsort(keys)
     keys, ids = keys[order], ids[order]
     if len(keys):
-        new = np.r_[True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]
+        same = keys[1:] == keys[:-1]
+        at = np.flatnonzero(np.r_[same, False] | np.r_[False, same])  # only these need an order of ids
+        ids[at] = ids[at[np.lexsort((ids[at], keys[at]))]]
+        new = np.r_[True, ~same | (ids[1:] != ids[:-1])]
         keys, ids = keys[new], ids[new]
     begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
     n = np.diff(np.r_[begins, len(keys)])
@@ -157,7 +162,7 @@ def route(parts: Iterable[tuple[np.ndarray, np.ndarray]], buckets: int) -> Itera
         told, told_at = keys[sign], bucket[sign]
         keys, ids = np.r_[keys, told], np.r_[ids, ids[sign]]
         bucket = np.r_[np.where(hot, spread, bucket), told_at]
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
         keys, ids, bucket = keys[order], ids[order], bucket[order]
         told_order = np.argsort(told_at, kind="stable")
         told, told_at = told[told_order], told_at[told_order]
@@ -224,19 +229,19 @@ def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return held.select(*rows.columns)
 
 
-def _spread_centres(round_: int) -> list[Column]:
+def _spread_centres() -> list[Column]:
     """Members of a key, each the least under an order of its own: ids with some bits flipped.
 
     An id is got back by flipping them again, so that plain longs are aggregated.
     """
-    draws = mix(np.arange(1, CENTRES + 1, dtype=np.uint64) + np.uint64(1000 * round_)).view(np.int64)
+    draws = mix(np.arange(1, CENTRES + 1, dtype=np.uint64)).view(np.int64)
     return [F.min(F.col("id").bitwiseXOR(F.lit(int(m)))).bitwiseXOR(F.lit(int(m))).alias(f"c{k}") for k, m in enumerate(draws)]
 
 
-def with_centres(members: DataFrame, round_: int) -> DataFrame:
+def with_centres(members: DataFrame) -> DataFrame:
     """(a, b) of members (key, id, degree) and the centres of their keys."""
     names = [f"c{k}" for k in range(CENTRES)]
-    chosen = members.groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("c"), *_spread_centres(round_))
+    chosen = members.groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("c"), *_spread_centres())
     found = members.join(chosen, "key").select("id", F.explode(F.array_distinct(F.array("c", *names))).alias("c"))
     return found.filter("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
@@ -290,7 +295,7 @@ def joined(members: DataFrame, decode: Decode, percent: int) -> DataFrame:
     percent / 100) + 1 of each. The rarest come first, so that copies of a text, edited too
     much to be similar, don't meet at what all of them hold. What meets is ruled out by length, by
     what is left from the first common place on, and by parities of hashed shingles, of which no more
-    differ than shingles do.
+    differ than shingles do. Where shingles shortly before are common too the pair has met there.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,11 +313,13 @@ def joined(members: DataFrame, decode: Decode, percent: int) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = held.value
-        columns: list[list[np.ndarray]] = [[] for _ in names]
+        columns: list[list[np.ndarray]] = [[] for _ in [*names, "before", "sizes"]]
         size = 0
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), pa.int64()) for v in columns], names=names)
+            *plain, before, sizes = (np.concatenate(v) for v in columns)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(before, pa.int64()))
+            return pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in plain), lists], names=[*names, "before"])
 
         for i, c, x in _spans(batches, decode):
             n = len(x)
@@ -327,28 +334,31 @@ def joined(members: DataFrame, decode: Decode, percent: int) -> DataFrame:
             bits = np.bincount((mix(x) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) % 2
             parity = np.packbits(bits.astype(np.uint8)).view(np.int64)
             m = len(places)
-            row = [x[places].view(np.int64), np.full(m, i), np.full(m, c), np.full(m, n), places, *(np.full(m, b) for b in parity)]
+            tokens = x[places].view(np.int64)
+            sizes = np.minimum(np.arange(m), BEFORE)
+            before = np.repeat(np.arange(m) - sizes, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            row = [tokens, np.full(m, i), np.full(m, c), np.full(m, n), places, *(np.full(m, b) for b in parity), tokens[before], sizes]
             for k, v in enumerate(row):
                 columns[k].append(v)
             size += m
             if size >= BLOCK:
                 yield batch()
-                columns, size = [[] for _ in names], 0
+                columns, size = [[] for _ in [*names, "before", "sizes"]], 0
         if size:
             yield batch()
 
-    rows = written(members.mapInArrow(prefixes, ", ".join(f"{x} long" for x in names)), "prefixes")
+    rows = written(members.mapInArrow(prefixes, ", ".join(f"{x} long" for x in names) + ", before array<long>"), "prefixes")
     # of a token, the smaller components against all it has
     sizes = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("l"), F.count(F.lit(1)).alias("several")).filter("several > 1")
     minor = written(rows.join(largest.select("token", "l"), "token").filter("component <> l.component").drop("l"), "minor")
-    other = rows.select("token", *[F.col(x).alias(f"{x}2") for x in names[1:]])
+    other = rows.select("token", *[F.col(x).alias(f"{x}2") for x in [*names[1:], "before"]])
     both = f"(({percent} * (n + n2) + {99 + percent}) DIV {100 + percent})"  # the least overlap that will do
     differ = " + ".join(f"bit_count(p{k} ^ p{k}2)" for k in range(PARITY))
     met = minor.join(
         other,
         (minor["token"] == other["token"])
-        & F.expr(f"component <> component2 AND least(n - at, n2 - at2) >= {both} AND least(n, n2) >= {both} AND {differ} <= n + n2 - 2 * {both}"),
+        & F.expr(f"component <> component2 AND least(n - at, n2 - at2) >= {both} AND least(n, n2) >= {both} AND {differ} <= n + n2 - 2 * {both} AND NOT arrays_overlap(before, before2)"),
     )
     found = written(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "pairs")
     forget(rows)
@@ -394,26 +404,19 @@ def linked(
     ids = met.select(F.explode(F.expr("CASE WHEN crowded THEN array(y) ELSE array(x, y) END")).alias("id")).distinct()
     known = written(fetch(written(ids, "ids")), "known")
     open_ = written(crowded.join(crowded.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id"), "open")
-    pairs = few.unionByName(with_centres(open_, 0)).distinct()
-    comp: DataFrame | None = None
-    for k in range(1, ROUNDS + 2):
-        links = written(verified(look(pairs), known, decode, percent), "links")
+    links = written(verified(look(few.unionByName(with_centres(open_)).distinct()), known, decode, percent), "links")
+    comp = None if links.isEmpty() else joined_with(None, links)
+    tagged = open_ if comp is None else open_.join(comp, "id", "left")
+    component = F.col("id") if comp is None else F.coalesce("component", "id")
+    tagged = written(tagged.select("key", "id", component.alias("component")), "tagged")
+    forget(open_)
+    split = tagged.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y")
+    left = tagged.join(split.select("key"), "key").select("id", "component").distinct().join(known, "id")
+    members = written(left.select("id", "component", "data"), "members")
+    if not members.isEmpty():
+        links = written(verified(joined(members, decode, percent), known, decode, percent), "links")
         if not links.isEmpty():
             comp = joined_with(comp, links)
-        if k > ROUNDS or open_.isEmpty():
-            break
-        tagged = open_.drop("component")
-        tagged = tagged.join(comp, "id", "left") if comp is not None else tagged.withColumn("component", F.col("id"))
-        tagged = written(tagged.withColumn("component", F.coalesce("component", "id")), "tagged")
-        split = tagged.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y")
-        forget(open_)
-        open_ = written(tagged.join(split.select("key"), "key"), "open")
-        forget(tagged)
-        if open_.isEmpty():
-            break
-        if k < ROUNDS:
-            pairs = with_centres(open_, k)
-        else:
-            members = open_.select("id", "component").distinct().join(known, "id").select("id", "component", "data")
-            pairs = joined(written(members, "members"), decode, percent)
+    forget(tagged)
+    forget(members)
     return comp, known

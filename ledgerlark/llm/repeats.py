@@ -8,12 +8,14 @@ need no comparison at all.
 1. Documents are gathered into chunks, written once; a chunk is the unit that replies go to.
 2. Chunks name their anchors' hashes; those that occur twice come back.
 3. Each chunk sorts the suffixes of its repeated anchors into runs, equal ones as one, and sends
-   them front-coded, a suffix as the length it shares with the one before and the rest.
+   them front-coded, a suffix as the length it shares with the one before and the rest. It keeps
+   the places of its suffixes by number.
 4. Each bucket merges its runs with a loser tree that starts every comparison behind the prefix
    already known to be shared. Neighbours in the merged order give how far suffixes agree to the
    right; what lies before the anchors gives how far to the left; both give the repeated windows.
-5. Anchors with very many different suffixes, too many for one bucket, are told apart by
-   hashes of their whole windows instead, counted with partial aggregation.
+5. An anchor with very many different suffixes sends them once for each CLASS of window starts,
+   cut to what those windows hold. Such suffixes meet by a longer prefix, all that a class's windows
+   have in common, so that the group splits into small ones and the same merge tells them apart.
 6. Chunks turn the replies into removed bytes.
 """
 
@@ -35,11 +37,11 @@ from ledgerlark.llm.common import forget, table, written
 WINDOW = 200
 GRAM = 48
 CHUNK_BYTES = 4 << 20
-#: Bytes that are hashed at once; a longer text is hashed alone.
+#: Bytes that are hashed at once; a longer text is hashed in parts.
 STEP_BYTES = 1 << 18
-#: An anchor whose chunks hold more different suffixes than this is told apart by window hashes; a
-#: group that is merged has no more of them, however often each occurs.
-OFTEN = 4096
+#: An anchor whose chunks hold more different suffixes than this is split by classes of window starts,
+#: each of so many.
+OFTEN, CLASS = 4096, 20
 #: Repeated anchors that one merging task takes, on average.
 BUCKET_ANCHORS = 40_000
 
@@ -56,28 +58,21 @@ def _longer(h: np.ndarray, step: int, other: np.ndarray | None = None) -> np.nda
     return out
 
 
-def hashes(data: np.ndarray, often: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Hashes of the GRAM bytes from each place and, if asked, of the WINDOW bytes."""
+def hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM bytes from each place."""
     h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
-    levels = {1: h}
     for step in (1, 2, 4, 8):
-        levels[2 * step] = _longer(levels[step], step)
-    gram = _longer(_longer(levels[16], 16), 32, levels[16])
-    whole = None
-    if often:
-        for step in (16, 32, 64):
-            levels[2 * step] = _longer(levels[step], step)
-        whole = _longer(_longer(levels[128], 128, levels[64]), 192, levels[8])
-    return gram, whole
+        h = _longer(h, step)
+    return _longer(_longer(h, 16), 32, h)
 
 
 class Anchors:
     """Anchors of some texts laid end to end: place, first and last window start, hash of 48 bytes."""
 
-    def __init__(self, data: np.ndarray, sizes: np.ndarray, often: bool = False):
+    def __init__(self, data: np.ndarray, sizes: np.ndarray):
         self.data = data
-        self.gram, self.whole = hashes(data, often)
+        self.gram = hashes(data)
         ends = np.cumsum(sizes)
         w = WINDOW - GRAM + 1
         empty = np.zeros(0, np.int64)
@@ -106,16 +101,22 @@ class Anchors:
         self.key = self.gram[self.at]
 
 
-def _steps(sizes: list[int], data: bytes, often: bool) -> Iterator[tuple[int, int, Anchors]]:
-    """(first text, first byte, anchors) of a chunk's texts, some at a time."""
+def _steps(sizes: list[int], data: bytes) -> Iterator[tuple[int, Anchors]]:
+    """(first byte, anchors) of a chunk's texts, some at a time; each window is in one of them."""
     whole = np.frombuffer(data, np.uint8)
     i = at = 0
     while i < len(sizes):
+        if sizes[i] > STEP_BYTES:
+            for k in range(0, sizes[i] - WINDOW + 1, STEP_BYTES):
+                part = whole[at + k : at + min(k + STEP_BYTES + WINDOW - 1, sizes[i])]
+                yield at + k, Anchors(part, np.array([len(part)], np.int64))
+            i, at = i + 1, at + sizes[i]
+            continue
         j, held = i, 0
-        while j < len(sizes) and (j == i or held + sizes[j] <= STEP_BYTES):
+        while j < len(sizes) and held + sizes[j] <= STEP_BYTES:
             held += sizes[j]
             j += 1
-        yield i, at, Anchors(whole[at : at + held], np.array(sizes[i:j], np.int64), often)
+        yield at, Anchors(whole[at : at + held], np.array(sizes[i:j], np.int64))
         i, at = j, at + held
 
 
@@ -205,7 +206,7 @@ def name_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             keys, variants = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for _, _, a in _steps(row["sizes"], row["data"], False):
+            for _, a in _steps(row["sizes"], row["data"]):
                 keys.append(a.key)
                 # both ends of what surrounds an anchor, which tell variants apart well enough to count them
                 ends = a.gram[a.low] * _A + a.gram[a.high + WINDOW - GRAM] if len(a.at) else a.key
@@ -213,25 +214,27 @@ def name_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pairs(row["chunk"], np.concatenate(keys), np.concatenate(variants))
 
 
-def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            often, found = _u64(row["often"]), [np.zeros(0, np.uint64)]
-            for _, _, a in _steps(row["sizes"], row["data"], True):
-                for k in np.flatnonzero(_among(a.key, often)):
-                    found.append(a.whole[a.low[k] : a.high[k] + 1])
-            yield _pairs(row["chunk"], np.concatenate(found))
+#: Anchor's kind, suffix and what is before it: of all windows of an anchor, or of one class of them.
+Suffix = tuple[int, bytes, bytes]
+PLAIN, SPLIT = 0, 1
 
 
-def entries(sizes: list[int], data: bytes, keys: np.ndarray) -> tuple[list[tuple[bytes, bytes]], dict]:
-    """A chunk's distinct (from the anchor on, before it), sorted, and where each occurs."""
-    found: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
-    for first, _, a in _steps(sizes, data, False):
+def entries(sizes: list[int], data: bytes, keys: np.ndarray, often: np.ndarray) -> dict[Suffix, list[int]]:
+    """A chunk's distinct suffixes and the places where each starts."""
+    found: dict[Suffix, list[int]] = {}
+    for base, a in _steps(sizes, data):
         raw = a.data.tobytes()
-        for k in np.flatnonzero(_among(a.key, keys)).tolist():
-            at, low = int(a.at[k]), int(a.low[k])
-            found.setdefault((raw[at : int(a.high[k]) + WINDOW], raw[low:at]), []).append((first, at))
-    return sorted(found), found
+        many = _among(a.key, often)
+        for k in np.flatnonzero(_among(a.key, keys) | many).tolist():
+            at, low, end = int(a.at[k]), int(a.low[k]), int(a.high[k]) + WINDOW
+            if not many[k]:
+                found.setdefault((PLAIN, raw[at:end], raw[low:at]), []).append(base + at)
+                continue
+            for start in range(at, low - 1, -CLASS):
+                suffix, before = raw[start : min(end, start + WINDOW)], raw[max(low, start - CLASS + 1) : start]
+                if len(suffix) + len(before) >= WINDOW:
+                    found.setdefault((SPLIT, suffix, before), []).append(base + start)
+    return found
 
 
 def shared_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -381,46 +384,84 @@ def repeated_windows(group: list[tuple[int, bytes, bytes, bool]]) -> list[list[t
     return out
 
 
+def _bucket(suffix: Suffix, buckets: int) -> int:
+    """Suffixes that can have a window in common are in one bucket, those of SPLIT kind from `buckets` on."""
+    kind, text, _ = suffix
+    return kind * buckets + zlib.crc32(text[: _common(kind)]) % buckets
+
+
+def _common(kind: int) -> int:
+    """What suffixes share at least if they have a window in common."""
+    return GRAM if kind == PLAIN else WINDOW - CLASS + 1
+
+
 def _runs(buckets: int):
+    """Runs by bucket, and under bucket -1 how often each suffix of the chunk occurs and where."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ordered, found = entries(row["sizes"], row["data"], _u64(row["keys"]))
+                found = entries(row["sizes"], row["data"], _u64(row["keys"]), _u64(row["often"]))
+                ordered = sorted(found)
                 split: dict[int, list] = {}
-                for e, (suffix, before) in enumerate(ordered):
-                    many = len(found[suffix, before]) > 1
-                    split.setdefault(zlib.crc32(suffix[:GRAM]) % buckets, []).append((e, suffix, before, many))
-                names, blobs = list(split), [front_code(r) for r in split.values()]
+                for e, suffix in enumerate(ordered):
+                    split.setdefault(_bucket(suffix, buckets), []).append((e, *suffix[1:], len(found[suffix]) > 1))
+                counts = np.array([len(found[x]) for x in ordered], "<i4")
+                places = np.array([p for x in ordered for p in found[x]], "<i4")
+                names, blobs = [-1, *split], [counts.tobytes() + places.tobytes(), *(front_code(r) for r in split.values())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int32()), pa.array([row["chunk"]] * len(names), pa.int64()), pa.array(blobs, pa.binary())],
-                    names=["bucket", "chunk", "run"],
+                    [
+                        pa.array(names, pa.int32()), pa.array([row["chunk"]] * len(names), pa.int64()), pa.array(blobs, pa.binary()),
+                        pa.array([len(ordered)] * len(names), pa.int64()),
+                    ],
+                    names=["bucket", "chunk", "run", "n"],
                 )
 
     return run
 
 
-def _merge_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("chunk")
-    chunks = rows["chunk"].tolist()
-    reply: dict[int, list[int]] = {}
-    group: list[tuple[int, bytes, bytes, bool]] = []
-    where: list[tuple[int, int]] = []
-
-    def close() -> None:
-        for (chunk, entry), ranges in zip(where, repeated_windows(group), strict=True):
-            for a, b in ranges:
-                reply.setdefault(chunk, []).extend((entry, a, b))
-        group.clear()
-        where.clear()
-
-    for shared, r, (_, suffix, entry, before, many) in merge_runs([read_run(b) for b in rows["run"]]):
-        if shared < GRAM:
-            close()
-        group.append((shared if group else 0, suffix, before, many))
-        where.append((chunks[r], entry))
-    close()
-    names = list(reply)
-    return pd.DataFrame({"chunk": names, "found": [np.array(reply[c], np.int32) for c in names]})
+def _merger(buckets: int):
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        least = _common(PLAIN if rows["bucket"].iloc[0] < buckets else SPLIT)
+        rows = rows.sort_values("chunk")
+        chunks = rows["chunk"].tolist()
+        reply: dict[int, list[int]] = {}
+        group: list[tuple[int, bytes, bytes, bool]] = []
+        where: list[list[tuple[int, int]]] = []
+
+        def close() -> None:
+            for places, ranges in zip(where, repeated_windows(group), strict=True):
+                for chunk, entry in places:
+                    for a, b in ranges:
+                        reply.setdefault(chunk, []).extend((entry, a, b))
+            group.clear()
+            where.clear()
+
+        for shared, r, (_, suffix, entry, before, many) in merge_runs([read_run(b) for b in rows["run"]]):
+            if shared < least:
+                close()
+            elif group and shared == len(suffix) == len(group[-1][1]) and before == group[-1][2]:
+                group[-1] = (*group[-1][:3], True)  # the same suffix of another chunk
+                where[-1].append((chunks[r], entry))
+                continue
+            group.append((shared if group else 0, suffix, before, many))
+            where.append([(chunks[r], entry)])
+        close()
+        names = list(reply)
+        return pd.DataFrame({"chunk": names, "found": [np.array(reply[c], np.int32) for c in names]})
+
+    return merge
+
+
+def removed_spans(begins: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of what is between starts and ends; none goes over where a text begins."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    text = np.searchsorted(begins, starts, side="right")
+    new = np.ones(len(starts), bool)
+    new[1:] = (starts[1:] > ends[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    return starts[first], ends[np.append(first[1:], len(starts)) - 1] if len(starts) else ends
 
 
 def apply_replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,34 +469,30 @@ def apply_replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
     )
     for batch in batches:
-        for row in batch.to_pylist():
-            sizes, data = row["sizes"], row["data"]
+        for k in range(batch.num_rows):
+            ids, sizes, data, found, places, n = (batch.column(c)[k] for c in range(6))
+            ids, sizes, data = ids.as_py(), sizes.as_py(), memoryview(data.as_buffer())
             begins = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-            change = np.zeros(len(data) + 1, np.int32)
-            if row["found"]:
-                ordered, places = entries(sizes, data, _u64(row["keys"]))
-                found = np.array([x for f in row["found"] for x in f], np.int64).reshape(-1, 3)
-                for e, near, far in found.tolist():
-                    for first, at in places[ordered[e]]:
-                        change[begins[first] + at - far] += 1
-                        change[begins[first] + at - near + WINDOW] -= 1
-            hot = _u64(row["windows"])
-            if len(hot):
-                often = _u64(row["often"])
-                for _, base, a in _steps(sizes, data, True):
-                    for k in np.flatnonzero(_among(a.key, often)):
-                        starts = base + a.low[k] + np.flatnonzero(_among(a.whole[a.low[k] : a.high[k] + 1], hot))
-                        np.add.at(change, starts, 1)
-                        np.add.at(change, starts + WINDOW, -1)
-            gone = np.cumsum(change[:-1]) > 0
-            whole, out = np.frombuffer(data, np.uint8), []
-            for doc, a, b in zip(row["ids"], begins[:-1], begins[1:], strict=True):
-                g = gone[a:b]
-                kept = whole[a:b][~g].tobytes()
+            starts = ends = np.zeros(0, np.int64)
+            if found.is_valid:
+                numbers = np.frombuffer(places.as_buffer(), "<i4")
+                counts, at = numbers[: n.as_py()].astype(np.int64), numbers[n.as_py() :].astype(np.int64)
+                first = np.cumsum(counts) - counts
+                e, near, far = np.concatenate([f.values.to_numpy() for f in found]).astype(np.int64).reshape(-1, 3).T
+                times = counts[e]
+                which = np.repeat(first[e], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                starts, ends = at[which] - np.repeat(far, times), at[which] - np.repeat(near, times) + WINDOW
+                starts, ends = removed_spans(begins, starts, ends)
+            bounds = np.searchsorted(starts, begins)
+            out = []
+            for i, doc in enumerate(ids):
+                a, b = begins[i], begins[i + 1]
+                gone = list(zip(starts[bounds[i] : bounds[i + 1]].tolist(), ends[bounds[i] : bounds[i + 1]].tolist(), strict=True))
+                edges = [int(a), *(x for span in gone for x in span), int(b)]
+                kept = b"".join(data[x:y] for x, y in zip(edges[0::2], edges[1::2], strict=True))
                 out.append(
                     {
-                        "doc_id": doc, "n_bytes": int(b - a), "n_removed": int(g.sum()),
-                        "n_spans": int(np.count_nonzero(np.diff(g.astype(np.int8), prepend=0) == 1)),
+                        "doc_id": doc, "n_bytes": int(b - a), "n_removed": sum(y - x for x, y in gone), "n_spans": len(gone),
                         "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept,
                     }
                 )
@@ -468,30 +505,24 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     Every byte goes that lies in a 200-byte string which starts at another place too, in any text
     or in the same one; matches never cross texts, and nothing depends on what is removed
     elsewhere. Null texts are empty; repeated rows are texts of their own and so remove each
-    other; a null doc_id stays null. Suffixes are compared as bytes; anchors, and the windows of
-    very frequent ones, by 64-bit hashes. An empty table gives an empty result.
+    other; a null doc_id stays null. Suffixes are compared as bytes; 64-bit hashes only choose
+    anchors. An empty table gives an empty result.
     """
     chunks = written(chunks_of(documents), "chunks")
     named = _repeated(chunks.select("chunk", "sizes", "data").mapInArrow(name_anchors, _PAIRS), "anchors")
-    total = named.agg(F.sum(F.size("keys"))).first()[0] or 0
-    # one chunk's replies are a row, so that texts are joined with them once
-    with_keys = chunks.join(named, "chunk")
-    windows = _repeated(
-        with_keys.filter("size(often) > 0").select("chunk", "sizes", "data", "often").mapInArrow(name_windows, _PAIRS),
-        "windows",
-    ).select("chunk", F.concat("keys", "often").alias("windows"))
+    total = named.agg(F.sum(F.size("keys") + F.size("often"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_ANCHORS))
     runs = written(
-        with_keys.filter("size(keys) > 0").select("chunk", "sizes", "data", "keys").mapInArrow(_runs(buckets), "bucket int, chunk long, run binary"),
+        chunks.join(named, "chunk").select("chunk", "sizes", "data", "keys", "often").mapInArrow(_runs(buckets), "bucket int, chunk long, run binary, n long"),
         "runs",
     )
-    merged = written(runs.groupBy("bucket").applyInPandas(_merge_bucket, "chunk long, found array<int>"), "merged")
-    forget(runs)
+    merged = written(runs.filter("bucket >= 0").groupBy("bucket").applyInPandas(_merger(buckets), "chunk long, found array<int>"), "merged")
+    # one chunk's replies are a row, so that texts are joined with them once
     found = merged.groupBy("chunk").agg(F.collect_list("found").alias("found"))
-    replies = named.join(found, "chunk", "left").join(windows, "chunk", "left")
+    replies = found.join(runs.filter("bucket = -1").select("chunk", F.col("run").alias("places"), "n"), "chunk")
     return (
         chunks.join(replies, "chunk", "left")
-        .select("ids", "sizes", "data", "keys", "often", "found", "windows")
+        .select("ids", "sizes", "data", "found", "places", "n")
         .mapInArrow(
             apply_replies, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
         )
