@@ -10,7 +10,7 @@ needs no shuffle at all, and with more the places found per document are gathere
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import table
+from ledgerlark.llm.hashing import word_hashes
 
 WINDOW = 13
 #: UTF-8 bytes of test text that are sent to the tasks at once.
@@ -28,18 +29,10 @@ BATCH_BYTES = 2 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_VALUES = np.arange(1, 257, dtype=np.uint64)
+_VALUES[0x41:0x5B] += np.uint64(32)  # A-Z count as a-z
 
-_SCHEMA = "doc_id long, n_words long, spans array<long>, items array<string>"
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & (2**64 - 1), np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+_SCHEMA = "doc_id long, t1 long, t2 long, n_words long, spans array<long>, items array<string>, longest long"
 
 
 def word_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,12 +42,7 @@ def word_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.concatenate(([False], _WORD[data]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
-    # hash of a word: its polynomial in _BASE, from prefix sums modulo 2 ** 64
-    low = _LOWER[data].astype(np.uint64)
-    low += np.uint64(1)
-    low *= _powers(_BASE, len(data))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(low)))
-    hashes = (sums[ends] - sums[starts]) * _powers(_BASE_INVERSE, len(data) + 1)[starts]
+    hashes = word_hashes(data, starts, ends, _VALUES)
     hashes ^= hashes >> np.uint64(29)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
     hashes ^= hashes >> np.uint64(32)
@@ -71,13 +59,14 @@ class Tests:
         self.bits = max(1, int(len(self.vocabulary)).bit_length())
         self.per = 64 // self.bits
         self.levels = -(-window // self.per)
-        wanted: dict[tuple[int, ...], set[str]] = {}
+        wanted: dict[tuple[int, ...], set[tuple[str, int]]] = {}
         for i, (name, _) in enumerate(items):
             own = ids[owner == i] if len(items) < 64 else ids[np.searchsorted(owner, i) : np.searchsorted(owner, i + 1)]
             n = min(window, len(own))
             for k in range(len(own) - n + 1) if n else ():
-                wanted.setdefault(tuple(own[k : k + n].tolist()), set()).add(str(name))
-        self.windows = [(w, sorted(names)) for w, names in sorted(wanted.items())]
+                wanted.setdefault(tuple(own[k : k + n].tolist()), set()).add((str(name), k))
+        #: Each different window, with the items that hold it and where.
+        self.windows = [(w, sorted(held)) for w, held in sorted(wanted.items())]
         self.shortest = min((len(w) for w, _ in self.windows), default=0)
 
     def bounds(self, window: tuple[int, ...]) -> list[tuple[int, int]]:
@@ -122,8 +111,8 @@ def suffix_array(tests: Tests, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.
     return places[order], [k[order] for k in keys]
 
 
-def search(tests: Tests, places: np.ndarray, keys: list[np.ndarray]) -> Iterator[tuple[np.ndarray, int, list[str]]]:
-    """Each test window that occurs: the positions, its length and its items."""
+def search(tests: Tests, places: np.ndarray, keys: list[np.ndarray]) -> Iterator[tuple[np.ndarray, int, list[tuple[str, int]]]]:
+    """Each test window that occurs: the positions, its length, and the items that hold it and where."""
     if not len(places):
         return
     bounds = [tests.bounds(w) for w, _ in tests.windows]
@@ -139,35 +128,47 @@ def search(tests: Tests, places: np.ndarray, keys: list[np.ndarray]) -> Iterator
             yield places[a:b], len(tests.windows[q][0]), tests.windows[q][1]
 
 
-def _batches(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
+def _batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > BATCH_BYTES:
-            yield ids[start:i], texts[start:i]
+            yield start, i
             start, size = i, 0
         size += len(t)
     if start < len(texts):
-        yield ids[start:], texts[start:]
+        yield start, len(texts)
 
 
-def _find(tests: Tests, ids: list, texts: list[bytes]) -> Iterator[dict]:
+def _find(tests: Tests, texts: list[bytes]) -> Iterator[tuple[int, list[int], list[str], int]]:
+    """For each text its words, the spans hit, the items found, and the words of the longest match."""
     hashes, doc = word_table(texts)
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     spans: dict[int, list[tuple[int, int]]] = {}
-    items: dict[int, set[str]] = {}
+    found: dict[int, set[tuple[str, int, int, int]]] = {}
     if tests.windows and len(hashes):
-        for places, length, names in search(tests, *suffix_array(tests, hashes, doc)):
+        for places, length, held in search(tests, *suffix_array(tests, hashes, doc)):
             for p in places.tolist():
                 d = int(doc[p])
-                spans.setdefault(d, []).append((p - int(first[d]), p - int(first[d]) + length))
-                items.setdefault(d, set()).update(names)
-    for d, name in enumerate(ids):
-        yield {
-            "doc_id": name,
-            "n_words": int(first[d + 1] - first[d]),
-            "spans": [x for s in join_spans(spans.get(d, [])) for x in s],
-            "items": sorted(items.get(d, ())),
-        }
+                at = p - int(first[d])
+                spans.setdefault(d, []).append((at, at + length))
+                found.setdefault(d, set()).update((name, length, at - k, at) for name, k in held)
+    for d in range(len(texts)):
+        own = found.get(d, ())
+        joined = [x for s in join_spans(spans.get(d, [])) for x in s]
+        yield int(first[d + 1] - first[d]), joined, sorted({x[0] for x in own}), longest(own)
+
+
+def longest(found: Iterable[tuple[str, int, int, int]]) -> int:
+    """The words of the longest match with one item, of (item, window's length, place less place in the item, place).
+
+    A match goes on where the next window of the text is the item's next one.
+    """
+    best = run = 0
+    last = None
+    for name, length, away, at in sorted(found):
+        run = run + 1 if last == (name, length, away, at - 1) else 1
+        best, last = max(best, length + run - 1), (name, length, away, at)
+    return best
 
 
 def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -183,29 +184,33 @@ def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _matches(documents: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(items)
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
-    )
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64()]
+    names = ["doc_id", "t1", "t2", "n_words", "spans", "items", "longest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = Tests(sent.value, window)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [x or b"" for x in batch.column(1).to_pylist()]
-            for some, part in _batches(ids, texts):
-                yield pa.RecordBatch.from_pylist(list(_find(tests, some, part)), schema)
+            texts = [x or b"" for x in batch.column(3).to_pylist()]
+            for a, b in _batches(texts):
+                got = list(zip(*_find(tests, texts[a:b]), strict=True))
+                own = [batch.column(k).slice(a, b - a) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(list(v), k) for v, k in zip(got, kinds, strict=True))], names=names)
 
+    text = F.coalesce("text", F.lit(""))
     return documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")
-    ).mapInArrow(run, _SCHEMA)
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"),
+        F.encode(text, "UTF-8").alias("text"),
+    ).mapInArrow(run, _SCHEMA)
 
 
 def contamination(
     documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, spans.
+    """Per document: doc_id, t1, t2 (its text), n_words, n_hit, n_items, items_sha256, contaminated, longest_match, spans.
 
     A word is a run of ASCII letters, digits and characters beyond ASCII; A-Z count as a-z. spans
-    holds the start and end of each maximal run of hit words. Null texts have no words and no hits,
+    holds the start and end of each maximal run of hit words, longest_match the words of the longest
+    match with one item. Null texts have no words and no hits,
     and null or empty items no windows; items with equal texts count each; repeated documents are
     rows of their own; a null doc_id stays null. Words are compared by 64-bit hashes. An empty
     benchmark leaves every document clean.
@@ -219,7 +224,8 @@ def contamination(
     if blocks == 1:
         found = _matches(documents, [(r[0], bytes(r[1])) for r in tests.collect()], window)
     else:
-        # one pass over the documents for each block; places are then gathered by row
+        # one pass over the documents for each block; places are then gathered by row, or for all
+        # rows of equal doc_id and text at once, since they have the same
         rows = documents.select("doc_id", "text")
         one: DataFrame | None = None
         for k in range(blocks):
@@ -227,19 +233,20 @@ def contamination(
             got = _matches(rows, [(r[0], bytes(r[1])) for r in part.collect()], window)
             one = got if one is None else one.unionByName(got)
         found = (
-            one.groupBy("doc_id")
+            one.groupBy("doc_id", "t1", "t2")
             .agg(
                 F.max("n_words").alias("n_words"),
                 (F.count(F.lit(1)) / blocks).cast("int").alias("copies"),
                 F.flatten(F.collect_set("spans")).alias("spans"),
                 F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+                F.max("longest").alias("longest"),
             )
             .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
             .drop("copies", "copy")
         )
     digest = pa.schema(
         [
-            ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
+            ("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
             ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest_match", pa.int64()), ("spans", pa.list_(pa.int64())),
         ]
     )
@@ -253,17 +260,17 @@ def contamination(
                 hit = sum(b - a for a, b in spans)
                 out.append(
                     {
-                        "doc_id": row["doc_id"], "n_words": row["n_words"], "n_hit": hit, "n_items": len(row["items"]),
+                        "doc_id": row["doc_id"], "t1": row["t1"], "t2": row["t2"], "n_words": row["n_words"], "n_hit": hit, "n_items": len(row["items"]),
                         "items_sha256": hashlib.sha256(",".join(sorted(row["items"])).encode()).hexdigest(),
                         "contaminated": hit > 0 and 20 * hit >= row["n_words"],
-                        "longest_match": max((b - a for a, b in spans), default=0), "spans": [x for s in spans for x in s],
+                        "longest_match": row["longest"], "spans": [x for s in spans for x in s],
                     }
                 )
             yield pa.RecordBatch.from_pylist(out, digest)
 
-    return found.select("doc_id", "n_words", "spans", "items").mapInArrow(
+    return found.select("doc_id", "t1", "t2", "n_words", "spans", "items", "longest").mapInArrow(
         finish,
-        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
+        "doc_id long, t1 long, t2 long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
         "longest_match long, spans array<long>",
     )
 
@@ -271,10 +278,12 @@ def contamination(
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, all columns, whatever their doc_id.
 
-    Rows whose doc_id repeats go together if one of them is contaminated.
+    A row goes if its text is contaminated, so that rows of equal texts go together.
     """
-    bad = contamination(documents, benchmark, window).filter("contaminated").select("doc_id").distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    bad = contamination(documents, benchmark, window).filter("contaminated").select("t1", "t2").distinct()
+    text = F.coalesce("_row.text", F.lit(""))
+    keyed = documents.select(F.struct("*").alias("_row")).select("_row", F.xxhash64(text).alias("_x"), F.xxhash64(F.lit(1), text).alias("_y"))
+    return keyed.join(bad, (F.col("_x") == F.col("t1")) & (F.col("_y") == F.col("t2")), "left_anti").select("_row.*")
 
 
 def op10_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +298,7 @@ SQL = rf"""
 WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, {_SPLIT} AS w FROM benchmark),
 iw AS (
-  SELECT DISTINCT item, least({WINDOW}, len(w)) AS m, array_to_string(w[k:k + least({WINDOW}, len(w)) - 1], ' ') AS win
+  SELECT DISTINCT item, k AS j, least({WINDOW}, len(w)) AS m, array_to_string(w[k:k + least({WINDOW}, len(w)) - 1], ' ') AS win
   FROM b, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) u(k) WHERE len(w) > 0
 ),
 ms AS (SELECT DISTINCT m FROM iw),
@@ -299,9 +308,11 @@ dw AS (
 ),
 hit AS (SELECT doc_id, iw.m, k, item FROM dw JOIN iw ON dw.win = iw.win AND dw.m = iw.m),
 cover AS (SELECT DISTINCT doc_id, p FROM hit, unnest(range(k, k + m)) u(p)),
+placed AS (SELECT DISTINCT doc_id, iw.m, item, k - j AS away, k FROM dw JOIN iw ON dw.win = iw.win AND dw.m = iw.m),
 runs AS (
-  SELECT doc_id, count(*) AS n FROM (
-    SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM cover) GROUP BY doc_id, g
+  SELECT doc_id, m + count(*) - 1 AS n FROM (
+    SELECT doc_id, m, item, away, k - row_number() OVER (PARTITION BY doc_id, m, item, away ORDER BY k) AS g FROM placed)
+  GROUP BY doc_id, m, item, away, g
 ),
 longest AS (SELECT doc_id, max(n) AS longest_match FROM runs GROUP BY doc_id),
 hits AS (SELECT doc_id, count(*) AS n_hit FROM cover GROUP BY doc_id),

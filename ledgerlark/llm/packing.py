@@ -10,6 +10,7 @@ partitions in a tree of fixed fan-in, so no task ever meets more than FAN_IN win
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,6 +28,8 @@ OPEN_WINDOWS = 64
 #: Part-filled windows that one merging task takes.
 FAN_IN = 64
 END = 0
+#: White space of this length is left to tokenizers: the pattern's look ahead goes one level deeper a character.
+LONG_BLANK = 1000
 
 _PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -39,36 +42,45 @@ def load_encoder(path: str) -> Callable[[str], list[int]]:
     """encode(text) for a tokenizer file of the tokenizers library, special tokens not added.
 
     A plain byte-level BPE file is run by tiktoken, which gives the same ids several times as
-    fast; any other file, and a text that holds an added token's string, by tokenizers itself.
+    fast; any other file, and a text that holds an added token's string or white space too long for
+    tiktoken's pattern, by tokenizers itself.
     """
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    model = spec["model"]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", ())]
+    made = [model["vocab"].get("".join(m)) for m in pairs]
     plain = (
-        spec["model"]["type"] == "BPE"
+        model["type"] == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        # pairs merge in the order of the ids that they make
+        and None not in made
+        and all(a < b for a, b in zip(made, made[1:], strict=False))
         and not spec.get("normalizer")
         and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
         and spec["pre_tokenizer"].get("use_regex", True)
         and not spec["pre_tokenizer"].get("add_prefix_space")
-        and not spec["model"].get("ignore_merges")
+        and not model.get("ignore_merges")
     )
     exact = lambda text: slow.encode(text, add_special_tokens=False).ids
     if not plain:
         return exact
     import tiktoken
 
-    # byte-level vocabularies write printable bytes as themselves and the others from U+0100 on
+    # fixed values: byte-level vocabularies write printable bytes as themselves and the others from U+0100 on
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     letters = {chr(b): b for b in shown}
     letters |= {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
     added = {t["content"] for t in spec.get("added_tokens", ())}
-    ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
-    # the byte-level pre-tokenizer's public pattern
+    ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+    # fixed value: the byte-level pre-tokenizer's public pattern
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: exact(text) if any(a in text for a in added) else fast(text)
+    blank = re.compile(rf"\s{{{LONG_BLANK}}}")
+    return lambda text: exact(text) if blank.search(text) or any(a in text for a in added) else fast(text)
 
 
 class Packer:
