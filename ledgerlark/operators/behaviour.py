@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import columns as C
 
+# The features' names in the order that models take them.
 FEATURES = [
     "amount", "log_amount", "hour", "weekday", "delta_prev_seconds", "rolling_mean_10", "rolling_count_10", "device_change",
 ]
@@ -123,7 +124,7 @@ def velocity(txns: DataFrame) -> DataFrame:
 
 
 def shared_devices(txns: DataFrame) -> DataFrame:
-    """Per user: devices used, and other users met on them.
+    """Per user: devices used, and links, one for each other user of each of them.
 
     Users and devices are counted on the bipartite graph, whose pairs of users are never listed;
     widest_device tells a kiosk from a link.
@@ -139,13 +140,17 @@ def shared_devices(txns: DataFrame) -> DataFrame:
 
 
 def reason_codes(features: DataFrame, names: list[str] = FEATURES, top: int = 3) -> DataFrame:
-    """transaction_id and its `top` features by distance from the user's own mean in deviations."""
-    w = Window.partitionBy("user_id")
+    """transaction_id and its `top` features by distance from the mean of the user's earlier rows, in deviations.
+
+    A first row has no history and distances of 0. Ties go to the later name.
+    """
+    w = _history().rowsBetween(Window.unboundedPreceding, -1)
     z = [
         F.struct(
-            F.abs((F.col(c) - F.avg(c).over(w)) / _spread(F.stddev_pop(c).over(w))).alias("z"), F.lit(c).alias("feature")
+            F.coalesce(F.round(F.abs((F.col(c) - F.avg(c).over(w)) / _spread(F.stddev_pop(c).over(w))), 6), F.lit(0.0)).alias("z"),
+            F.lit(c).alias("feature"),
         )
         for c in names
     ]
     ranked = features.withColumn("_z", F.sort_array(F.array(*z), asc=False))
-    return ranked.select("transaction_id", "user_id", F.slice("_z", 1, top).alias("reasons"))
+    return ranked.select("event_id", "transaction_id", "user_id", F.slice("_z", 1, top).alias("reasons"))

@@ -31,6 +31,21 @@ def binary_metrics(rows: DataFrame, label: str = "label", score: str = "score",
     )
 
 
+def class_report(rows: DataFrame, label: str = "label", score: str = "score", cut: float = 0.5) -> DataFrame:
+    """class (0 and 1), precision, recall, f1 and support of each."""
+    k = binary_metrics(rows, label, score, cut)
+
+    def one(name: int, hit: str, wrong: str, missed: str) -> Column:
+        h, w, m = F.col(hit), F.col(wrong), F.col(missed)
+        share = lambda top, low: F.coalesce(F.try_divide(top, low), F.lit(0.0))
+        return F.struct(
+            F.lit(name).alias("class"), share(h, h + w).alias("precision"), share(h, h + m).alias("recall"),
+            share(2 * h, 2 * h + w + m).alias("f1"), (h + m).alias("support"),
+        )
+
+    return k.select(F.inline(F.array(one(0, "tn", "fn", "fp"), one(1, "tp", "fp", "fn"))))
+
+
 def _cumulated(rows: DataFrame, x: str, counts: list[str]) -> DataFrame:
     """rows, one per value of x, with c_<count>: the sum of the smaller values' counts.
 

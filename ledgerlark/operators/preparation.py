@@ -57,12 +57,15 @@ def one_hot(df: DataFrame, columns: list[str], most: int = 1000) -> DataFrame:
 
 
 def feature_defaults(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, binary and default: a 0/1 column's most frequent value, the lower on a tie, else the median."""
+    """pos, column, binary and default: a 0/1 column's most frequent value, the lower on a tie, else the median."""
     binary = {c: F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(0, 1)) == 0 for c in columns}
     mode = {c: F.mode(F.col(c), deterministic=True).cast("double") for c in columns}
     return _long(
         df,
-        {c: {"binary": binary[c], "default": F.when(binary[c], mode[c]).otherwise(F.median(c).cast("double"))} for c in columns},
+        {
+            c: {"pos": F.lit(k), "binary": binary[c], "default": F.when(binary[c], mode[c]).otherwise(F.median(c).cast("double"))}
+            for k, c in enumerate(columns)
+        },
     )
 
 

@@ -29,14 +29,15 @@ def totals(txns: DataFrame) -> DataFrame:
 
 
 def daily_amounts(txns: DataFrame) -> DataFrame:
-    """user_id, day, deposit and withdraw amounts, 0 on a day that has only the other."""
-    rows = txns.filter(F.lower("tx_type").isin("deposit", "withdraw"))
+    """user_id, day, deposit and withdraw amounts in any spelling, 0 on a day that has only the other."""
+    kinds = ["deposit", "withdraw"]
     return (
-        rows.groupBy("user_id", F.to_date("timestamp").alias("day"))
-        .pivot("kind" if "kind" in rows.columns else "tx_type", ["Deposit", "withdraw"])
+        txns.withColumn("kind", F.lower("tx_type"))
+        .filter(F.col("kind").isin(kinds))
+        .groupBy("user_id", F.to_date("timestamp").alias("day"))
+        .pivot("kind", kinds)
         .agg(F.sum("amount"))
         .na.fill(0.0)
-        .withColumnsRenamed({"Deposit": "deposit"})
     )
 
 
@@ -69,6 +70,13 @@ def displayed(txns: DataFrame) -> DataFrame:
     )
 
 
+def ordered_history(df: DataFrame, time: str, key: str, path: str) -> DataFrame:
+    """Each user's rows from old to new with their position, written in this order."""
+    w = Window.partitionBy("user_id").orderBy(time, key)
+    df.withColumn("position", F.row_number().over(w)).sortWithinPartitions("user_id", "position").write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def latency_summary(scored: DataFrame, elapsed_s: float | None = None) -> DataFrame:
     """Mean, median, least and greatest latency_ms and, given the elapsed time, rows a second."""
     return scored.agg(

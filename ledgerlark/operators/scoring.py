@@ -28,6 +28,16 @@ def ensemble(rows: DataFrame) -> DataFrame:
     )
 
 
+def decided(txns: DataFrame, personal: DataFrame, population: DataFrame) -> DataFrame:
+    """txns (event_id, is_extreme) with the verdict of the personal model where the user has one, else of the population's.
+
+    personal has event_id, personal and personal_anomaly, population event_id and population; a row
+    that neither knows is judged by the extreme-amount rule alone.
+    """
+    rows = txns.join(personal.select("event_id", "personal", "personal_anomaly"), "event_id", "left")
+    return ensemble(rows.join(population.select("event_id", "population"), "event_id", "left"))
+
+
 def fused(views: dict[str, float]) -> Column:
     """The weighted mean of the view columns that are present; null without any."""
     top = [F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in views.items()]

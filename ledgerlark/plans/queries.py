@@ -5,8 +5,10 @@ Doubles are rounded to six places on both sides, times are given as text.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +59,12 @@ def day(name: str = "day") -> Column:
 
 
 def _shared(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    """A new folder in spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="spark-stream-")
     return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -143,9 +150,9 @@ def user_totals_recent200(spark: SparkSession, sf: str) -> DataFrame:
     return _totals(reports.latest(S.transactions(spark, sf), "timestamp", "event_id", 200))
 
 
-@query("""SELECT user_id, strftime(timestamp, '%Y-%m-%d') AS day, round(coalesce(sum(CASE WHEN tx_type = 'Deposit' THEN amount END), 0), 6) AS deposit,
-  round(coalesce(sum(CASE WHEN tx_type = 'withdraw' THEN amount END), 0), 6) AS withdraw
-FROM v_transactions WHERE tx_type IN ('Deposit', 'withdraw') GROUP BY ALL""")
+@query("""SELECT user_id, strftime(timestamp, '%Y-%m-%d') AS day, round(coalesce(sum(CASE WHEN lower(tx_type) = 'deposit' THEN amount END), 0), 6) AS deposit,
+  round(coalesce(sum(CASE WHEN lower(tx_type) = 'withdraw' THEN amount END), 0), 6) AS withdraw
+FROM v_transactions WHERE lower(tx_type) IN ('deposit', 'withdraw') GROUP BY ALL""")
 def daily_amounts_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return reports.daily_amounts(S.transactions(spark, sf)).select("user_id", day(), r6("deposit"), r6("withdraw"))
 
@@ -448,7 +455,7 @@ def velocity_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT DISTINCT user_id, device_id FROM v_transactions WHERE device_id IS NOT NULL),
 d AS (SELECT device_id, count(*) AS u FROM e GROUP BY device_id)
-SELECT user_id, count(*) AS devices, sum(CASE WHEN u <= 1000 THEN u - 1 ELSE 0 END)::BIGINT AS links, max(u) AS widest_device FROM e JOIN d USING (device_id) GROUP BY user_id""")
+SELECT user_id, count(*) AS devices, sum(u - 1)::BIGINT AS links, max(u) AS widest_device FROM e JOIN d USING (device_id) GROUP BY user_id""")
 def shared_devices(spark: SparkSession, sf: str) -> DataFrame:
     return behaviour.shared_devices(S.transactions(spark, sf))
 
@@ -510,10 +517,24 @@ def identity_merge(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("txn"), "segment", "has_identity", preparation.entity_key("o_custkey", "o_orderpriority").alias("uid"))
 
 
-@query()
+_PAST = f"{_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_Z = ", ".join(
+    f"{{'z': coalesce(round(abs(({c} - avg({c}) {_PAST}) / CASE WHEN stddev_pop({c}) {_PAST} > 0 THEN stddev_pop({c}) {_PAST} ELSE 1 END), 6), 0), 'feature': '{c}'}}"
+    for c in behaviour.FEATURES
+)
+
+
+@query(f"""WITH f AS (SELECT event_id, user_id, timestamp, amount, ln(1 + greatest(amount, 0)) AS log_amount, hour(timestamp) AS hour, isodow(timestamp) - 1 AS weekday,
+  coalesce((epoch_us(timestamp) - epoch_us(lag(timestamp) {_W}))) / 1e6, 0) AS delta_prev_seconds,
+  coalesce(avg(amount) {_W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0) AS rolling_mean_10,
+  count(amount) {_W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS rolling_count_10,
+  CASE WHEN lag(event_id) {_W}) IS NULL OR coalesce(device_id, '') <> lag(coalesce(device_id, '')) {_W}) THEN 1 ELSE 0 END AS device_change
+  FROM v_transactions WHERE timestamp IS NOT NULL),
+r AS (SELECT event_id, user_id, list_reverse_sort([{_Z}])[1] AS top FROM f)
+SELECT event_id, user_id, top.feature AS first, round(top.z, 4) AS z FROM r""")
 def reason_codes(spark: SparkSession, sf: str) -> DataFrame:
     found = behaviour.reason_codes(behaviour.behaviour_features(S.transactions(spark, sf)))
-    return found.select("transaction_id", "user_id", F.col("reasons")[0]["feature"].alias("first"), F.round(F.col("reasons")[0]["z"], 6).alias("z"))
+    return found.select("event_id", "user_id", F.col("reasons")[0]["feature"].alias("first"), F.round(F.col("reasons")[0]["z"], 4).alias("z"))
 
 
 @query()
@@ -524,12 +545,24 @@ def user_forest_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query()
-def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
+def gbt_scores(spark: SparkSession, sf: str, rounds: int = 200) -> DataFrame:
     rows = preparation.time_split(preparation.impute(S.training(spark, sf), skip=("txn_id",)), "txn_dt")
-    model = models.train_population(rows.filter("split = 'train'"), _NUMBERS, "is_fraud", rounds=10)
+    model = models.train_population(rows.filter("split = 'train'"), _NUMBERS, "is_fraud", rounds=rounds)
     return models.score_population(rows.filter("split <> 'train'"), model, _NUMBERS).select("txn_id", "is_fraud", r6("population"))
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """The state store that keyed processors need, for as long as a stream is started and run."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     """The transactions as a stream of files, landed in the shared folder in order of time first."""
     landed = f"{_shared(spark)}/landed"
@@ -540,12 +573,8 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 @query(_FEATURES_SQL.replace("round(ln(1 + greatest(amount, 0)), 6) AS log_amount,", "").replace("hour(timestamp)::INT AS hour, (isodow(timestamp) - 1)::INT AS weekday,", ""))
 def stream_features(spark: SparkSession, sf: str) -> DataFrame:
     at = _shared(spark)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with keyed_state(spark):
         jobs.run_available(jobs.stream_features(_stream(spark, sf)), f"{at}/out", f"{at}/checkpoint")
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.parquet(f"{at}/out").select(
         "event_id", "user_id", r6("amount"), r6("delta_prev_seconds"), r6("rolling_mean_10"), "rolling_count_10", "device_change"
     )

@@ -89,6 +89,38 @@ def save_model(model, path: str) -> None:
         model.write().overwrite().save(path)
 
 
+def load_model(spark: SparkSession, path: str, trees: bool = False):
+    """What save_model() wrote: a table of trees, or the population model."""
+    from pyspark.ml.classification import GBTClassificationModel
+
+    return spark.read.parquet(path) if trees else GBTClassificationModel.load(path)
+
+
+def save_metadata(defaults: DataFrame, path: str) -> None:
+    """The order of a model's columns and their defaults, a row each."""
+    defaults.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).orderBy("pos")
+
+
+def training_columns(df: DataFrame) -> DataFrame:
+    """The fifteen columns that the baseline model is trained on, in their order; missing ones are null."""
+    return conform(df, TRAINING)
+
+
+def peek(df: DataFrame, *order: str, n: int = 5) -> DataFrame:
+    """The first n rows in an order."""
+    return df.orderBy(*order).limit(n)
+
+
+def copy_table(df: DataFrame, path: str, columns: list[str]) -> DataFrame:
+    """Some columns of a table in a new one, as it reads back."""
+    df.select(*columns).write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.select(*columns).schema).parquet(path)
+
+
 def conform(df: DataFrame, schema: T.StructType, defaults: Mapping[str, object] = {}) -> DataFrame:
     """df with the columns of schema: missing ones added, nulls replaced by defaults, types cast.
 
@@ -102,6 +134,27 @@ def conform(df: DataFrame, schema: T.StructType, defaults: Mapping[str, object]
     return df.select(*[one(f) for f in schema])
 
 
+_BODY = _schema("amount string, tx_type string, timestamp string, device_id string")
+
+
+def parse_bodies(raw: DataFrame) -> DataFrame:
+    """JSON request bodies (body, received_at) as the text payloads that validate_payloads() takes.
+
+    A body that is null or no JSON counts as an empty one. A missing type is a withdrawal, a
+    missing or empty time is when the body came.
+    """
+    b = F.from_json("body", _BODY, {"mode": "PERMISSIVE"})
+    came = F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss")
+    rows = raw.select("*", b.alias("_b"))
+    return rows.select(
+        *[c for c in raw.columns if c != "body"],
+        F.col("_b.amount").alias("amount"),
+        F.coalesce("_b.tx_type", F.lit("withdraw")).alias("tx_type"),
+        F.coalesce(F.nullif("_b.timestamp", F.lit("")), came).alias("timestamp"),
+        F.col("_b.device_id").alias("device_id"),
+    )
+
+
 def validate_payloads(raw: DataFrame) -> DataFrame:
     """Raw text payloads (payload_id, amount, tx_type, timestamp, device_id) with what was parsed.
 
@@ -135,6 +188,13 @@ def utc_timestamps(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in columns})
 
 
+def naive_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """column and changed: how many values utc_timestamps() gives a zone."""
+    naive = [c for c in columns if isinstance(df.schema[c].dataType, T.TimestampNTZType)]
+    counts = df.agg(*[F.count(c if c in naive else F.lit(None)).alias(c) for c in columns])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("changed")) for c in columns])))
+
+
 def api_records(df: DataFrame, *times: str) -> DataFrame:
     """Rows as JSON, with ISO timestamps; null fields are left out."""
     shown = df.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") for c in times})

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerlark.functions import columns as C
 from ledgerlark.operators.behaviour import is_extreme
+from ledgerlark.sources import tables as S
 
 _OUT = (
     "event_id long, transaction_id string, user_id long, amount double, tx_type string, timestamp timestamp, "
@@ -77,6 +78,19 @@ def stream_daily_counts(txns: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
+def stream_scored(bodies: DataFrame, score: Callable[[DataFrame], DataFrame], delay: str = "1 day") -> DataFrame:
+    """From a stream of request bodies (event_id, user_id, body, received_at) to its features and score().
+
+    Bodies are parsed and validated, faulty ones dropped, repeats of an event left out.
+    """
+    good = S.accepted(S.validate_payloads(S.parse_bodies(bodies)))
+    txns = good.select(
+        "event_id", F.col("event_id").cast("string").alias("transaction_id"), "user_id", F.col("parsed_amount").alias("amount"),
+        "tx_type", F.col("parsed_time").alias("timestamp"), F.nullif("device", F.lit("")).alias("device_id"),
+    )
+    return score(stream_features(unique(txns, delay)))
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over what has arrived, into Parquet files with exactly-once output."""
     query = (

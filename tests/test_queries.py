@@ -3,6 +3,7 @@
 import pytest
 
 from ledgerlark.plans import queries as q
+from ledgerlark.plans import services  # noqa: F401  registers the rest
 from tests.conftest import rows_of
 
 
@@ -37,7 +38,7 @@ def test_forest_scores(spark, sf_dir):
 
 
 def test_population_scores(spark, sf_dir):
-    got = q.gbt_scores(spark, sf_dir).toPandas()
+    got = q.gbt_scores(spark, sf_dir, rounds=5).toPandas()
     assert got["population"].between(0, 1).all()
 
 
