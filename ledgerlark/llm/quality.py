@@ -23,23 +23,24 @@ SMOOTHING = 1.0
 
 _FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-#: name: (votes bad when, votes good when), over the features. The fixed values are thresholds.
-#: The model takes rules as independent, so measures that speak together share one rule.
+#: name: (votes bad when, votes good when), over the features; between the two a rule abstains. The
+#: fixed values are thresholds. Rules overlap on purpose: how far a vote can be trusted is told by how
+#: often the others agree with it.
 RULES: dict[str, tuple[str, str]] = {
-    "length": (f"n_words < {MIN_WORDS}", "false"),
-    "word_length": ("n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words)", "false"),
-    "symbols": ("10 * n_symbols > n_words", "false"),
-    "repetition": (
-        "100 * n_repeat_words > 50 * n_words OR 2 * n_dup_lines > n_lines "
-        "OR (n_words BETWEEN 100 AND 2000 AND 5 * n_distinct < n_words)",
-        "false",
+    "length": ("n_words < 80", "n_words >= 150"),
+    "word_length": (
+        "word_chars < 3 * n_words OR word_chars > 10 * n_words",
+        "2 * word_chars >= 7 * n_words AND word_chars <= 8 * n_words AND n_words > 0",
     ),
-    "shouting": ("2 * n_upper > word_chars OR 2 * n_stops > n_words", "false"),
-    "prose": (
-        "false",
-        "200 * n_stops >= n_words AND 3 * n_stops <= n_words AND 20 * n_symbols <= n_words "
-        "AND 5 * n_repeat_words <= 2 * n_words",
+    "symbols": ("40 * n_symbols > n_words", "100 * n_symbols <= n_words AND n_words > 0"),
+    "symbol_density": ("60 * n_symbols > word_chars", "400 * n_symbols <= word_chars AND n_words > 0"),
+    "repetition": ("3 * n_repeat_words > n_words", "6 * n_repeat_words <= n_words AND n_words > 0"),
+    "vocabulary": (
+        "2 * n_dup_lines > n_lines OR (n_words BETWEEN 100 AND 2000 AND 5 * n_distinct < n_words)",
+        "4 * n_dup_lines <= n_lines AND (n_words > 1000 OR 4 * n_distinct >= n_words) AND n_words > 0",
     ),
+    "case": ("3 * n_upper > word_chars", "10 * n_upper <= word_chars AND n_words > 0"),
+    "sentences": ("3 * n_stops > n_words OR 200 * n_stops < n_words", "50 * n_stops >= n_words AND 4 * n_stops <= n_words AND n_words > 0"),
 }
 
 
@@ -120,12 +121,13 @@ def votes(feature: str = "_f") -> Column:
 def posteriors(patterns: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """From vote patterns (votes, n): votes and posterior, by expectation-maximisation.
 
-    It starts by taking a bad vote from any rule as evidence against the document. At most
+    It starts in doubt about documents with one bad vote and against those with several. At most
     3 ** rules patterns meet in one row, whatever the number of documents, and the iterations
     are one SQL aggregate.
     """
     r = len(RULES)
-    start = "transform(pats, p -> CASE WHEN array_contains(p.votes, -1) THEN 0.1D ELSE 0.9D END)"
+    bad = "size(filter(p.votes, v -> v = -1))"
+    start = f"transform(pats, p -> CASE {bad} WHEN 0 THEN 0.9D WHEN 1 THEN 0.5D ELSE 0.1D END)"
 
     def likelihood(weight: str) -> str:
         # of each rule's three votes under one class, smoothed, in rule-major order

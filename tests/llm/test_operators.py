@@ -334,6 +334,45 @@ def test_quality_features_equal_brute_force(spark):
         assert r["_base_failed"] == (f.n_words < 50 or 100 * f.n_repeat_words > 50 * f.n_words)
 
 
+def brute_posteriors(patterns, iterations):
+    """Dawid and Skene's model for two classes, votes counted one by one."""
+    w = [{0: 0.9, 1: 0.5}.get(votes.count(-1), 0.1) for votes, _ in patterns]
+    for _ in range(iterations):
+        good = sum(n * x for (_, n), x in zip(patterns, w, strict=True))
+        bad = sum(n * (1 - x) for (_, n), x in zip(patterns, w, strict=True))
+        nxt = []
+        for votes, _ in patterns:
+            odds = (good + 1) / (bad + 1)
+            for j, v in enumerate(votes):
+                same = [(n, x) for (other, n), x in zip(patterns, w, strict=True) if other[j] == v]
+                odds *= (sum(n * x for n, x in same) + 1) / (good + 3) / ((sum(n * (1 - x) for n, x in same) + 1) / (bad + 3))
+            nxt.append(odds / (1 + odds))
+        w = nxt
+    return w
+
+
+def test_posteriors_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rules = len(quality.RULES)
+    drawn = {tuple(int(x) for x in rng.choice([-1, 0, 1], rules, p=[0.2, 0.2, 0.6])) for _ in range(40)}
+    patterns = sorted((list(v), int(rng.integers(1, 500))) for v in drawn)
+    frame = spark.createDataFrame(patterns, "votes array<int>, n long")
+    got = {tuple(r["_votes"]): r["_posterior"] for r in quality.posteriors(frame, 10).collect()}
+    for (votes, _), x in zip(patterns, brute_posteriors(patterns, 10), strict=True):
+        assert got[tuple(votes)] == pytest.approx(x, rel=1e-6, abs=1e-9)
+
+
+def test_quality_overrules_single_votes(spark):
+    """Short prose has a bad vote for its length, which the other rules outweigh; junk has several."""
+    long = [". ".join(lorem(12, 20 * k + j) for j in range(16)) + "." for k in range(60)]
+    short = [". ".join(lorem(12, 7000 + 20 * k + j) for j in range(5)) + "." for k in range(20)]
+    junk = [" | ".join(lorem(90, 900 + k).split()) for k in range(20)]
+    rows = quality.judge(docs(spark, long + short + junk)).withColumn("v", quality.votes()).collect()
+    kept = {r.doc_id: r["_kept"] for r in rows}
+    assert all(-1 in r["v"] for r in rows if 60 <= r.doc_id < 80)
+    assert all(kept[i] for i in range(80)) and not any(kept[i] for i in range(80, 100))
+
+
 def test_quality_keeps_prose_and_rejects_junk(spark):
     prose = [". ".join(lorem(12, 20 * k + j) for j in range(8)) + "." for k in range(80)]
     junk = [" | ".join(lorem(60, 900 + k).split()) for k in range(10)] + [(lorem(5, k) + " ") * 20 for k in range(10)]
