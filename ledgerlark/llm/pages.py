@@ -2,10 +2,11 @@
 
 A page becomes text blocks. Pages are sorted by host and URL path, neighbours whose blocks differ
 are aligned by the longest common subsequence of their blocks, and blocks that both hold are
-the site's and not the page's. Markup that names the article decides before differencing does:
-two articles of a site may share a passage, and deleting it would be wrong, so shared blocks go
-only where no article or main element holds them. Texts cross the network once, to meet the
-hashes of the blocks to delete; sorting and aligning work on hashes alone.
+the site's and not the page's: they go. Markup guards against deleting what two articles of a
+site share: paragraphs, headings and the like stay if they lie in an article or main element, since
+those are proved to be the page's. Everything else that markup doesn't rule out, in and outside
+such elements, is decided by differencing. Pages are parsed once; sorting and aligning work on
+hashes of blocks alone.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ import hashlib
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import table, written
@@ -48,8 +51,12 @@ _TAG = re.compile(
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[A-Za-z][^>]*>",
     re.S,
 )
+_NAME = re.compile(r"[a-z0-9]+")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
-BOILER, PLAIN, MAIN = 0, 1, 2
+#: Elements that hold an article's text, as against its layout.
+_PROVED = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption caption".split())
+#: Zones of blocks by the markup around them: not text, outside of articles, of an article's layout, of its text.
+BOILER, PLAIN, LAYOUT, MAIN = 0, 1, 2, 3
 
 
 def _skips(name: str, rest: str, in_main: bool) -> bool:
@@ -68,17 +75,20 @@ def _skips(name: str, rest: str, in_main: bool) -> bool:
         if key in ("class", "id"):
             if value in ("header", "site-header", "page-header") and not in_main:
                 return True
-            if not _SKIP_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+            # inside articles only names that say nothing else: "related-work" is no advert there
+            whole = all if in_main else any
+            if any(parts and whole(x in _SKIP_NAMES for x in parts) for parts in map(_NAME.findall, value.split())):
                 return True
     return False
 
 
 def blocks_of(page: str) -> list[tuple[str, int]]:
-    """The text blocks of a page in order, with BOILER, PLAIN or MAIN by the markup around them."""
+    """The text blocks of a page in order, each with its zone. Takes time in proportion to the page."""
     out: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements and the zone inside them
-    zone, at = PLAIN, 0
+    opened: Counter[str] = Counter()
+    zone, at, last = PLAIN, 0, page.rfind(">")
 
     def flush() -> None:
         if text:
@@ -87,8 +97,16 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
                 out.append((joined, zone))
             text.clear()
 
+    def close(k: int) -> None:
+        nonlocal zone
+        for name, _ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
+        zone = stack[-1][1] if stack else PLAIN
+
     while at < len(page):
-        tag = _TAG.search(page, at)
+        # behind the last ">" only a comment that never ends can be markup
+        tag = _TAG.search(page, at) if at <= last or page.find("<!", at) >= 0 else None
         if not tag:
             text.append(page[at:])
             break
@@ -98,12 +116,13 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
         if not name:
             continue
         if tag["end"]:
-            if any(x == name for x, _ in stack):
+            if opened[name] > 0:
                 if name in _BLOCK or zone == BOILER:
                     flush()
-                while stack.pop()[0] != name:
-                    pass
-                zone = stack[-1][1] if stack else PLAIN
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                close(k)
             elif name in _BLOCK:
                 flush()
             continue
@@ -111,29 +130,34 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
         if name == "br":
             text.append(" ")
             continue
-        skips = _skips(name, rest, zone == MAIN)
+        skips = zone == BOILER or _skips(name, rest, zone >= LAYOUT)
         if name in _BLOCK or skips:
             flush()
         if name in _RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at) if at <= last else None
+            at = end.end() if end else len(page)
             continue
         if name in _VOID:
             continue
         if name in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):  # these end one of their kind
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
+                    close(k)
+                    skips = zone == BOILER or _skips(name, rest, zone >= LAYOUT)
                     break
                 if stack[k][0] in _BLOCK:
                     break
-            zone = stack[-1][1] if stack else PLAIN
         if skips:
             zone = BOILER
-        elif name in ("article", "main") and not any(x[1] == MAIN for x in stack):
-            zone = MAIN  # also where an element before it was never closed
+        elif name in ("article", "main"):
+            zone = max(zone, LAYOUT)  # also where an element before it was never closed
+        elif zone == LAYOUT and name in _PROVED:
+            zone = MAIN
         if not rest.endswith("/") or name in _BLOCK:
             stack.append((name, zone))
+            opened[name] += 1
+        elif stack:
+            zone = stack[-1][1]
     flush()
     return out
 
@@ -162,13 +186,17 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
+def main_blocks(zones: list[int], lines: list[int], shared: set[int]) -> list[int]:
+    """Which blocks are the page's text: those of its article if it has one, less what it shares with a neighbour."""
+    article = any(z >= LAYOUT for z in zones)
+    found = [k for k, z in enumerate(zones) if (z >= LAYOUT if article else z == PLAIN)]
+    own = [k for k in found if zones[k] == MAIN or lines[k] not in shared]
+    return own or found
+
+
 def extract(page: str, shared: set[int]) -> str:
     blocks = blocks_of(page)
-    main = [t for t, zone in blocks if zone == MAIN]
-    if not main:
-        plain = [t for t, zone in blocks if zone == PLAIN]
-        main = [t for t in plain if line_hash(t) not in shared] or plain
-    return "\n".join(main)
+    return "\n".join(blocks[k][0] for k in main_blocks([z for _, z in blocks], [line_hash(t) for t, _ in blocks], shared))
 
 
 def _place(url: str) -> tuple[str, str]:
@@ -178,76 +206,104 @@ def _place(url: str) -> tuple[str, str]:
     return host.lower().removeprefix("www."), slash + path
 
 
-def shared_lines(pages: DataFrame) -> DataFrame:
-    """page_id and shared: hashes of the blocks a page has in common with its neighbours.
-
-    A neighbour is the next page before or after it in its host's order of paths whose blocks are
-    not all the same, since copies tell nothing. Pages are range-partitioned by host and path,
-    so a host of any size spreads; the last page of a partition meets the first of the next
-    through a table that holds two rows for each partition.
-    """
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, path, and each page's blocks: their hashes (lines), zones and texts, empty for BOILER."""
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())]
+        names = ["page_id", "url", "host", "path", "lines", "zones", "texts"]
         for batch in batches:
             rows = []
-            for page, url, html in zip(*(batch.column(i) for i in range(3)), strict=True):
-                host, path = _place(url.as_py())
-                rows.append((page.as_py(), host, path, [line_hash(t) for t, _ in blocks_of(html.as_py() or "")]))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["page_id", "host", "path", "lines"]
-            )
+            for url, html in zip(batch.column(1), batch.column(2), strict=True):
+                blocks = blocks_of(html.as_py() or "")
+                rows.append((*_place(url.as_py()), [line_hash(t) for t, _ in blocks], [z for _, z in blocks], [t if z != BOILER else "" for t, z in blocks]))
+            made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=names)
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(
+        run, "page_id long, url string, host string, path string, lines array<long>, zones array<int>, texts array<string>"
+    )
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        schema = pa.schema(
-            [("page_id", pa.int64()), ("shared", pa.list_(pa.int64())), ("part", pa.int64()), ("side", pa.int32()), ("host", pa.string()), ("lines", pa.list_(pa.int64()))]
-        )
-        last = earlier = first = None  # the page before, and the one before that which differs from it
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                mine = (row["page_id"], row["host"], row["lines"])
-                first = first or mine
-                if last and last[1] == mine[1] and last[2] != mine[2]:
-                    both = common_lines(last[2], mine[2])
-                    out += [(last[0], both), (mine[0], both)]
-                    earlier = last
-                elif last and last[1] == mine[1] and earlier and earlier[1] == mine[1]:
-                    out.append((mine[0], common_lines(earlier[2], mine[2])))
-                elif last and last[1] != mine[1]:
-                    earlier = None
-                last = mine
-            yield pa.RecordBatch.from_pylist([{"page_id": p, "shared": s} for p, s in out], schema)
-        ends = [(0, first), (1, last)] if first else []
-        yield pa.RecordBatch.from_pylist(
-            [{"page_id": x[0], "part": part, "side": side, "host": x[1], "lines": x[2]} for side, x in ends], schema
-        )
-
-    hashed = (
-        pages.filter("page_id IS NOT NULL")
-        .select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-        .mapInArrow(lines, "page_id long, host string, path string, lines array<long>")
+
+#: A page's run, the blocks that a run shares with a neighbour, and runs at the edges of a partition.
+_ALIGNED = "page_id long, part long, run long, shared array<long>, host string, lines array<long>, inner array<long>, sides long"
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks a partition's pages in order of host and path.
+
+    Pages with the same blocks that follow each other are one run, and so share what the run does
+    with the runs before and after it. The first and the last run of a partition are given with
+    the blocks of their neighbour inside it, for what lies beyond the edge.
+    """
+    part = TaskContext.get().partitionId()
+    schema = pa.schema(
+        [(n, pa.list_(pa.int64()) if n in ("shared", "lines", "inner") else pa.string() if n == "host" else pa.int64()) for n in (x.split()[0] for x in _ALIGNED.split(", "))]
     )
+    last: tuple[str, list[int]] | None = None
+    edges: list[dict] = []
+    run = -1
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            mine = (row["host"], row["lines"])
+            if mine != last:
+                run += 1
+                inner = last[1] if last and last[0] == mine[0] else None
+                if inner is not None:
+                    both = common_lines(inner, mine[1])
+                    out += [{"part": part, "run": run - 1, "shared": both}, {"part": part, "run": run, "shared": both}]
+                    if run == 1:
+                        edges[0]["inner"] = mine[1]
+                here = {"part": part, "run": run, "host": mine[0], "lines": mine[1], "inner": inner}
+                edges = [*edges[:1], here] if run else [here]
+                last = mine
+            out.append({"page_id": row["page_id"], "part": part, "run": run})
+        yield pa.RecordBatch.from_pylist(out, schema)
+    # 1 for the run that begins the partition, 2 for the one that ends it
+    sides = [3] if len(edges) == 1 else [1, 2]
+    yield pa.RecordBatch.from_pylist([e | {"sides": x} for e, x in zip(edges, sides, strict=False)], schema)
+
+
+def _over_edges(rows: pd.DataFrame) -> pd.DataFrame:
+    """(part, run, shared) for the runs of one host at edges of partitions, at most two of each."""
+    runs = rows.sort_values(["part", "run"]).to_dict("records")
+    out: list[tuple] = []
+    for side, order in ((1, runs), (2, runs[::-1])):
+        # the blocks of the run met last, and of the nearest before it that has others
+        met: list[int] | None = None
+        other: list[int] | None = None
+        for r in order:
+            mine = list(r["lines"])
+            if not r["sides"] & side:  # its neighbour on this side is in its partition
+                met, other = mine, None if r["inner"] is None else list(r["inner"])
+                continue
+            if met is not None and met != mine:
+                other = met
+            met = mine
+            if other is not None:
+                out.append((r["part"], r["run"], common_lines(*((other, mine) if side == 1 else (mine, other)))))
+    return pd.DataFrame(out, columns=["part", "run", "shared"])
+
+
+def shared_lines(blocks: DataFrame) -> DataFrame:
+    """page_id and shared: hashes of the blocks a page has in common with its neighbours.
+
+    A neighbour is the next page before or after it in its host's order of paths whose blocks are
+    not all the same, since copies tell nothing. Pages are range-partitioned by host and path,
+    so a host of any size spreads, and the result doesn't depend on where partitions end.
+    """
     aligned = written(
-        written(hashed, "page-lines").repartitionByRange("host", "path", "page_id")
-        .sortWithinPartitions("host", "path", "page_id")
-        .mapInArrow(align, "page_id long, shared array<long>, part long, side int, host string, lines array<long>"),
+        blocks.filter("page_id IS NOT NULL").select("page_id", "host", "path", "lines")
+        .repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id").mapInArrow(_align, _ALIGNED),
         "aligned",
-    )
-    # last pages of partitions with the first of the following ones; at most two rows a partition
-    order = Window.orderBy("part", "side")
-    ends = aligned.filter("part IS NOT NULL").select(
-        "page_id", "host", "lines", "side",
-        *[F.lead(c).over(order).alias(f"{c}2") for c in ("page_id", "host", "lines")],
-    )
-    over = ends.filter("side = 1 AND host = host2 AND lines <> lines2").select(
-        F.explode(F.array("page_id", "page_id2")).alias("page_id"), F.array_intersect("lines", "lines2").alias("shared")
-    )
-    return (
-        aligned.filter("part IS NULL").select("page_id", "shared").unionByName(over)
-        .groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
     )
+    edges = aligned.filter("lines IS NOT NULL").select("part", "run", "host", "lines", "inner", "sides")
+    over = edges.groupBy("host").applyInPandas(_over_edges, "part long, run long, shared array<long>")
+    runs = aligned.filter("shared IS NOT NULL").select("part", "run", "shared").unionByName(over).filter(F.size("shared") > 0)
+    runs = runs.groupBy("part", "run").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
+    found = aligned.filter("page_id IS NOT NULL").select("page_id", "part", "run").join(runs, ["part", "run"])
+    return found.groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -255,25 +311,25 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Null and malformed pages are read as far as they go; a page without text has an empty one.
     Repeated rows are rows of their own and don't count as each other's neighbours. A page with a
-    null page_id is extracted by its markup alone. Null URLs share the empty host.
+    null page_id is extracted by its markup alone. Null URLs share the empty host. A page whose
+    blocks are all shared keeps them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                extract(html.as_py() or "", set(shared.as_py() or ()))
-                for html, shared in zip(batch.column(2), batch.column(3), strict=True)
-            ]
-            sizes = pa.array([len(t) for t in texts], pa.int64())
+            out = []
+            for lines, zones, texts, shared in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                out.append("\n".join(texts[k] for k in main_blocks(zones, lines, set(shared or ()))))
+            sizes = pa.array([len(t) for t in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"]
+                [batch.column(0), batch.column(1), pa.array(out, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"]
             )
 
-    shared = shared_lines(pages).filter(F.size("shared") > 0).select(F.col("page_id").alias("_page"), "shared")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    blocks = written(parsed(pages), "blocks")
+    shared = shared_lines(blocks).select(F.col("page_id").alias("_page"), "shared")
     return (
-        rows.join(shared, F.col("page_id") == F.col("_page"), "left")
-        .select("page_id", "url", "html", "shared")
+        blocks.join(shared, F.col("page_id") == F.col("_page"), "left")
+        .select("page_id", "url", "lines", "zones", "texts", "shared")
         .mapInArrow(run, "page_id long, url string, text string, n_chars long")
     )
 

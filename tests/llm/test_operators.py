@@ -247,6 +247,75 @@ def test_pages(spark):
     assert pages.main_text(frame.limit(0)).count() == 0
 
 
+def test_differencing_decides_what_markup_leaves_open(spark, monkeypatch):
+    page = "<article><h1>{0}</h1><div>Follow the paper</div><p>Own words of {0}</p><p>Said by both</p><div class=related-work>Work {0}</div></article>"
+    rows = [(k, f"http://a.example/{k}", page.format(f"page {k}")) for k in range(4)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(frame).collect()}
+    assert got == {k: f"page {k}\nOwn words of page {k}\nSaid by both\nWork page {k}" for k in range(4)}
+    monkeypatch.setattr(pages, "shared_lines", lambda blocks: blocks.select("page_id", F.array().cast("array<long>").alias("shared")))
+    assert all("Follow the paper" in r.text for r in pages.main_text(frame).collect())
+
+
+def brute_shared(rows):
+    """Runs of pages, by host, against the runs beside them."""
+    runs = []
+    for page, url, html in sorted(rows, key=lambda r: (*pages._place(r[1]), r[0])):
+        mine = (pages._place(url)[0], [pages.line_hash(t) for t, _ in pages.blocks_of(html)])
+        if not runs or runs[-1][0] != mine:
+            runs.append((mine, []))
+        runs[-1][1].append(page)
+    out = {}
+    for k, ((host, lines), ids) in enumerate(runs):
+        found = set()
+        if k and runs[k - 1][0][0] == host:
+            found |= set(pages.common_lines(runs[k - 1][0][1], lines))
+        if k + 1 < len(runs) and runs[k + 1][0][0] == host:
+            found |= set(pages.common_lines(lines, runs[k + 1][0][1]))
+        out |= {p: found for p in ids if found}
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 4, 50])
+def test_neighbours_do_not_depend_on_partitions(spark, parts):
+    rng = np.random.default_rng(5)
+    rows, k = [], 0
+    for host in "abc":
+        for _ in range(30):
+            html = "".join(f"<p>line {x}</p>" for x in rng.integers(0, 8, rng.integers(1, 5)))
+            for _ in range(int(rng.choice([1, 1, 1, 2, 9]))):
+                rows.append((k, f"http://{host}.example/{k:04d}", html))
+                k += 1
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.page_id: set(r.shared) for r in pages.shared_lines(pages.parsed(frame)).collect()}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == brute_shared(rows)
+
+
+def test_pages_with_broken_markup_take_little_time():
+    import time
+
+    def took(page):
+        start = time.perf_counter()
+        pages.blocks_of(page)
+        return time.perf_counter() - start
+
+    for bad in ("<a ", "<div>", "<div></p>", "<!x", "<p><b>", "<script>"):
+        assert took(bad * 40000) < 5, bad
+    assert took("<div>" * 40000 + "</p>" * 40000) < 5
+
+
+def test_comments_and_asides_are_no_main_text():
+    page = "<main><p>Own</p><aside><article><p>Other</p></article></aside><ol class=comments><li><article><p>Nice</p></article></ol><p class='ad-hoc'>More</p></main>"
+    assert pages.extract(page, set()) == "Own\nMore"
+
+
 def test_common_lines_is_a_longest_one():
     rng = np.random.default_rng(0)
     for _ in range(50):
