@@ -186,6 +186,12 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
+def is_open(zones: list[int]) -> bool:
+    """Whether the page's text depends on what its neighbours hold."""
+    article = any(z >= LAYOUT for z in zones)
+    return any(z == LAYOUT if article else z == PLAIN for z in zones)
+
+
 def main_blocks(zones: list[int], lines: list[int], shared: set[int]) -> list[int]:
     """Which blocks are the page's text: those of its article if it has one, less what it shares with a neighbour."""
     article = any(z >= LAYOUT for z in zones)
@@ -207,21 +213,21 @@ def _place(url: str) -> tuple[str, str]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, and each page's blocks: their hashes (lines), zones and texts, empty for BOILER."""
+    """page_id, url, host, path, whether neighbours matter, and the blocks: hashes (lines), zones and texts, empty for BOILER."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())]
-        names = ["page_id", "url", "host", "path", "lines", "zones", "texts"]
+        kinds = [pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string())]
+        names = ["page_id", "url", "host", "path", "open", "lines", "zones", "texts"]
         for batch in batches:
             rows = []
             for url, html in zip(batch.column(1), batch.column(2), strict=True):
                 blocks = blocks_of(html.as_py() or "")
-                rows.append((*_place(url.as_py()), [line_hash(t) for t, _ in blocks], [z for _, z in blocks], [t if z != BOILER else "" for t, z in blocks]))
+                rows.append((*_place(url.as_py()), is_open([z for _, z in blocks]), [line_hash(t) for t, _ in blocks], [z for _, z in blocks], [t if z != BOILER else "" for t, z in blocks]))
             made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=names)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(
-        run, "page_id long, url string, host string, path string, lines array<long>, zones array<int>, texts array<string>"
+        run, "page_id long, url string, host string, path string, open boolean, lines array<long>, zones array<int>, texts array<string>"
     )
 
 
@@ -327,11 +333,11 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     blocks = written(parsed(pages), "blocks")
     shared = shared_lines(blocks).select(F.col("page_id").alias("_page"), "shared")
-    return (
-        blocks.join(shared, F.col("page_id") == F.col("_page"), "left")
-        .select("page_id", "url", "lines", "zones", "texts", "shared")
-        .mapInArrow(run, "page_id long, url string, text string, n_chars long")
-    )
+    own = ["page_id", "url", "lines", "zones", "texts"]
+    # only pages that differencing has a say in are shuffled to meet what they share
+    asked = blocks.filter("open").join(shared, F.col("page_id") == F.col("_page"), "left").select(*own, "shared")
+    sure = blocks.filter("NOT open").select(*own, F.lit(None).cast("array<long>").alias("shared"))
+    return asked.unionByName(sure).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op3_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
