@@ -119,6 +119,32 @@ def test_near_documents_with_null_ids_and_repeats(spark):
     assert [r.kept for r in got if r.doc_id is None] == [True]
 
 
+def test_rows_of_one_id_with_other_texts(spark):
+    """What is linked with one of a doc_id's texts is linked with the doc_id; rows stay apart otherwise."""
+    a, b = lorem(80, 50), lorem(80, 51)
+    other = b.split()
+    other[40] = "edited"
+    frame = docs(spark, [a, b, " ".join(other), a, a], [5, 5, 6, 9, 5])
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_documents.near_duplicates(frame).collect()}
+    assert got == {(5, 5, True), (6, 5, False), (9, 5, False)}
+    assert [r.doc_id for r in near_documents.one_of_each(frame).collect()] == [5]
+    assert near_documents.one_of_each(frame).columns == frame.columns
+
+
+def test_near_documents_with_a_common_body_equal_brute_force(spark):
+    """Hundreds of texts that share most of their words crowd the same bands."""
+    rng = np.random.default_rng(8)
+    base = lorem(150, 60, 5000).split()
+    texts = []
+    for _ in range(300):
+        copy = list(base)
+        for at in rng.choice(len(copy), int(rng.integers(2, 14)), replace=False):
+            copy[at] = f"z{rng.integers(10**6)}"
+        texts.append(" ".join(copy))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_documents.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 2, 80)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 20)] + [(100, k) for k in range(101, 140)] + [(300, 250), (250, 300), (7, 7)]
     got = {r.id: r.component for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -147,6 +173,12 @@ def test_lines_equal_brute_force(spark):
     assert near_lines.removed_lines(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_lines_of_one_id_with_other_texts(spark):
+    frame = docs(spark, ["shared line of both texts\nonly in A", "other text B\nprecious line of B only", "shared line of both texts"], [2, 2, 3])
+    got = sorted((r.doc_id, r.text) for r in near_lines.dedup_lines(frame).collect())
+    assert got == [(2, "other text B\nprecious line of B only"), (2, "shared line of both texts\nonly in A"), (3, "")]
+
+
 def test_edited_copies_equal_brute_force(spark):
     """Edited copies of one line crowd the same buckets; all that are similar are linked."""
     rng = np.random.default_rng(7)
@@ -192,8 +224,26 @@ def test_decontamination_edges(spark):
     assert decontamination.contamination(docs(spark, texts), tests.limit(0)).filter("contaminated").count() == 0
 
 
+def test_contaminated_rows_without_ids_take_no_others_along(spark):
+    item = lorem(14, 9)
+    tests = spark.createDataFrame([("1", item), ("2", lorem(14, 10))], "item_id string, text string")
+    frame = docs(spark, [item, "four clean words here", f"{item} {lorem(14, 10)}", "x y"], [None, None, 3, 3])
+    for block in (decontamination.BLOCK_BYTES, 40):
+        got = sorted((r.n_words, r.contaminated, r.longest_match) for r in decontamination.contamination(frame, tests, block_bytes=block).collect())
+        assert got == [(2, False, 0), (4, False, 0), (14, True, 14), (28, True, 14)]
+    assert sorted(r.text for r in decontamination.decontaminate(frame, tests).collect()) == ["four clean words here", "x y"]
+
+
 # packing
 
+def test_long_white_space(vocabulary):
+    from tokenizers import Tokenizer
+
+    slow, fast = Tokenizer.from_file(vocabulary), packing.load_encoder(vocabulary)
+    for text in (" " * 1_000_000, "a" + "\n" * 5000 + "b  c"):
+        assert fast(text) == slow.encode(text, add_special_tokens=False).ids
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     import public_tokenizers
