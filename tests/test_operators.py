@@ -281,3 +281,12 @@ def test_forests_score_a_users_rows_in_parts(spark, monkeypatch):
     assert {r.event_id: r.margin for r in models.score_forests(features, forests).collect()} == pytest.approx(whole)
     plan = models.score_forests(features, forests)._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in plan
+
+
+def test_amounts_by_day_in_any_spelling(spark):
+    from ledgerlark.operators import reports
+
+    rows = [(1, 10.0, t, "2024-01-01 10:00:00") for t in ("Deposit", "deposit", "withdraw", "Withdraw", "transfer")]
+    frame = spark.createDataFrame(rows, "user_id long, amount double, tx_type string, timestamp string")
+    got = reports.daily_amounts(frame).collect()
+    assert [(r.deposit, r.withdraw) for r in got] == [(20.0, 20.0)]
