@@ -22,8 +22,6 @@ from ledgerlark.llm.common import table, written
 
 #: Labelled rows that the lexicon and the model are fitted on, at most; by hash of the id.
 MAX_TRAINING_ROWS = 20_000
-#: Terms in the lexicon at most, the most telling first.
-MAX_TERMS = 2_000
 #: Every n-th id by checksum is held out from learning.
 HELD_OUT = 5
 #: Words on each side of a hit that decide whether it is quoted.
@@ -159,11 +157,11 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN
     )
 
 
-def learn_lexicon(rows: DataFrame, most: int = MAX_TERMS) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Terms with their log odds, from training rows that hold at most MAX_TRAINING_ROWS.
 
-    A term stays when so many toxic documents among those that hold it can't be chance, given
-    how many terms are as frequent.
+    Every term stays for which so many toxic documents among those that hold it can't be chance,
+    given how many terms are as frequent; the training rows bound how many these are.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,12 +193,12 @@ def learn_lexicon(rows: DataFrame, most: int = MAX_TERMS) -> dict[str, float]:
     evidence = F.when(share > base, F.col("a") * F.log(share / base) + rest).otherwise(0.0)
     scored = written(terms.withColumn("evidence", evidence).withColumn("df", F.col("a") + F.col("b")), "terms")
     frequent = sorted((r[0], r[1]) for r in scored.groupBy("df").count().collect())  # at most a row for each count of rows
-    found = scored.filter("evidence >= 6").orderBy(F.desc("evidence"), "term").limit(4 * most).collect()
+    found = scored.filter("evidence >= 6").orderBy(F.desc("evidence"), "term").collect()
     dfs = np.array([x for x, _ in frequent])
     as_frequent = np.cumsum([x for _, x in frequent][::-1])[::-1]
     out: dict[str, float] = {}
     for r in found:
-        if len(out) < most and r.evidence >= math.log(as_frequent[np.searchsorted(dfs, r.df)]) + 1:
+        if r.evidence >= math.log(as_frequent[np.searchsorted(dfs, r.df)]) + 1:
             out[r.term] = math.log((r.a + 0.5) / (p + 1)) - math.log((r.b + 0.5) / (n - p + 1))
     return out
 
