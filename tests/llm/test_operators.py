@@ -391,6 +391,44 @@ def test_levenshtein_walk():
     assert lexicon.look_up("stpd") is None and lexicon.look_up("scam") is None and lexicon.look_up("") is None
 
 
+def test_lexicon_walk_equals_brute_force():
+    """Every word against every term by its whole edit distance."""
+    rng = np.random.default_rng(5)
+
+    def word():
+        return "".join(rng.choice(list("abc"), rng.integers(4, 9)))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    weights = {word() + ("*" if k % 4 == 0 else ""): float(k) for k in range(1, 80)}
+    lexicon = toxicity.Lexicon(weights)
+    seen = set()
+    for _ in range(3000):
+        w = word()
+        exact = [x for t, x in weights.items() if t == w or (t.endswith("*") and w.startswith(t[:-1]))]
+        near_by = [
+            x for t, x in weights.items()
+            if not t.endswith("*") and len(t) >= toxicity.FUZZY_LENGTH and distance(t, w) <= 1
+        ]
+        expected = (max(exact), True) if exact else (max(near_by), False) if near_by else None
+        assert lexicon.look_up(w) == expected, w
+        seen.add(None if expected is None else expected[1])
+    assert seen == {None, True, False}
+
+
+def test_lexicon_keeps_every_telling_term(spark):
+    rows = [(i, " ".join(f"bad{k}word" for k in range(i % 40, 2400, 40)), 1) for i in range(400)]
+    rows += [(1000 + i, lorem(60, i), 0) for i in range(2000)]
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert {f"bad{k}word" for k in range(2400)} <= set(found)
+
+
 def test_quotation_is_told_from_abuse():
     lexicon = toxicity.Lexicon({"stupid": 2.0})
     direct, quoted = lexicon.features("you are stupid and more"), lexicon.features('they wrote "stupid" on it')
@@ -515,6 +553,61 @@ def test_patience_and_scanner():
     assert scanner.scan(lorem(100, 3)) == [] and scanner.scan("license version public") == []
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(old[j] + 1 if x == y else max(old[j + 1], row[-1]))
+    return row[-1]
+
+
+def test_edited_licences_equal_brute_force():
+    """Texts with up to a tenth of their words edited: the licence found is the one of the longest common subsequence."""
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.MIN_COVERAGE)
+    rng = np.random.default_rng(9)
+    for turn in range(3):
+        for name, text in licenses.TEXTS:
+            own = licenses.words_of(text)
+            for k in rng.choice(len(own), len(own) // 10, replace=False):
+                own[k] = ["", f"q{k}", f"{own[k]} q{k}"][rng.integers(3)]
+            middle = " ".join(own)
+            found = scanner.scan(f"{lorem(80, turn)} {middle} {lorem(80, turn + 50)}")
+            both = {
+                (longest_common(licenses.words_of(middle), t) ** 2 / len(t), n)
+                for n, t in ((n, licenses.words_of(t)) for n, t in licenses.TEMPLATES)
+                if longest_common(licenses.words_of(middle), t) >= licenses.MIN_COVERAGE * len(t)
+            }
+            assert [x[0] for x in found][:1] == [max(both)[1]] == [name], (name, found)
+            most = max(longest_common(licenses.words_of(middle), t) / len(t) for n, t in map(lambda x: (x[0], licenses.words_of(x[1])), licenses.TEXTS) if n == name)
+            assert licenses.MIN_COVERAGE <= found[0][1] <= most
+
+
+def test_scanner_equals_every_offset():
+    """The telling words lose no match that aligning each template at each word of the text finds."""
+    scanner = licenses.Scanner(licenses.NOTICES, licenses.MIN_COVERAGE)
+    rng = np.random.default_rng(4)
+    for turn in range(12):
+        parts = []
+        for _ in range(3):
+            parts += lorem(int(rng.integers(5, 40)), turn).split()
+            notice = licenses.words_of(licenses.NOTICES[rng.integers(len(licenses.NOTICES))][1])
+            parts += [w for w in notice if rng.random() > 0.12]
+        found = set()
+        for name, t in scanner.templates:
+            slack = int(licenses.SLACK * len(t)) + 2
+            for start in range(-len(t), len(parts)):
+                low = max(0, start - slack)
+                pairs = licenses.patience(parts[low : start + len(t) + slack], t)
+                if len(pairs) >= licenses.MIN_COVERAGE * len(t) and pairs[-1][0] - pairs[0][0] + 1 <= len(t) + slack:
+                    found.add((len(pairs), len(pairs) / len(t), name, low + pairs[0][0], low + pairs[-1][0] + 1))
+        kept = []
+        for _, share, name, first, end in sorted(found, key=lambda x: (-x[1] * x[0], -x[0], x[3], x[2])):
+            if all(end <= f or e <= first for _, _, f, e in kept):
+                kept.append((name, share, first, end))
+        assert scanner.scan(" ".join(parts)) == sorted(kept, key=lambda x: x[2])
+
+
 def test_license_rows(spark):
     texts = [*EDGES, "Released under the MIT License.\nAll rights reserved."]
     got = {r.doc_id: (r.n_matches, r.licenses) for r in licenses.scan_licenses(docs(spark, texts)).collect()}
