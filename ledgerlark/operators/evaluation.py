@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Distinct scores above which rank metrics work on slices of the score's range.
-_SLICES = 1024
-
+from ledgerlark.operators.ranks import cumulated, quantiles, smallest
 
 def binary_metrics(rows: DataFrame, label: str = "label", score: str = "score", cut: float = 0.5, *by: str) -> DataFrame:
     """Confusion counts and accuracy, precision, recall and F1, per group of by."""
@@ -46,25 +44,6 @@ def class_report(rows: DataFrame, label: str = "label", score: str = "score", cu
     return k.select(F.inline(F.array(one(0, "tn", "fn", "fp"), one(1, "tp", "fp", "fn"))))
 
 
-def _cumulated(rows: DataFrame, x: str, counts: list[str]) -> DataFrame:
-    """rows, one per value of x, with c_<count>: the sum of the smaller values' counts.
-
-    Values are summed inside slices of their range and slices are offset, so no single task sorts
-    all values; the slices are a fixed, small number.
-    """
-    ends = rows.agg(F.min(x).alias("_a"), F.max(x).alias("_b"))
-    sliced = rows.crossJoin(F.broadcast(ends)).withColumn(
-        "_s", F.coalesce(F.floor((F.col(x) - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0)) * (_SLICES - 1)), F.lit(0))
-    )
-    sums = sliced.groupBy("_s").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
-    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # _SLICES rows at most
-    offsets = sums.select("_s", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in counts])
-    inside = Window.partitionBy("_s").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    return sliced.withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in counts}).join(
-        F.broadcast(offsets), "_s"
-    ).select(*rows.columns, *[(F.col(f"_i_{c}") + F.col(f"_o_{c}")).alias(f"c_{c}") for c in counts])
-
-
 def roc_auc(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """positives, negatives and auc: the share of pairs in order, ties counting half."""
     values = (
@@ -73,7 +52,7 @@ def roc_auc(rows: DataFrame, label: str = "label", score: str = "score") -> Data
         .agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
     )
     won = F.sum(F.col("p") * (F.col("c_n") + 0.5 * F.col("n")))
-    return _cumulated(values, "x", ["p", "n"]).agg(
+    return cumulated(values, "x", ["p", "n"]).agg(
         F.sum("p").alias("positives"), F.sum("n").alias("negatives"),
         F.try_divide(won, F.sum("p").cast("double") * F.sum("n").cast("double")).alias("auc"),
     )
@@ -100,10 +79,8 @@ def conformal(calibration: DataFrame, test: DataFrame, alpha: float = 0.1, label
     """One row: split-conformal threshold from calibration rows, and test coverage and mean set size."""
     wrong = F.when(F.col(label) == 1, 1 - F.col(score)).otherwise(F.col(score))
     n = calibration.filter(F.col(score).isNotNull()).agg(F.count(F.lit(1))).first()[0]
-    level = min(1.0, -(-(n + 1) * (1 - alpha) // 1) / max(n, 1))
-    # the smallest value with that share of rows at or below it
-    order = f"CASE WHEN {label} = 1 THEN 1 - {score} ELSE {score} END"
-    threshold = calibration.agg(F.expr(f"percentile_disc({level}) WITHIN GROUP (ORDER BY {order})").alias("threshold"))
+    place = min(n, int(-(-(n + 1) * (1 - alpha) // 1)))
+    threshold = smallest(calibration, wrong, place).withColumnRenamed("x", "threshold")
     size = F.when(F.col(score) <= F.col("threshold"), 1).otherwise(0) + F.when(1 - F.col(score) <= F.col("threshold"), 1).otherwise(0)
     return test.crossJoin(F.broadcast(threshold)).groupBy("threshold").agg(
         F.avg(F.when(wrong <= F.col("threshold"), 1.0).otherwise(0.0)).alias("coverage"), F.avg(size).alias("mean_set_size")
@@ -148,7 +125,7 @@ def bootstrap_rate(rows: DataFrame, value: Column, rounds: int = 100, level: flo
 def psi(reference: DataFrame, actual: DataFrame, column: str, bins: int = 10, floor: float = 1e-4) -> DataFrame:
     """One row: the population stability index of a column, over quantile bins of the reference."""
     shares = [i / bins for i in range(1, bins)]
-    cuts = reference.agg(F.percentile(F.col(column), F.array(*map(F.lit, shares))).alias("_c"))
+    cuts = quantiles(reference, {"x": F.col(column)}, shares).select(F.col("quantiles").alias("_c"))
 
     def binned(df: DataFrame, name: str) -> DataFrame:
         b = F.size(F.filter("_c", lambda c: c < F.col(column)))
@@ -167,7 +144,7 @@ def ks(reference: DataFrame, actual: DataFrame, column: str) -> DataFrame:
         F.sum("r").alias("e"), F.sum(1 - F.col("r")).alias("a")
     )
     sums = values.agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
-    return _cumulated(values, "x", ["e", "a"]).crossJoin(F.broadcast(sums)).agg(
+    return cumulated(values, "x", ["e", "a"]).crossJoin(F.broadcast(sums)).agg(
         F.max(F.abs(F.try_divide(F.col("c_e") + F.col("e"), "te") - F.try_divide(F.col("c_a") + F.col("a"), "ta"))).alias("ks")
     )
 

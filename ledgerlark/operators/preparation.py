@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlark.operators.ranks import quantiles
+
 
 def numeric_columns(df: DataFrame, *but: str) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in but]
@@ -38,8 +40,9 @@ def table_profile(df: DataFrame) -> DataFrame:
 def impute(df: DataFrame, fit_on: DataFrame | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
     """Numbers by the median of fit_on, or of df, and texts by "unknown"."""
     numbers = numeric_columns(df, *skip)
-    medians = (fit_on if fit_on is not None else df).agg(*[F.median(c).alias(c) for c in numbers]).first()
-    return df.na.fill({c: float(medians[c]) for c in numbers if medians[c] is not None}).na.fill("unknown", text_columns(df, *skip))
+    fitted = quantiles(fit_on if fit_on is not None else df, {c: F.col(c) for c in numbers}, [0.5]).collect() if numbers else []
+    medians = {c: q[0] for c, q in fitted if q[0] is not None}  # a row for each column
+    return df.na.fill(medians).na.fill("unknown", text_columns(df, *skip)) if medians else df.na.fill("unknown", text_columns(df, *skip))
 
 
 def one_hot(df: DataFrame, columns: list[str], most: int = 1000) -> DataFrame:
@@ -59,13 +62,12 @@ def one_hot(df: DataFrame, columns: list[str], most: int = 1000) -> DataFrame:
 def feature_defaults(df: DataFrame, columns: list[str]) -> DataFrame:
     """pos, column, binary and default: a 0/1 column's most frequent value, the lower on a tie, else the median."""
     binary = {c: F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(0, 1)) == 0 for c in columns}
-    mode = {c: F.mode(F.col(c), deterministic=True).cast("double") for c in columns}
-    return _long(
-        df,
-        {
-            c: {"pos": F.lit(k), "binary": binary[c], "default": F.when(binary[c], mode[c]).otherwise(F.median(c).cast("double"))}
-            for k, c in enumerate(columns)
-        },
+    ones = {c: F.count_if(F.col(c) == 1) - F.count_if(F.col(c) == 0) for c in columns}
+    kinds = _long(df, {c: {"pos": F.lit(k), "binary": binary[c], "more": ones[c]} for k, c in enumerate(columns)})
+    middle = F.col("quantiles")[0]  # null where all are
+    mode = F.when(middle.isNotNull(), (F.col("more") > 0).cast("double"))
+    return kinds.join(quantiles(df, {c: F.col(c) for c in columns}, [0.5]), "column").select(
+        "column", "pos", "binary", F.when(F.col("binary"), mode).otherwise(middle).alias("default")
     )
 
 
@@ -107,7 +109,7 @@ def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.2, se
 
 def time_split(df: DataFrame, time: str, train: float = 0.6, valid: float = 0.2) -> DataFrame:
     """df with split: train before the first cut of time, valid before the second, then test."""
-    cuts = df.agg(F.percentile(F.unix_micros(time), F.array(F.lit(train), F.lit(train + valid))).alias("_c"))
+    cuts = quantiles(df, {time: F.unix_micros(time)}, [train, train + valid]).select(F.col("quantiles").alias("_c"))
     t = F.unix_micros(time)
     return (
         df.crossJoin(F.broadcast(cuts))  # one row

@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import columns as C
-from ledgerlark.operators import behaviour, evaluation, models, preparation, reports, scoring, workflow
+from ledgerlark.operators import behaviour, evaluation, models, preparation, ranks, reports, scoring, workflow
 from ledgerlark.sources import tables as S
 from ledgerlark.streaming import jobs
 
@@ -290,3 +291,24 @@ def test_amounts_by_day_in_any_spelling(spark):
     frame = spark.createDataFrame(rows, "user_id long, amount double, tx_type string, timestamp string")
     got = reports.daily_amounts(frame).collect()
     assert [(r.deposit, r.withdraw) for r in got] == [(20.0, 20.0)]
+
+
+@pytest.mark.parametrize("values", [[], [None], [3.0], [1.0, 1e12, 2.0, None, 2.0], [float(i * i % 997) for i in range(3000)] + [5.0] * 2000 + [1e300, -1e300]])
+def test_quantiles_equal_brute_force(spark, values):
+    df = spark.createDataFrame([(v, 1) for v in values], "v double, w int").repartition(3)
+    shares = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r["column"]: r.quantiles for r in ranks.quantiles(df, {"v": F.col("v"), "w": F.col("w")}, shares).collect()}
+    held = [v for v in values if v is not None]
+    assert got["v"] == (pytest.approx(list(np.quantile(held, shares))) if held else [None] * 5)
+    assert got["w"] == ([1.0] * 5 if values else [None] * 5)
+    for place in (1, 2, len(held)):
+        expected = sorted(held)[place - 1] if 0 < place <= len(held) else None
+        assert ranks.smallest(df, F.col("v"), place).first().x == expected
+
+
+def test_ranks_with_an_outlier(spark):
+    """One far value leaves the others in slices of their own; sums below equal plain ones."""
+    values = [float(i) for i in range(5000)] + [1e18]
+    df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "x double, n long")
+    below = {r.x: r.c_n for r in ranks.cumulated(df, "x", ["n"]).collect()}
+    assert below == {v: sum(i % 3 for i in range(k)) for k, v in enumerate(values)}
