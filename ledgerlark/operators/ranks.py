@@ -17,7 +17,8 @@ def cumulated(values: DataFrame, x: str, counts: list[str], *by: str) -> DataFra
     there is a fixed, small number of them for each group of by, which are few.
     """
     slices = 1 << _LEVELS
-    cuts = values.groupBy(*by).agg(F.percentile_approx(x, [k / slices for k in range(1, slices)]).alias("_cuts"))
+    shares = ", ".join(f"{k / slices}D" for k in range(1, slices))  # as text, for one call instead of one for each
+    cuts = values.groupBy(*by).agg(F.expr(f"percentile_approx(`{x}`, array({shares}))").alias("_cuts"))
     sliced = values.join(F.broadcast(cuts), list(by)) if by else values.crossJoin(F.broadcast(cuts))
     # a binary search for the number of cuts below x
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(_LEVELS))])
