@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Parts that a column's values are cut into, as two to this power.
 _LEVELS = 10
+#: Shares at which values are cut to narrow a selection, and the accuracy of these cuts: ranks err by less than 1 / ACCURACY.
+_CUTS, _ACCURACY = 1000, 10_000
+#: Values of a bracket that the driver may take; with more, the bracket is cut again.
+GATHERED = 100_000
 
 
 def cumulated(values: DataFrame, x: str, counts: list[str], *by: str) -> DataFrame:
@@ -37,44 +44,106 @@ def cumulated(values: DataFrame, x: str, counts: list[str], *by: str) -> DataFra
     )
 
 
-def _named(columns: dict[str, Column], value: str, of=lambda c: c) -> Column:
-    """Rows (column, value) of several columns."""
-    return F.inline(F.array(*[F.struct(F.lit(n).alias("column"), of(c).alias(value)) for n, c in columns.items()]))
+#: A column's name and the two values, or None, between which its values count.
+Bracket = tuple[str, float | None, float | None]
+
+
+def _within(x: Column, low: float | None, high: float | None) -> Column:
+    return x.isNotNull() & (F.lit(True) if low is None else x > low) & (F.lit(True) if high is None else x < high)
+
+
+def _cut(df: DataFrame, columns: dict[str, Column], brackets: list[Bracket]) -> dict[Bracket, tuple[int, int, int, list[float]]]:
+    """For each bracket, in one pass: how many values lie below, at its lower end and inside, and where the inside ones are cut."""
+    grid = ", ".join(f"{k / _CUTS}D" for k in range(_CUTS + 1))  # as text, for one call instead of one for each
+    xs = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns.values())])
+    place = {name: f"x{i}" for i, name in enumerate(columns)}
+    aggregates = []
+    for i, (name, low, high) in enumerate(brackets):
+        x = F.col(place[name])
+        inside = F.when(_within(x, low, high), x)
+        xs = xs.withColumn(f"b{i}", inside)
+        ends = [F.lit(0), F.lit(0)] if low is None else [F.count_if(x < low), F.count_if(x == low)]
+        aggregates += [*ends, F.count(f"b{i}"), F.expr(f"percentile_approx(b{i}, array({grid}), {_ACCURACY})")]
+    row = xs.agg(*[a.alias(f"a{k}") for k, a in enumerate(aggregates)]).first()
+    return {b: tuple(row[4 * i : 4 * i + 4]) for i, b in enumerate(brackets)}
+
+
+def _gather(df: DataFrame, columns: dict[str, Column], brackets: list[Bracket]) -> dict[Bracket, list[tuple[float, int]]]:
+    """For each bracket, ends included: (value, number of values up to it) in order; the number below comes first, without a value."""
+    tagged = []
+    for i, (name, low, high) in enumerate(brackets):
+        x = columns[name].cast("double")
+        below = F.lit(False) if low is None else x < low
+        counts = x.isNotNull() & (F.lit(True) if high is None else x <= high)
+        tagged.append(F.struct(F.when(counts, F.lit(i)).alias("i"), F.when(~below, x).alias("x")))
+    rows = df.select(F.inline(F.array(*tagged))).filter("i IS NOT NULL").groupBy("i", "x").agg(F.count(F.lit(1)).alias("n")).collect()
+    found: dict[Bracket, list[tuple[float, int]]] = defaultdict(list)
+    for i, x, n in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] is not None and math.isnan(r[1]), r[1] or 0.0)):
+        here = found[brackets[i]]
+        here.append((x, n + (here[-1][1] if here else 0)))
+    return found
+
+
+def _select(df: DataFrame, columns: dict[str, Column], places) -> tuple[dict[str, int], dict[tuple[str, int], float]]:
+    """How many values each column has, and its values at places(number of values), from 0.
+
+    Approximate quantiles bracket each value and passes over df narrow the brackets, each to about a
+    hundredth of a share, until at most GATHERED values lie in one. Those are counted and looked
+    through; so a value is exact, and neither a task nor the driver meets more of them.
+    """
+    cuts = _cut(df, columns, [(name, None, None) for name in columns])
+    totals = {name: cuts[name, None, None][2] for name in columns}
+    wanted: dict[tuple[str, int], Bracket] = {
+        (name, p): (name, None, None) for name, n in totals.items() for p in places(n) if 0 <= p < n
+    }
+    found: dict[tuple[str, int], float] = {}
+    ready: dict[tuple[str, int], Bracket] = {}
+    while wanted:
+        for target, bracket in list(wanted.items()):
+            below, at_low, inside, grid = cuts[bracket]
+            (name, low, high), rank = bracket, target[1] - below - at_low
+            if rank < 0 or rank >= inside:
+                found[target] = low if rank < 0 else high
+                del wanted[target]
+                continue
+            first = math.floor(((rank - 1) / inside - 4 / _ACCURACY) * _CUTS)
+            last = math.ceil(((rank + 2) / inside + 4 / _ACCURACY) * _CUTS)
+            closer = (name, grid[first] if first > 0 else low, grid[last] if last < _CUTS else high)
+            wanted[target] = closer
+            if inside * (min(last, _CUTS) - max(first, 0)) / _CUTS + 2 * inside / _ACCURACY <= GATHERED:
+                ready[target] = closer
+                del wanted[target]
+        if wanted:
+            cuts = _cut(df, columns, list(dict.fromkeys(wanted.values())))
+    if ready:
+        gathered = _gather(df, columns, list(dict.fromkeys(ready.values())))
+        for target, bracket in ready.items():
+            found[target] = next(x for x, upto in gathered[bracket] if target[1] < upto)
+    return totals, found
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) -> DataFrame:
     """column and quantiles (one for each share, between neighbours by proportion) of each of the columns.
 
-    Exact; nulls don't count, and a column of nulls has null quantiles. Equal values are counted
-    before they are shuffled.
+    Exact; nulls don't count, and a column of nulls has null quantiles. Runs at once, in two passes
+    over df, or more where it has very many rows.
     """
-    totals = df.agg(F.array(*[F.count(c) for c in columns.values()]).alias("t")).select(
-        _named({n: F.col("t")[k] for k, n in enumerate(columns)}, "total")
-    )
-    values = (
-        df.select(_named(columns, "x", lambda c: c.cast("double"))).filter("x IS NOT NULL")
-        .groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = cumulated(values, "x", ["n"], "column").join(F.broadcast(totals), "column")
-
-    def at(place: Column) -> Column:
-        return F.max(F.when((F.col("c_n") <= place) & (place < F.col("c_n") + F.col("n")), F.col("x")))
-
-    places = [F.lit(s) * (F.col("total") - 1) for s in shares]
-    found = ranked.groupBy("column").agg(
-        *[at(F.floor(p)).alias(f"a{k}") for k, p in enumerate(places)], *[at(F.ceil(p)).alias(f"b{k}") for k, p in enumerate(places)]
-    )
+    totals, found = _select(df, columns, lambda n: {f(s * (n - 1)) for s in shares for f in (math.floor, math.ceil)})
 
-    def between(k: int, p: Column) -> Column:
-        a, b, part = F.col(f"a{k}"), F.col(f"b{k}"), p - F.floor(p)
-        return F.when(a == b, a).otherwise((1 - part) * a + part * b)
+    def at(name: str, share: float) -> float | None:
+        place = share * (totals[name] - 1)
+        a, b = found.get((name, math.floor(place))), found.get((name, math.ceil(place)))
+        part = place - math.floor(place)
+        return a if a == b or a is None else (1 - part) * a + part * b
 
-    return totals.join(F.broadcast(found), "column", "left").select(
-        "column", F.array(*[between(k, p) for k, p in enumerate(places)]).alias("quantiles")
-    )
+    rows = [
+        F.struct(F.lit(name).alias("column"), F.array(*[F.lit(at(name, s)).cast("double") for s in shares]).alias("quantiles"))
+        for name in columns
+    ]
+    return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
 def smallest(df: DataFrame, value: Column, place: int) -> DataFrame:
-    """One row with x: the value that is place-th in order, from 1; null if there are fewer."""
-    values = df.select(value.cast("double").alias("x")).filter("x IS NOT NULL").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    return cumulated(values, "x", ["n"]).agg(F.max(F.when((F.col("c_n") < place) & (F.col("c_n") + F.col("n") >= place), F.col("x"))).alias("x"))
+    """One row with x: the value that is place-th in order, from 1; null if there are fewer. Runs at once, as quantiles does."""
+    _, found = _select(df, {"x": value}, lambda n: {place - 1})
+    return df.sparkSession.range(1).select(F.lit(found.get(("x", place - 1))).cast("double").alias("x"))
