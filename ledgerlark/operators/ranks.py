@@ -110,7 +110,8 @@ def _select(df: DataFrame, columns: dict[str, Column], places) -> tuple[dict[str
             last = math.ceil(((rank + 2) / inside + 4 / _ACCURACY) * _CUTS)
             closer = (name, grid[first] if first > 0 else low, grid[last] if last < _CUTS else high)
             wanted[target] = closer
-            if inside * (min(last, _CUTS) - max(first, 0)) / _CUTS + 2 * inside / _ACCURACY <= GATHERED:
+            # a bracket stays as it is only around three values or fewer
+            if closer == bracket or inside * (min(last, _CUTS) - max(first, 0)) / _CUTS + 2 * inside / _ACCURACY <= GATHERED:
                 ready[target] = closer
                 del wanted[target]
         if wanted:

@@ -314,12 +314,13 @@ def test_ranks_with_an_outlier(spark):
     assert below == {v: sum(i % 3 for i in range(k)) for k, v in enumerate(values)}
 
 
-def test_quantiles_narrow_until_few_values_are_left(spark, monkeypatch):
+@pytest.mark.parametrize("gathered", [1, 20])
+def test_quantiles_narrow_until_few_values_are_left(spark, monkeypatch, gathered):
     rng = np.random.default_rng(3)
     values = {"even": rng.normal(size=3000), "twos": rng.integers(0, 2, 3000), "heavy": rng.zipf(1.3, 3000).clip(max=10**9)}
     df = spark.createDataFrame(list(zip(*[v.astype(float).tolist() for v in values.values()], strict=True)), list(values))
     shares = [0.0, 0.333, 0.5, 1.0]
-    monkeypatch.setattr(ranks, "GATHERED", 20)
+    monkeypatch.setattr(ranks, "GATHERED", gathered)
     got = {r["column"]: r.quantiles for r in ranks.quantiles(df, {c: F.col(c) for c in values}, shares).collect()}
     assert got == {c: pytest.approx(list(np.quantile(v.astype(float), shares))) for c, v in values.items()}
     assert ranks.smallest(df, F.col("even"), 1234).first().x == np.sort(values["even"])[1233]
