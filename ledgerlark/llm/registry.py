@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerlark.llm import decontamination, licenses, near_documents, near_lines, packing, pages, quality, repeats, sharding, toxicity
+from ledgerlark.llm import (
+    byte_bpe, decontamination, licenses, near_documents, near_lines, packing, pages, quality, repeats, sharding, toxicity,
+)
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
     "op9_weak_supervision": quality.op9_weak_supervision,
     "op10_suffix_array_decontamination": decontamination.op10_suffix_array_decontamination,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
 }
 
 SQL = {
