@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerlark.llm import (
-    byte_bpe, decontamination, licenses, near_documents, near_lines, packing, pages, quality, repeats, sharding, toxicity,
+    byte_bpe, clustering, decontamination, licenses, near_documents, near_lines, packing, pages, quality, repeats, sharding, toxicity,
 )
 
 QUERIES = {
@@ -18,10 +18,12 @@ QUERIES = {
     "op9_weak_supervision": quality.op9_weak_supervision,
     "op10_suffix_array_decontamination": decontamination.op10_suffix_array_decontamination,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_centroid_clustering": clustering.op13_centroid_clustering,
 }
 
 SQL = {
     "op4_minhash_near_dedup": near_documents.SQL,
     "op8_rendezvous_sharding": sharding.SQL,
     "op10_suffix_array_decontamination": decontamination.SQL,
+    "op13_centroid_clustering": clustering.SQL,
 }
