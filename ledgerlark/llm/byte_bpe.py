@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.common import table
 from ledgerlark.llm.hashing import word_hashes
+from ledgerlark.llm.rows import free_name, replaced, replaced_schema
 
 #: Characters that are cut at once; a longer text is cut in parts, where white space begins.
 SPAN = 1 << 20
@@ -305,27 +306,6 @@ def load_ranks(path: str) -> ByteBpe:
     return ByteBpe({base64.b64decode(token): int(rank) for token, rank in pairs})
 
 
-def _free(names: list[str], name: str) -> str:
-    """name, or name with underscores where a column, in any spelling, has it already."""
-    taken = {n.lower() for n in names}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
-def _appended(batch: pa.RecordBatch, drop: int, columns: list[tuple[str, pa.Array]]) -> pa.RecordBatch:
-    kept = [i for i in range(batch.num_columns) if i != drop]
-    return pa.RecordBatch.from_arrays(
-        [batch.column(i) for i in kept] + [c for _, c in columns],
-        names=[batch.schema.names[i] for i in kept] + [n for n, _ in columns],
-    )
-
-
-def _ddl(df: DataFrame, drop: str, more: str) -> str:
-    kept = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != drop]
-    return ", ".join([*kept, more])
-
-
 def encode(documents: DataFrame, ranks: str, text: str = "text") -> DataFrame:
     """documents with n_tokens, and ids in place of text: little-endian unsigned 32-bit integers.
 
@@ -334,7 +314,7 @@ def encode(documents: DataFrame, ranks: str, text: str = "text") -> DataFrame:
     characters at once. Columns that clash with the new ones keep theirs, and the new ones get
     a leading underscore. An empty table gives an empty result.
     """
-    n_name, ids_name, at = _free(documents.columns, "n_tokens"), _free(documents.columns, "ids"), documents.columns.index(text)
+    n_name, ids_name, at = free_name(documents.columns, "n_tokens"), free_name(documents.columns, "ids"), documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load_ranks(ranks)
@@ -343,9 +323,9 @@ def encode(documents: DataFrame, ranks: str, text: str = "text") -> DataFrame:
             for ids in bpe.encode_all(t.as_py() or "" for t in batch.column(at)):
                 counts.append(len(ids))
                 blobs.append(ids.tobytes())
-            yield _appended(batch, at, [(n_name, pa.array(counts, pa.int64())), (ids_name, pa.array(blobs, pa.binary()))])
+            yield replaced(batch, at, {n_name: pa.array(counts, pa.int64()), ids_name: pa.array(blobs, pa.binary())})
 
-    return documents.mapInArrow(run, _ddl(documents, text, f"{n_name} long, {ids_name} binary"))
+    return documents.mapInArrow(run, replaced_schema(documents, text, {n_name: "long", ids_name: "binary"}))
 
 
 def decode(encoded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
@@ -353,15 +333,15 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
 
     A null is taken as no ids; ids that the rank file lacks are an error. A clashing column is kept as in encode().
     """
-    name, at = _free(encoded.columns, "decoded"), encoded.columns.index(ids)
+    name, at = free_name(encoded.columns, "decoded"), encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load_ranks(ranks)
         for batch in batches:
             texts = [bpe.decode(np.frombuffer(b.as_py() or b"", "<u4")) for b in batch.column(at)]
-            yield _appended(batch, at, [(name, pa.array(texts, pa.binary()))])
+            yield replaced(batch, at, {name: pa.array(texts, pa.binary())})
 
-    return encoded.mapInArrow(run, _ddl(encoded, ids, f"{name} binary"))
+    return encoded.mapInArrow(run, replaced_schema(encoded, ids, {name: "binary"}))
 
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

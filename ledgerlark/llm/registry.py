@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerlark.llm import (
-    byte_bpe, clustering, decontamination, licenses, near_documents, near_lines, packing, pages, quality, repeats, sharding, toxicity,
+    alignment, byte_bpe, clustering, decontamination, licenses, near_documents, near_lines, packing, pages, quality, repeats, sharding, toxicity,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
     "op9_weak_supervision": quality.op9_weak_supervision,
     "op10_suffix_array_decontamination": decontamination.op10_suffix_array_decontamination,
+    "op11_cross_tokenizer_alignment": alignment.op11_cross_tokenizer_alignment,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
     "op13_centroid_clustering": clustering.op13_centroid_clustering,
 }
