@@ -531,17 +531,17 @@ _Z = ", ".join(
   CASE WHEN lag(event_id) {_W}) IS NULL OR coalesce(device_id, '') <> lag(coalesce(device_id, '')) {_W}) THEN 1 ELSE 0 END AS device_change
   FROM v_transactions WHERE timestamp IS NOT NULL),
 r AS (SELECT event_id, user_id, list_reverse_sort([{_Z}])[1] AS top FROM f)
-SELECT event_id, user_id, top.feature AS first, round(top.z, 4) AS z FROM r""")
+SELECT event_id, user_id, top.feature AS first, round(top.z, 6) AS z FROM r""")
 def reason_codes(spark: SparkSession, sf: str) -> DataFrame:
     found = behaviour.reason_codes(behaviour.behaviour_features(S.transactions(spark, sf)))
-    return found.select("event_id", "user_id", F.col("reasons")[0]["feature"].alias("first"), F.round(F.col("reasons")[0]["z"], 4).alias("z"))
+    return found.select("event_id", "user_id", F.col("reasons")[0]["feature"].alias("first"), F.round(F.col("reasons")[0]["z"], 6).alias("z"))
 
 
 @query()
 def user_forest_scores(spark: SparkSession, sf: str) -> DataFrame:
     features = behaviour.behaviour_features(S.transactions(spark, sf))
-    forests = models.train_forests(features)
-    return models.score_forests(features, forests, workflow.contamination(S.alerts(spark, sf), S.labels(spark, sf)))
+    forests = models.train_forests(features, workflow.contamination(S.alerts(spark, sf), S.labels(spark, sf)))
+    return models.score_forests(features, forests)
 
 
 @query()

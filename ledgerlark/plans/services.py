@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import columns as C
-from ledgerlark.operators import behaviour, evaluation, preparation, reports, scoring, workflow
+from ledgerlark.operators import behaviour, evaluation, models, preparation, reports, scoring, workflow
 from ledgerlark.plans.queries import (
     _CONFUSION, _DAILY, _SCORED, _W, _scored, _shared, day, keyed_state, query, r6, text,
 )
 from ledgerlark.sources import tables as S
+from ledgerlark.sources.registry import ModelRegistry
 from ledgerlark.streaming import jobs
+from ledgerlark.streaming import scoring as live
 
 #: Request bodies, some of them faulty: no type, no time, no number, no JSON.
 _BODIES = """SELECT event_id, user_id, ts AS received_at, CASE
@@ -270,3 +272,84 @@ def stream_daily_alerts(spark: SparkSession, sf: str) -> DataFrame:
     jobs.run_batches(jobs.stream_daily_counts(S.read_stream(spark, f"{at}/landed", S.TRANSACTIONS)), sink, f"{at}/checkpoint")
     counts = spark.read.parquet(f"{at}/counts").groupBy("user_id", "day").agg(F.max_by("n", "batch").alias("n"))
     return behaviour.new_daily_alerts(behaviour.daily_anomalies(counts), _had(spark, sf)).select("user_id", day(), "n", "severity")
+
+
+_CUTS = "c AS (SELECT min(ts) + INTERVAL 15 DAY AS a, min(ts) + INTERVAL 20 DAY AS b FROM events)"
+
+
+@query(f"""WITH {_CUTS}, n AS (SELECT user_id, count(*) FILTER (WHERE ts < a) AS n1, count(*) FILTER (WHERE ts < b) AS n2 FROM events, c GROUP BY user_id)
+SELECT event_id, user_id, CASE WHEN ts < b THEN 1 ELSE 2 END::INT AS version, CASE WHEN ts < b THEN n1 ELSE n2 END >= 30 AS has_personal, true AS has_population, true AS as_in_batch
+FROM events JOIN n USING (user_id), c""")
+def stream_model_scores(spark: SparkSession, sf: str, trees: int = 50, rounds: int = 10) -> DataFrame:
+    """The replay scored by the registry's models: version 1 until version 2, with more users' forests, is published on the way.
+
+    as_in_batch tells whether the batch job at the same version gives the same verdict. Fewer trees and
+    rounds than the defaults keep it quick; the way through the stream is the same.
+    """
+    at = _shared(spark)
+    txns = S.transactions(spark, sf)
+    start = txns.agg(F.min("timestamp")).first()[0]
+    first, second = (F.lit(start) + F.expr(f"INTERVAL {d} DAYS") for d in (15, 20))
+    registry, names = ModelRegistry(spark, f"{at}/models"), ["TransactionAmt", "addr1", "c1"]
+    training = preparation.impute(S.training(spark, sf).withColumnRenamed("amt", "TransactionAmt"), skip=("txn_id",))
+    registry.publish(
+        models.train_forests(behaviour.behaviour_features(txns.filter(F.col("timestamp") < first)), trees=trees),
+        models.train_population(training, names, "is_fraud", rounds=rounds), preparation.feature_defaults(training, names),
+    )
+    parts = [txns.filter(F.col("timestamp") < second), txns.filter(F.col("timestamp") >= second)]
+    with keyed_state(spark):
+        for k, part in enumerate(parts):
+            S.land_in_order(part, f"{at}/landed/{k}", "timestamp", "event_id")
+            stream = jobs.stream_features(jobs.unique(S.read_stream(spark, f"{at}/landed/*", S.TRANSACTIONS)), mode="scoring")
+            jobs.run_batches(live.model_inputs(stream), live.model_sink(registry, at), f"{at}/checkpoint", mode="append")
+            if not k:
+                live.retrain(registry, part, trees=trees)
+    verdict = ["personal", "personal_anomaly", "population", "score", "is_anomaly", "severity"]
+    rows = behaviour.extreme_amounts(behaviour.behaviour_features(txns, mode="scoring"))
+    batch = live.score_with(rows.filter(F.col("timestamp") < second), registry, 1).unionByName(live.score_with(rows.filter(F.col("timestamp") >= second), registry, 2))
+    both = spark.read.parquet(f"{at}/scored").drop("batch").alias("s").join(batch.select("event_id", *[F.col(c).alias(f"b_{c}") for c in [*verdict, "version"]]), "event_id")
+    same = [F.col(c).eqNullSafe(F.col(f"b_{c}")) if c in ("personal_anomaly", "is_anomaly", "severity") else F.round(c, 9).eqNullSafe(F.round(f"b_{c}", 9)) for c in verdict]
+    equal = F.col("version") == F.col("b_version")
+    for x in same:
+        equal &= x
+    return both.select(
+        "event_id", "user_id", "version", F.col("personal").isNotNull().alias("has_personal"), F.col("population").isNotNull().alias("has_population"), equal.alias("as_in_batch")
+    )
+
+
+@query(f"""WITH {_CUTS}, n AS (SELECT user_id, count(*) FILTER (WHERE ts < a) AS n1, count(*) FILTER (WHERE ts < b) AS n2, count(*) AS n3 FROM events, c GROUP BY user_id)
+SELECT user_id, n3 AS n_rows, CASE WHEN n3 > n2 THEN 3 WHEN n2 > n1 THEN 2 ELSE 1 END::INT AS version,
+  (CASE WHEN n1 >= 30 THEN 1 ELSE 0 END + CASE WHEN n2 >= 30 AND (n2 > n1 OR n1 < 30) THEN 1 ELSE 0 END + CASE WHEN n3 > n2 OR n2 < 30 THEN 1 ELSE 0 END)::INT AS times_trained FROM n WHERE n3 >= 30""")
+def retrain_increments(spark: SparkSession, sf: str, trees: int = 10) -> DataFrame:
+    """Three rounds of retraining over growing tables: each trains the users who have grown, and nobody else."""
+    txns = S.transactions(spark, sf)
+    start = txns.agg(F.min("timestamp")).first()[0]
+    registry = ModelRegistry(spark, f"{_shared(spark)}/models")
+    for days in (15, 20, None):
+        live.retrain(registry, txns if days is None else txns.filter(F.col("timestamp") < F.lit(start) + F.expr(f"INTERVAL {days} DAYS")), trees=trees)
+    times = None
+    for v in registry.versions():
+        part = spark.read.parquet(f"{registry.folder}/trained/{v}").select("user_id")
+        times = part if times is None else times.unionByName(part)
+    counted = times.groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("times_trained"))
+    return registry.trained().join(counted, "user_id").select("user_id", "n_rows", "version", "times_trained")
+
+
+_RUNNING = f"""d AS ({_DAILY}), r AS (SELECT user_id, day, n, count(*) OVER w AS days, sum(n) OVER w AS total, sum(n * n) OVER w AS squares FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+a AS (SELECT user_id, day, n, days * n - total AS over, days * squares - total * total AS spread, total FROM r WHERE day + INTERVAL 2 DAY <= (SELECT max(ts) FROM events))"""
+
+
+@query(f"""WITH {_RUNNING} SELECT user_id, strftime(day, '%Y-%m-%d') AS day, n, round(over / sqrt(spread), 6) AS z, CASE WHEN over * over >= 9 * spread THEN 'High' ELSE 'Medium' END AS severity
+FROM a WHERE total >= 10 AND spread > 0 AND over > 0 AND over * over >= 4 * spread AND day(day) % 3 <> 0""")
+def stream_daily_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Days that stand out as they close in the stream, which is stopped and restarted in mid-day and has rows up to twelve hours late."""
+    at = _shared(spark)
+    arrival = F.unix_micros("timestamp") + F.pmod(F.xxhash64("event_id"), F.lit(43_200_000_000))
+    txns = S.transactions(spark, sf).withColumn("arrival", arrival)
+    stop = txns.agg(F.min("arrival")).first()[0] + 10_500_000 * 86_400
+    with keyed_state(spark):
+        for k, part in enumerate((txns.filter(F.col("arrival") < stop), txns.filter(F.col("arrival") >= stop))):
+            S.land_in_order(part, f"{at}/landed/{k}", "arrival", "event_id")
+            found = jobs.daily_check(S.read_stream(spark, f"{at}/landed/*", S.TRANSACTIONS, files=2))
+            jobs.run_batches(found, jobs.daily_sink(f"{at}/alerts", _had(spark, sf)), f"{at}/checkpoint", mode="append")
+    return spark.read.parquet(f"{at}/alerts").select("user_id", day(), "n", r6("z"), "severity")

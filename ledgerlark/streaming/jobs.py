@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerlark.functions import columns as C
-from ledgerlark.operators.behaviour import is_extreme
+from ledgerlark.operators.behaviour import is_extreme, new_daily_alerts
 from ledgerlark.sources import tables as S
 
 _OUT = (
@@ -25,46 +27,141 @@ class Profile(StatefulProcessor):
     """A user's running history: count, greatest amount, last time and device, last amounts.
 
     Rows of a micro-batch are taken in order of time and id; a row older than the last one seen
-    meets the history as it is and is flagged late.
+    meets the history as it is and is flagged late. State is read and written once a call, and what lies
+    between is array work; a call holds a user's rows of one micro-batch, which the source's files
+    a trigger bound. In scoring mode a row without a device changes none.
     """
 
+    def __init__(self, mode: str = "training"):
+        self.mode = mode
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("profile", "n long, highest double, micros long, id long, device string, last array<double>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         n, highest, micros, last_id, device, last = self.state.get() if self.state.exists() else (0, None, None, None, None, [])
-        last, out = list(last), []
-        frame = pd.concat(list(rows)).sort_values(["timestamp", "event_id"])
-        for r in frame.itertuples():
-            now = r.timestamp.value // 1000
-            mine = r.device_id if isinstance(r.device_id, str) else ""
-            late = micros is not None and (now, r.event_id) < (micros, last_id)
-            out.append((
-                r.event_id, r.transaction_id, r.user_id, r.amount, r.tx_type, r.timestamp,
-                0.0 if micros is None else (now - micros) / 1e6, sum(last) / len(last) if last else 0.0, len(last),
-                int(device is None or mine != device), n, highest, late,
-            ))
-            if r.amount is not None and not pd.isna(r.amount):
-                n, highest = n + 1, r.amount if highest is None else max(highest, r.amount)
-                last = [*last, r.amount][-C.ROLLING :]
-            if not late:
-                micros, last_id, device = now, r.event_id, mine
-        self.state.update((n, highest, micros, last_id, device, last))
-        names = [x.split()[0] for x in _OUT.split(", ")]
-        yield pd.DataFrame(out, columns=names)
+        frame = pd.concat(list(rows)).sort_values(["timestamp", "event_id"], ignore_index=True)
+        out = frame[["event_id", "transaction_id", "user_id", "amount", "tx_type", "timestamp"]].copy()
+        now, ids = frame["timestamp"].to_numpy("datetime64[us]").astype(np.int64), frame["event_id"].to_numpy()
+        mine = frame["device_id"].where(frame["device_id"].notna(), "").to_numpy(object)
+        # rows are sorted, so that late ones lead
+        late = np.zeros(len(frame), bool) if micros is None else (now < micros) | ((now == micros) & (ids < last_id))
+        first = int(late.sum())
+        before, worn = np.empty(len(now), np.int64), np.empty(len(now), object)
+        before[: first + 1], worn[: first + 1] = micros or 0, device
+        before[first + 1 :], worn[first + 1 :] = now[first:-1], mine[first:-1]
+        new = np.arange(len(now)) == 0 if micros is None else np.zeros(len(now), bool)
+        changed = new | (worn != mine)
+        if self.mode == "scoring":
+            changed &= mine != ""
+        # amounts before each row: those of the state, then this batch's
+        amounts = frame["amount"].to_numpy(float)
+        there = ~np.isnan(amounts)
+        held = np.concatenate((np.array(last, float), amounts[there]))
+        seen = np.cumsum(there) - there
+        end = len(last) + seen
+        window = np.minimum(end, C.ROLLING)
+        padded = np.concatenate((np.zeros(C.ROLLING), held))
+        recent = np.lib.stride_tricks.sliding_window_view(padded, C.ROLLING)[end]
+        tops = np.maximum.accumulate(np.concatenate(([-np.inf if highest is None else highest], amounts[there])))
+        prior_max = tops[seen]
+        out["delta_prev_seconds"] = np.where(new, 0.0, (now - before) / 1e6)
+        out["rolling_mean_10"] = recent.sum(axis=1) / np.maximum(window, 1)
+        out["rolling_count_10"], out["device_change"], out["prior_count"] = window, changed.astype(np.int32), n + seen
+        out["prior_max"], out["late"] = np.where(np.isneginf(prior_max), np.nan, prior_max), late
+        n, highest = n + int(there.sum()), float(tops[-1]) if np.isfinite(tops[-1]) else None
+        if first < len(now):
+            micros, last_id, device = int(now[-1]), int(ids[-1]), str(mine[-1])
+        self.state.update((n, highest, micros, last_id, device, [float(x) for x in held[-C.ROLLING :]]))
+        yield out
 
     def close(self) -> None:
         pass
 
 
+_CHECK = "user_id long, day date, n long, z double, severity string"
+_CHECK_NAMES = [x.split()[0] for x in _CHECK.split(", ")]
+_DAY_MS = 86_400_000
+
+
+class DailyCheck(StatefulProcessor):
+    """Closes a user's days by event time and judges each against the days until then, itself included.
+
+    State is the counts of open days and, of closed ones, three whole numbers: days, transactions and the
+    sum of squared counts. Comparisons are in whole numbers, so that rows may come in any
+    grouping and order. A day closes when the watermark passes its end; rows of closed days are left out. A user
+    without an open day for idle_days is forgotten.
+    """
+
+    def __init__(self, idle_days: int = 400):
+        self.idle = idle_days * _DAY_MS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.past = handle.getValueState("past", "days long, total long, squares long, closed long")
+        self.open = handle.getMapState("open", "day long", "n long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        closed = self.past.get()[3] if self.past.exists() else None
+        for frame in rows:
+            days = frame["timestamp"].dropna().to_numpy("datetime64[D]").astype(np.int64)
+            for day, n in zip(*np.unique(days, return_counts=True), strict=True):
+                day = int(day)
+                if closed is not None and day <= closed:
+                    continue
+                had = self.open.getValue((day,))[0] if self.open.containsKey((day,)) else 0
+                self.open.updateValue((day,), (had + int(n),))
+                if not had:
+                    self.handle.registerTimer((day + 1) * _DAY_MS)
+        yield pd.DataFrame(columns=_CHECK_NAMES, dtype=object)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        days, total, squares, closed = self.past.get() if self.past.exists() else (0, 0, 0, None)
+        mark, found = timerValues.getCurrentWatermarkInMs(), []
+        due = sorted((k[0], v[0]) for k, v in self.open.iterator() if (k[0] + 1) * _DAY_MS <= mark)
+        for day, n in due:
+            days, total, squares, closed = days + 1, total + n, squares + n * n, day
+            over, spread = days * n - total, days * squares - total * total
+            self.open.removeKey((day,))
+            if total >= C.DAILY_HISTORY and spread and over > 0 and over * over >= C.Z_ALERT**2 * spread:
+                severity = "High" if over * over >= C.Z_HIGH**2 * spread else "Medium"
+                found.append((key[0], np.datetime64(day, "D").astype(object), n, over / math.sqrt(spread), severity))
+        if due:
+            self.past.update((days, total, squares, closed))
+            self.handle.registerTimer((closed + 1) * _DAY_MS + self.idle)
+        elif closed is not None and (closed + 1) * _DAY_MS + self.idle <= mark and not any(True for _ in self.open.keys()):
+            self.past.clear()
+        yield pd.DataFrame(found, columns=_CHECK_NAMES, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def daily_check(txns: DataFrame, delay: str = "1 day", idle_days: int = 400) -> DataFrame:
+    """user_id, day, n, z and severity of the days that stand out, each once, when it closes."""
+    rows = txns.filter("timestamp IS NOT NULL").select("user_id", "timestamp").withWatermark("timestamp", delay)
+    return rows.groupBy("user_id").transformWithStateInPandas(DailyCheck(idle_days), _CHECK, "Append", "EventTime")
+
+
+def daily_sink(folder: str, existing: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that writes the alerts of closed days for which existing (user_id, day) has none."""
+
+    def sink(rows: DataFrame, batch: int) -> None:
+        new = rows if existing is None else new_daily_alerts(rows, existing)
+        new = new.withColumn("alert_id", C.stable_key(F.col("user_id"), F.col("day"), F.lit("daily")))
+        new.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    return sink
+
+
 def unique(txns: DataFrame, delay: str = "1 day") -> DataFrame:
     """The stream without repeats of a transaction id, which are looked for as long as delay."""
     return txns.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["transaction_id"])
 
 
-def stream_features(txns: DataFrame) -> DataFrame:
+def stream_features(txns: DataFrame, mode: str = "training") -> DataFrame:
     """Point-in-time features of a stream, from keyed state instead of each user's whole history."""
-    found = txns.filter("timestamp IS NOT NULL").groupBy("user_id").transformWithStateInPandas(Profile(), _OUT, "Append", "None")
+    found = txns.filter("timestamp IS NOT NULL").groupBy("user_id").transformWithStateInPandas(Profile(mode), _OUT, "Append", "None")
     return found.withColumn("is_extreme", is_extreme(F.col("amount"), F.col("prior_count"), F.col("prior_max")))
 
 
