@@ -10,6 +10,7 @@ given ones. Their counts are summed by batch and task, then by Spark, and are sm
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -83,7 +84,7 @@ def pieces(path: str) -> Vocabulary:
 
 def _lists(ids: list[list[int]]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(offsets[-1]))
+    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(offsets[-1]))
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
@@ -97,9 +98,8 @@ def token_ends(ids: pa.ListArray, vocabulary: Vocabulary, name: str) -> pa.Table
     return pa.table({"text": text, "end": ends - before[text], name: flat, f"{name}_at": np.arange(len(ends))})
 
 
-def _same(ids: list[list[int]], expected: list[bytes], vocabulary: Vocabulary) -> list[bool]:
+def _same(lists: pa.ListArray, expected: list[bytes], vocabulary: Vocabulary) -> list[bool]:
     """Whether the tokens of each text, joined, are its bytes."""
-    lists = _lists(ids)
     flat, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
     joined = vocabulary.bytes_of(flat)
     places = np.concatenate(([0], np.cumsum(vocabulary.length[flat])))[offsets].tolist()
@@ -117,8 +117,10 @@ def align_texts(texts: list[str | None], a: Vocabulary, b: Vocabulary) -> dict[s
     spaced = [f" {t}" if t else "" for t in texts]
     ids_a, ids_b = [a.encode(spaced), b.encode([t or "" for t in texts])]
     expected = [t.encode() for t in spaced]
-    good = [bool(t) and x and y for t, x, y in zip(texts, _same(ids_a, expected, a), _same(ids_b, expected, b), strict=True)]
-    list_a, list_b = (_lists([x if ok else [] for x, ok in zip(ids, good, strict=True)]) for ids in (ids_a, ids_b))
+    list_a, list_b = _lists(ids_a), _lists(ids_b)
+    good = [bool(t) and x and y for t, x, y in zip(texts, _same(list_a, expected, a), _same(list_b, expected, b), strict=True)]
+    if not all(good):
+        list_a, list_b = (_lists([x if ok else [] for x, ok in zip(ids, good, strict=True)]) for ids in (ids_a, ids_b))
     links = token_ends(list_a, a, "a").join(token_ends(list_b, b, "b"), ["text", "end"], join_type="inner", use_threads=False)
     # groups end where tokens of both do; a text's last tokens end together, so that groups never cross texts
     text, at_a, at_b = (links[c].to_numpy() for c in ("text", "a_at", "b_at"))
