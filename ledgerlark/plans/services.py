@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import columns as C
-from ledgerlark.operators import behaviour, evaluation, models, preparation, reports, scoring, workflow
+from ledgerlark.operators import asof, behaviour, evaluation, models, preparation, reports, scoring, workflow
 from ledgerlark.plans.queries import (
     _CONFUSION, _DAILY, _SCORED, _W, _scored, _shared, day, keyed_state, query, r6, text,
 )
 from ledgerlark.sources import tables as S
 from ledgerlark.sources.registry import ModelRegistry
+from ledgerlark.sources.upserts import UpsertTable
 from ledgerlark.streaming import jobs
 from ledgerlark.streaming import scoring as live
 
@@ -353,3 +356,71 @@ def stream_daily_check(spark: SparkSession, sf: str) -> DataFrame:
             found = jobs.daily_check(S.read_stream(spark, f"{at}/landed/*", S.TRANSACTIONS, files=2))
             jobs.run_batches(found, jobs.daily_sink(f"{at}/alerts", _had(spark, sf)), f"{at}/checkpoint", mode="append")
     return spark.read.parquet(f"{at}/alerts").select("user_id", day(), "n", r6("z"), "severity")
+
+
+def _label_table(spark: SparkSession, sf: str) -> UpsertTable:
+    """Analysts' labels as a table under upserts: a stream of judgements in several batches, compacted on the way."""
+    at, rows = _shared(spark), S.feedback(spark, sf)
+    table = UpsertTable(spark, f"{at}/table", rows.schema, "alert_id", ["labeled_at", "seq", "labeled_by", "is_fraud"], buckets=16)
+    halves = [F.pmod(F.xxhash64("seq", "alert_id"), F.lit(2)) == k for k in (0, 1)]
+    for k, half in enumerate(halves):
+        # out of order of time: batches hold changes that are earlier than those before
+        S.land_in_order(rows.filter(half).withColumn("arrival", F.xxhash64("seq", "labeled_at", "alert_id")), f"{at}/landed/{k}", "arrival")
+        jobs.run_batches(S.read_stream(spark, f"{at}/landed/*", rows.schema, files=4), table.apply, f"{at}/checkpoint", mode="append")
+        if not k:
+            table.compact(dt.datetime(1996, 6, 1))
+    return table
+
+
+_LABELS = """SELECT alert_id, is_fraud, labeled_by, strftime(labeled_at, '%Y-%m-%d %H:%M:%S') AS labeled_at, count(*) OVER (PARTITION BY alert_id) AS n FROM v_feedback WHERE {0}
+QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY labeled_at DESC, seq DESC, labeled_by DESC, is_fraud DESC) = 1"""
+
+
+@query(_LABELS.format("true"))
+def label_table(spark: SparkSession, sf: str) -> DataFrame:
+    table = _label_table(spark, sf)
+    table.compact(dt.datetime(1998, 1, 1))
+    return table.read().select("alert_id", "is_fraud", "labeled_by", text("labeled_at"), "n")
+
+
+@query(_LABELS.format("labeled_at <= TIMESTAMP '1998-03-01'"))
+def label_table_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _label_table(spark, sf).read(dt.datetime(1998, 3, 1))
+    return rows.select("alert_id", "is_fraud", "labeled_by", text("labeled_at"), "n")
+
+
+@query("""WITH t AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-15') AS m FROM events WHERE event_type = 'error' GROUP BY user_id)
+SELECT user_id, n % 2 = 1 AS is_frozen, coalesce(m % 2 = 1, false) AS was_frozen FROM t""")
+def freeze_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Accounts that toggles have frozen, now and in the middle of the month, from a table of toggles."""
+    at = _shared(spark)
+    rows = S.table(spark, sf, "events").filter("event_type = 'error'").select("user_id", F.col("ts").cast("timestamp").alias("at"), "event_id")
+    table = UpsertTable(spark, f"{at}/table", rows.schema, "user_id", ["at", "event_id"], buckets=16)
+    for batch in range(3):
+        table.apply(rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == batch), batch)
+        table.apply(rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == batch), batch)
+    table.compact(dt.datetime(2024, 1, 10))
+    then = table.read(dt.datetime(2024, 1, 15)).select("user_id", (F.col("n") % 2 == 1).alias("was_frozen"))
+    rows = table.read().select("user_id", (F.col("n") % 2 == 1).alias("is_frozen")).join(then, "user_id", "left")
+    return rows.withColumn("was_frozen", F.coalesce("was_frozen", F.lit(False)))
+
+
+@query("""WITH a AS (SELECT l.alert_id AS id, v.user_id, generated_at, labeled_at AS resolved_at, severity FROM v_alerts v LEFT JOIN v_labels l ON v.alert_id = l.alert_id),
+t AS (SELECT o_custkey AS user_id, l_shipdate AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 40),
+x AS (SELECT o_orderkey AS txn_id, o_custkey AS user_id, o_orderdate AS ts FROM orders),
+f AS (SELECT txn_id, count(*) AS n FROM x JOIN t ON x.user_id = t.user_id AND t.at <= x.ts GROUP BY txn_id),
+p AS (SELECT txn_id, count(*) FILTER (WHERE (resolved_at IS NULL OR resolved_at > generated_at) AND (resolved_at IS NULL OR resolved_at > x.ts)) AS pending,
+  max_by(severity, (generated_at, severity)) FILTER (WHERE severity IS NOT NULL) AS last_severity
+  FROM x JOIN a ON x.user_id = a.user_id AND a.generated_at < x.ts GROUP BY txn_id),
+s AS (SELECT txn_id, user_id, coalesce(f.n, 0) % 2 = 1 AS is_frozen, coalesce(pending, 0) AS pending, last_severity FROM x LEFT JOIN f USING (txn_id) LEFT JOIN p USING (txn_id))
+SELECT *, CASE WHEN is_frozen THEN 'frozen' WHEN pending >= 2 THEN 'pending alerts' END AS reason, CASE WHEN is_frozen OR pending >= 2 THEN 'block' ELSE 'admit' END AS decision FROM s""")
+def admission_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order as a transaction, admitted by what was known at its time; customers of over 16 rows are cut into slices."""
+    orders = S.table(spark, sf, "orders")
+    txns = orders.select(F.col("o_orderkey").alias("txn_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp").alias("timestamp"))
+    flagged = S.table(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 40")
+    toggles = flagged.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    labels = S.labels(spark, sf).select("alert_id", F.col("labeled_at").alias("resolved_at"))
+    alerts = S.alerts(spark, sf).join(labels, "alert_id", "left").select("user_id", "generated_at", "resolved_at", "severity")
+    rows = asof.admission_at(txns, toggles, alerts, C.PENDING_LIMIT, most=16, slices=8)
+    return rows.select("txn_id", "user_id", "is_frozen", "pending", "last_severity", "decision", "reason")
