@@ -42,6 +42,8 @@ STEP_BYTES = 1 << 18
 #: An anchor whose chunks hold more different suffixes than this is split by classes of window starts,
 #: each of so many.
 OFTEN, CLASS = 4096, 20
+#: Suffixes of a group up to which each is held against its neighbours.
+FEW = 32
 #: Repeated anchors that one merging task takes, on average.
 BUCKET_ANCHORS = 40_000
 
@@ -337,13 +339,50 @@ def merge_runs(runs: list[Iterator[tuple]]) -> Iterator[tuple[int, int, tuple]]:
             node //= 2
 
 
+def _ranges(hit: int) -> list[tuple[int, int]]:
+    """The runs of set bits, with both ends."""
+    ranges, d = [], 0
+    while hit >> d:
+        while not hit >> d & 1:
+            d += 1
+        start = d
+        while hit >> d & 1:
+            d += 1
+        ranges.append((start, d - 1))
+    return ranges
+
+
+def windows_by_distance(group: list[tuple[int, bytes, bytes, bool]]) -> list[list[tuple[int, int]]]:
+    """What repeated_windows() tells, in time and memory in proportion to the group.
+
+    For each distance, windows are equal where suffixes in a run share enough, and what lies
+    before their anchors is the same so far back.
+    """
+    hits = [0] * len(group)
+    for d in range(min(WINDOW - len(s) for _, s, _, _ in group), max(len(b) for _, _, b, _ in group) + 1):
+        need = WINDOW - d
+        seen: dict[bytes, int] = {}
+        for i, (shared, suffix, before, _) in enumerate(group):
+            if shared < need:
+                seen.clear()
+            if len(suffix) >= need and len(before) >= d:
+                j = seen.setdefault(before[len(before) - d :], i)
+                if j != i:
+                    hits[i] |= 1 << d
+                    hits[j] |= 1 << d
+    return [[(WINDOW - len(s), len(b))] if many else _ranges(hit) for hit, (_, s, b, many) in zip(hits, group, strict=True)]
+
+
 def repeated_windows(group: list[tuple[int, bytes, bytes, bool]]) -> list[list[tuple[int, int]]]:
     """For suffixes in order, (shared with the one before, suffix, before, repeated): which windows repeat.
 
     A window is named by how far before the anchor it starts; ranges hold both ends. The reach to
     the right shrinks away from a suffix in either direction, so looking stops where no window
-    not found yet could still reach.
+    not found yet could still reach. Groups of over FEW suffixes, which could share much and repeat
+    nothing, are told by distances instead.
     """
+    if len(group) > FEW:
+        return windows_by_distance(group)
     out = []
     for i, (_, suffix, before, many) in enumerate(group):
         top, least = len(before), WINDOW - len(suffix)
@@ -372,15 +411,7 @@ def repeated_windows(group: list[tuple[int, bytes, bytes, bool]]) -> list[list[t
                 far = shared_suffix(before, group[j][2])
                 if far >= near:
                     hit |= (1 << far + 1) - (1 << near)
-        ranges, d = [], 0
-        while hit >> d:
-            while not hit >> d & 1:
-                d += 1
-            start = d
-            while hit >> d & 1:
-                d += 1
-            ranges.append((start, d - 1))
-        out.append(ranges)
+        out.append(_ranges(hit))
     return out
 
 
@@ -448,7 +479,8 @@ def _merger(buckets: int):
             where.append([(chunks[r], entry)])
         close()
         names = list(reply)
-        return pd.DataFrame({"chunk": names, "found": [np.array(reply[c], np.int32) for c in names]})
+        found = [np.array(reply[c], np.int32) for c in names]
+        return pd.DataFrame({"chunk": pd.Series(names, dtype="int64"), "found": pd.Series(found, dtype=object)})
 
     return merge
 

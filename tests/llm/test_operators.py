@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -63,6 +64,56 @@ def test_repeats_equal_brute_force(spark, monkeypatch, often):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
 
 
+def repeats_of(spark, texts):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs(spark, texts)).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def noise(n, rng):
+    return rng.integers(33, 127, n, dtype=np.uint8).tobytes().decode()
+
+
+@pytest.mark.parametrize("same", [150, 199])
+def test_repeats_where_no_window_repeats(spark, same):
+    """Anchors repeat and no window does: buckets answer nothing, alone or beside ones that answer."""
+    rng = np.random.default_rng(same)
+    common = noise(same, rng)
+    texts = [noise(150, rng) + common + noise(150, rng) for _ in range(4)]
+    assert repeats_of(spark, texts) == brute_repeats(texts)
+    texts += [noise(300, rng)] * 3
+    assert repeats_of(spark, texts) == brute_repeats(texts)
+
+
+@pytest.mark.parametrize("often", [20, 100_000])
+def test_repeats_of_many_texts_around_a_short_boilerplate(spark, monkeypatch, often):
+    """190 common bytes in random text: not a window long, however many share it."""
+    monkeypatch.setattr(repeats, "OFTEN", often)
+    rng = np.random.default_rng(4)
+    common = noise(190, rng)
+    texts = [noise(120, rng) + common + noise(120, rng) for _ in range(3000)]
+    # some share what follows, some what goes before
+    texts += [t[:100] + common + noise(60, rng) for t in texts[:5]] + [noise(60, rng) + t[110:] for t in texts[5:9]] + texts[9:12]
+    start = time.monotonic()
+    assert repeats_of(spark, texts) == brute_repeats(texts)
+    assert time.monotonic() - start < 120
+
+
+def test_windows_by_distance_equal_pairwise(monkeypatch):
+    rng = np.random.default_rng(9)
+    for size in (2, 5, 30):
+        group = []
+        for _ in range(size):
+            suffix = b"a" * int(rng.integers(48, 190)) + bytes(rng.integers(97, 99, 10, dtype=np.uint8))
+            before = bytes(rng.integers(97, 99, 4, dtype=np.uint8)) + b"b" * int(rng.integers(0, 140))
+            if len(suffix) + len(before) >= 200:
+                group.append((suffix[:200], before, bool(rng.random() < 0.1)))
+        group.sort()
+        shares = [0] + [repeats.shared_prefix(a[0], b[0]) for a, b in zip(group, group[1:], strict=False)]
+        rows = [(s, *g) for s, g in zip(shares, group, strict=True)]
+        monkeypatch.setattr(repeats, "FEW", 10**9)
+        assert repeats.windows_by_distance(rows) == repeats.repeated_windows(rows) if rows else True
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(docs(spark, ["x"]).limit(0)).count() == 0
 
