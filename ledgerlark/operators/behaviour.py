@@ -154,3 +154,30 @@ def reason_codes(features: DataFrame, names: list[str] = FEATURES, top: int = 3)
     ]
     ranked = features.withColumn("_z", F.sort_array(F.array(*z), asc=False))
     return ranked.select("event_id", "transaction_id", "user_id", F.slice("_z", 1, top).alias("reasons"))
+
+
+def _median(values: Column) -> Column:
+    """The median of an array without nulls; null for an empty one."""
+    n, ordered = F.size(values), F.sort_array(values)
+    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+
+
+def robust_reasons(features: DataFrame, names: list[str] = FEATURES, top: int = 3, last: int = 50) -> DataFrame:
+    """event_id, transaction_id, user_id and the row's `top` features by robust z: the distance from the median of the user's
+    `last` earlier rows, in median absolute deviations (of one where they are 0).
+
+    The frame bounds what a row looks at, so that busy users cost no more a row than others. A first row has
+    distances of 0. Ties go to the later name.
+    """
+    w = _history().rowsBetween(-last, -1)
+    rows = features.withColumns({f"_p_{c}": F.collect_list(F.col(c).cast("double")).over(w) for c in names})
+    rows = rows.withColumns({f"_m_{c}": _median(F.col(f"_p_{c}")) for c in names})
+
+    def far(c: str) -> Column:
+        middle = F.col(f"_m_{c}")
+        spread = _median(F.transform(f"_p_{c}", lambda x: F.abs(x - middle)))
+        return F.coalesce(F.round(F.abs(F.col(c) - middle) / _spread(spread), 6), F.lit(0.0))
+
+    z = [F.struct(far(c).alias("z"), F.lit(c).alias("feature")) for c in names]
+    ranked = rows.withColumn("_z", F.sort_array(F.array(*z), asc=False))
+    return ranked.select("event_id", "transaction_id", "user_id", F.slice("_z", 1, top).alias("reasons"))

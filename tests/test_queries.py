@@ -3,7 +3,7 @@
 import pytest
 
 from ledgerlark.plans import queries as q
-from ledgerlark.plans import services  # noqa: F401  registers the rest
+from ledgerlark.plans import research, services  # noqa: F401  register the rest
 from tests.conftest import rows_of
 
 
