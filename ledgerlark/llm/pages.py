@@ -44,6 +44,12 @@ _SKIP_NAMES = frozenset(
     "popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments respond disqus "
     "share sharing social related newsletter subscribe subscription signup login search toolbar widget pagination pager".split()
 )
+#: Words that say what kind of box it is, and nothing of what is in it.
+_BOX_NAMES = frozenset(
+    "area bar block body bottom box button buttons column container content count entry form group head header holder icons inline inner "
+    "item items left line link links list main meta outer panel placeholder post page reader readers region reply replies right row section "
+    "site slot strip text thread title top unit user users wrap wrapper zone".split()
+)
 _SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu".split())
 
 _TAG = re.compile(
@@ -75,10 +81,11 @@ def _skips(name: str, rest: str, in_main: bool) -> bool:
         if key in ("class", "id"):
             if value in ("header", "site-header", "page-header") and not in_main:
                 return True
-            # inside articles only names that say nothing else: "related-work" is no advert there
-            whole = all if in_main else any
-            if any(parts and whole(x in _SKIP_NAMES for x in parts) for parts in map(_NAME.findall, value.split())):
-                return True
+            # a name that says something else too is no proof: "related-work" is no advert, "notice-board" no notice
+            for parts in map(_NAME.findall, value.split()):
+                kinds = [x for x in parts if x not in _BOX_NAMES]
+                if kinds and all(x in _SKIP_NAMES for x in kinds):
+                    return True
     return False
 
 
@@ -87,6 +94,7 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements and the zone inside them
+    blocks: list[int] = []  # places of block elements in it
     opened: Counter[str] = Counter()
     zone, at, last = PLAIN, 0, page.rfind(">")
 
@@ -102,6 +110,8 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
         for name, _ in stack[k:]:
             opened[name] -= 1
         del stack[k:]
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
         zone = stack[-1][1] if stack else PLAIN
 
     while at < len(page):
@@ -139,14 +149,10 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
             continue
         if name in _VOID:
             continue
-        if name in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):  # these end one of their kind
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    skips = zone == BOILER or _skips(name, rest, zone >= LAYOUT)
-                    break
-                if stack[k][0] in _BLOCK:
-                    break
+        # these end one of their kind, if no other block was opened in it
+        if name in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and blocks and stack[blocks[-1]][0] == name:
+            close(blocks[-1])
+            skips = zone == BOILER or _skips(name, rest, zone >= LAYOUT)
         if skips:
             zone = BOILER
         elif name in ("article", "main"):
@@ -154,6 +160,8 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
         elif zone == LAYOUT and name in _PROVED:
             zone = MAIN
         if not rest.endswith("/") or name in _BLOCK:
+            if name in _BLOCK:
+                blocks.append(len(stack))
             stack.append((name, zone))
             opened[name] += 1
         elif stack:

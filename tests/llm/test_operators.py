@@ -348,6 +348,32 @@ def test_pages(spark):
     assert pages.main_text(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["comments-area", "comment-list", "user-comments", "ad-slot", "share-buttons", "cookie-box", "reader-comments section"])
+def test_boxes_in_an_article_that_arent_its_text(name):
+    page = f"<article><p>Text</p><div class='{name}'><p>Nice</p><ol><li>First!</li></ol></div><p>More</p></article>"
+    assert pages.extract(page, set()) == "Text\nMore"
+
+
+@pytest.mark.parametrize("name", ["notice-board", "social-history", "related-work", "share-price", "page-content"])
+def test_names_that_say_something_else_delete_nothing(name):
+    for page in ("<div class='{0}'><p>The text</p></div>", "<article><div id='{0}'><p>The text</p></div></article>"):
+        assert pages.extract(page.format(name), set()) == "The text"
+
+
+def test_open_tags_cost_no_more_than_their_number():
+    took = []
+    for n in (4000, 16000):
+        start = time.monotonic()
+        assert len(pages.blocks_of("<b>" * n + "<li>a</li>" * n)) == n
+        took.append(time.monotonic() - start)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_a_page_of_five_megabytes():
+    page = "<article>" + "<p>Some &amp; words<ul><li>one<li>two</ul>" * 120_000 + "</article>"
+    assert pages.extract(page, set()).count("\n") == 359_999
+
+
 def test_differencing_decides_what_markup_leaves_open(spark, monkeypatch):
     page = "<article><h1>{0}</h1><div>Follow the paper</div><p>Own words of {0}</p><p>Said by both</p><div class=related-work>Work {0}</div></article>"
     rows = [(k, f"http://a.example/{k}", page.format(f"page {k}")) for k in range(4)]
