@@ -103,21 +103,25 @@ def mcnemar(rows: DataFrame, first: str, second: str, label: str = "label", cut:
     return only.withColumn("statistic", F.coalesce(F.try_divide(F.pow(F.greatest(off, F.lit(0)).cast("double"), F.lit(2.0)), n), F.lit(0.0)))
 
 
+#: Of 65,536 even draws, those from which on a Poisson(1) weight is at least 1, 2, ..: its distribution in 65,536ths, rounded up.
+POISSON = [24110, 48219, 60274, 64292, 65297, 65498]
+#: Draws that one md5 gives, of 16 bits each.
+_DRAWS = 8
+
+
 def bootstrap_rate(rows: DataFrame, value: Column, rounds: int = 100, level: float = 0.95, key: str = "txn_id") -> DataFrame:
-    """mean, low and high of a mean, by a Poisson bootstrap whose weights hash the key and round.
+    """mean, low and high of a mean, by a Poisson bootstrap whose weights are digits of the key's md5 with the round.
 
-    Each partition adds its weights to `rounds` sums, so rows are never copied across the network.
+    Tasks add each row to `rounds` sums of theirs, which are all that is sent. Rows without a key or a value don't count.
     """
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("round")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    # a Poisson(1) draw by inverting its distribution
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    draws = (
-        rows.select(key, value.cast("double").alias("v"))
-        .withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-        .groupBy("round")
-        .agg(F.try_divide(F.sum(weight * F.col("v")), F.sum(weight)).alias("m"))
-    )
+    hashes = F.array(*[F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{j}"))) for j in range(-(-rounds // _DRAWS))])
+    rows = rows.select(value.cast("double").alias("v"), hashes.alias("h"), F.col(key)).filter(F.col(key).isNotNull() & F.col("v").isNotNull())
+    drawn = rows.select("v", "h", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("k"))
+    digits = F.substring(F.get("h", F.floor(F.col("k") / _DRAWS).cast("int")), 4 * (F.col("k") % _DRAWS) + 1, F.lit(4))
+    # hexadecimal texts of one length are in order of their numbers
+    weight = sum((F.when(F.col("d") >= f"{c:04x}", 1).otherwise(0) for c in POISSON), F.lit(0))
+    weighed = drawn.select("k", "v", digits.alias("d")).select("k", "v", weight.alias("w"))
+    draws = weighed.groupBy("k").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"))
     tail = (1 - level) / 2
     return draws.agg(F.avg("m").alias("mean"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
 

@@ -415,7 +415,12 @@ def mcnemar(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.mcnemar(_scored(spark, sf), "score", "score2").select("first_only", "second_only", r6("statistic"))
 
 
-@query()
+_WEIGHT = " + ".join(f"(u >= {c})::INT" for c in evaluation.POISSON)
+
+
+@query(f"""{_SCORED}, d AS (SELECT k, label, ('0x' || substr(md5(txn_id::VARCHAR || ':' || (k // 8)::VARCHAR), (4 * (k % 8) + 1)::INT, 4))::INT AS u FROM t, range(100) AS r(k)),
+m AS (SELECT k, sum(({_WEIGHT}) * label) / sum({_WEIGHT})::DOUBLE AS m FROM d GROUP BY k)
+SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.bootstrap_rate(_scored(spark, sf), F.col("label")).select(r6("mean"), r6("low"), r6("high"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import columns as C
@@ -424,3 +424,71 @@ def admission_as_of(spark: SparkSession, sf: str) -> DataFrame:
     alerts = S.alerts(spark, sf).join(labels, "alert_id", "left").select("user_id", "generated_at", "resolved_at", "severity")
     rows = asof.admission_at(txns, toggles, alerts, C.PENDING_LIMIT, most=16, slices=8)
     return rows.select("txn_id", "user_id", "is_frozen", "pending", "last_severity", "decision", "reason")
+
+
+@query("SELECT event_id, user_id, strftime(timestamp, '%Y-%m-%d') AS day, round(amount, 6) AS amount FROM v_transactions")
+def appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Transactions appended day by day in three runs, as the table reads back."""
+    at = f"{_shared(spark)}/appended"
+    rows = S.transactions(spark, sf).withColumn("day", F.date_format("timestamp", "yyyy-MM-dd"))
+    for k in range(3):
+        S.append(rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k), at, "day")
+    return spark.read.schema(rows.schema).parquet(at).select("event_id", "user_id", "day", r6("amount"))
+
+
+@query("""SELECT event_id, row_number() OVER (ORDER BY timestamp, event_id)::BIGINT AS place, true AS in_order FROM v_transactions""")
+def replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """Each transaction's place in a replay, and whether its micro-batch came after all that are earlier."""
+    at = _shared(spark)
+    S.land_in_order(S.transactions(spark, sf), f"{at}/landed", "timestamp", "event_id")
+
+    def sink(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")
+
+    jobs.run_batches(S.read_stream(spark, f"{at}/landed", S.TRANSACTIONS, files=2), sink, f"{at}/checkpoint", mode="append")
+    rows = spark.read.parquet(f"{at}/out")
+    spans = rows.groupBy("batch").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count(F.lit(1)).alias("n"))
+    # a row for each micro-batch
+    before = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = spans.select("batch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.coalesce(F.max("last").over(before) <= F.col("first"), F.lit(True)).alias("in_order"))
+    inside = F.row_number().over(Window.partitionBy("batch").orderBy("timestamp", "event_id"))
+    return rows.withColumn("i", inside).join(F.broadcast(ends), "batch").select("event_id", (F.col("offset") + F.col("i")).alias("place"), "in_order")
+
+
+@query("""WITH c AS (SELECT user_id, CASE WHEN count(*) < 5 THEN 0.01 ELSE least(greatest(avg(is_fraud::INT), 0.005), 0.15) END AS share FROM v_labels l JOIN v_alerts a ON l.alert_id = a.alert_id GROUP BY user_id)
+SELECT user_id, count(*) AS n, true AS scores_in_range, true AS share_kept FROM v_transactions LEFT JOIN c USING (user_id) GROUP BY user_id HAVING count(*) >= 30""")
+def forest_shares(spark: SparkSession, sf: str, trees: int = 50) -> DataFrame:
+    """Per user with a forest, that was saved and loaded: whether scores lie in the logistic function's range, and anomalies are the share they were fitted to."""
+    at = f"{_shared(spark)}/forests"
+    features, shares = behaviour.behaviour_features(S.transactions(spark, sf)), workflow.contamination(S.alerts(spark, sf), S.labels(spark, sf))
+    S.save_model(models.train_forests(features, shares, trees), at)
+    scored = models.score_forests(features, S.load_model(spark, at, trees=True)).join(shares.select("user_id", "contamination"), "user_id", "left")
+    share = F.coalesce(F.first("contamination"), F.lit(C.CONTAMINATION))
+    counts = scored.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), (F.min("personal") > 0.268).alias("_low"), (F.max("personal") < 0.732).alias("_high"), F.count_if("personal_anomaly").alias("_a"), share.alias("_share")
+    )
+    # the offset is the share's quantile: as many rows lie below it as its place in order, or fewer where scores tie
+    kept = F.col("_a") <= F.ceil(F.col("_share") * (F.col("n") - 1))
+    return counts.select("user_id", "n", (F.col("_low") & F.col("_high")).alias("scores_in_range"), kept.alias("share_kept"))
+
+
+@query("""SELECT txn_id, true AS in_range, true AS as_saved FROM v_training""")
+def population_model(spark: SparkSession, sf: str, rounds: int = 10) -> DataFrame:
+    """Scores of the boosted trees, and whether the model gives the same ones after it was saved and loaded; ten rounds keep it quick."""
+    at, names = f"{_shared(spark)}/population", ["amt", "addr1", "c1"]
+    rows = preparation.impute(S.training(spark, sf), skip=("txn_id",))
+    model = models.train_population(rows, names, "is_fraud", rounds=rounds)
+    S.save_model(model, at)
+    both = [models.score_population(rows, m, names).select("txn_id", F.col("population").alias(c)) for m, c in ((model, "x"), (S.load_model(spark, at), "y"))]
+    return both[0].join(both[1], "txn_id").select("txn_id", F.col("x").between(0, 1).alias("in_range"), (F.col("x") == F.col("y")).alias("as_saved"))
+
+
+@query("""SELECT 'fraud' AS side, count(*) AS n, true AS told_apart FROM v_training WHERE is_fraud = 1 UNION ALL SELECT 'rest', count(*), true FROM v_training WHERE is_fraud = 0""")
+def population_ranking(spark: SparkSession, sf: str, rounds: int = 10) -> DataFrame:
+    """Whether boosted trees score frauds high and the rest low on average, on a label that they can learn."""
+    names = ["amt", "addr1", "c1"]
+    rows = preparation.impute(S.training(spark, sf), skip=("txn_id",))
+    scored = models.score_population(rows, models.train_population(rows, names, "is_fraud", rounds=rounds), names)
+    fraud = F.col("is_fraud") == 1
+    mean = scored.groupBy(F.when(fraud, "fraud").otherwise("rest").alias("side")).agg(F.count(F.lit(1)).alias("n"), F.avg("population").alias("m"))
+    return mean.select("side", "n", F.when(F.col("side") == "fraud", F.col("m") > 0.6).otherwise(F.col("m") < 0.4).alias("told_apart"))
