@@ -1,6 +1,6 @@
-"""What was known at each row's time: last values and running sums over a key's earlier rows.
+"""What was known at each row's place in an order: last values and running sums over a key's earlier rows.
 
-A busy key's rows are cut into slices of time of about equal numbers; each slice is a window of its
+A busy key's rows are cut into slices of about equal numbers, mostly of time; each slice is a window of its
 own, and what the slices before have left is carried into it, a row for each slice.
 """
 
@@ -13,38 +13,50 @@ from pyspark.sql import functions as F
 SLICED_ROWS, SLICES = 1 << 16, 1024
 
 
-def time_slices(rows: DataFrame, key: str, time: str, most: int = SLICED_ROWS, slices: int = SLICES) -> DataFrame:
-    """rows with _slice: 0, or for a key of over `most` rows how many of its quantiles of time lie before the row.
+def busy_keys(rows: DataFrame, key: str, most: int = SLICED_ROWS) -> DataFrame | None:
+    """The keys of over `most` rows; None if there is none, which is looked up at once."""
+    busy = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(key)
+    return None if busy.isEmpty() else busy
+
 
-    Rows of one time are in one slice. Quantiles are approximate, which moves cuts and nothing else.
+def slices_of(rows: DataFrame, key: str, place: Column, most: int = SLICED_ROWS, slices: int = SLICES) -> DataFrame:
+    """rows with _slice: 0, or for a key of over `most` rows how many quantiles of its numbers `place` lie before the row's.
+
+    Rows of one place are in one slice. Quantiles are approximate, which moves cuts and nothing else. Whether any key
+    is busy is looked up at once, so that the others' plan stays plain.
     """
-    micros = F.unix_micros(time)
-    busy = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(key)
-    shares = [k / slices for k in range(1, slices)]
-    cuts = rows.join(busy, key, "left_semi").groupBy(key).agg(F.percentile_approx(micros, shares, 10 * slices).alias("_cuts"))
-    before = F.size(F.filter("_cuts", lambda c: c < micros))
-    return rows.join(cuts, key, "left").withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(before)).drop("_cuts")
+    busy = busy_keys(rows, key, most)
+    if busy is None:
+        return rows.withColumn("_slice", F.lit(0))
+    placed = rows.withColumn("_place", place)
+    shares = ", ".join(f"{k / slices}D" for k in range(1, slices))  # as text, for one call instead of one for each
+    cuts = placed.join(busy, key, "left_semi").groupBy(key).agg(F.expr(f"percentile_approx(_place, array({shares}), {10 * slices})").alias("_cuts"))
+    before = F.size(F.filter("_cuts", lambda c: c < F.col("_place")))
+    return placed.join(cuts, key, "left").withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(before)).drop("_cuts", "_place")
 
 
 def carried(
-    rows: DataFrame, key: str, order: list[str], lasts: dict[str, Column], sums: dict[str, Column], most: int = SLICED_ROWS, slices: int = SLICES
+    rows: DataFrame, key: str, order: list[str], lasts: dict[str, Column], sums: dict[str, Column], place: Column | None = None,
+    most: int = SLICED_ROWS, slices: int = SLICES, itself: bool = True,
 ) -> DataFrame:
     """rows with, for each of lasts, its last value that isn't null, and for each of sums its sum, over the key's rows up to this one.
 
-    order begins with a time, and decides among all rows of a key. Rows without a key or a time are dropped.
+    Without itself, over the rows before it. order decides among all rows of a key, and place is a number that rises with it: by
+    default it begins with a time, and rows without a key or a time are dropped.
     """
-    kept = rows.filter(F.col(key).isNotNull() & F.col(order[0]).isNotNull())
-    cut = time_slices(kept, key, order[0], most, slices).withColumns({f"_v_{n}": c for n, c in {**lasts, **sums}.items()})
-    inner = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    kept = rows if place is not None else rows.filter(F.col(key).isNotNull() & F.col(order[0]).isNotNull())
+    cut = slices_of(kept, key, F.unix_micros(order[0]) if place is None else place, most, slices)
+    cut = cut.withColumns({f"_v_{n}": c for n, c in {**lasts, **sums}.items()})
+    inner = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
     near = cut.withColumns(
-        {f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inner) for n in lasts} | {f"_i_{n}": F.sum(F.coalesce(f"_v_{n}", F.lit(0))).over(inner) for n in sums}
+        {f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inner) for n in lasts}
+        | {f"_i_{n}": F.coalesce(F.sum(F.coalesce(f"_v_{n}", F.lit(0))).over(inner), F.lit(0)) for n in sums}
     )
-    # what a slice leaves to later ones, for keys that are cut
-    place = F.struct(*order)
-    ends = cut.groupBy(key, "_slice").agg(
-        F.max("_slice").alias("_m"), *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_c_{n}") for n in lasts],
-        *[F.sum(F.coalesce(f"_v_{n}", F.lit(0))).alias(f"_c_{n}") for n in sums],
-    ).drop("_m")
+    # what a slice leaves to later ones, a row for each slice
+    at = F.struct(*order)
+    left = [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_c_{n}") for n in lasts]
+    left += [F.sum(F.coalesce(f"_v_{n}", F.lit(0))).alias(f"_c_{n}") for n in sums]
+    ends = cut.groupBy(key, "_slice").agg(*left)
     outer = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.withColumns(
         {f"_c_{n}": F.last(f"_c_{n}", ignorenulls=True).over(outer) for n in lasts} | {f"_c_{n}": F.sum(f"_c_{n}").over(outer) for n in sums}
@@ -77,7 +89,7 @@ def admission_at(txns: DataFrame, toggles: DataFrame, alerts: DataFrame, limit:
     )
     # severities of one time: the greatest name counts, so that order doesn't matter
     order = ["at", "kind", "severity", "txn_id", "toggle", "open"]
-    state = carried(events, "user_id", order, {"last_severity": F.col("severity")}, {"toggles": F.col("toggle"), "pending": F.col("open")}, most, slices)
+    state = carried(events, "user_id", order, {"last_severity": F.col("severity")}, {"toggles": F.col("toggle"), "pending": F.col("open")}, most=most, slices=slices)
     frozen = F.col("toggles") % 2 == 1
     reason = F.when(frozen, "frozen").when(F.col("pending") >= limit, "pending alerts")
     return state.filter("kind = 1").select(

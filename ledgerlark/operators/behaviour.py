@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import columns as C
+from ledgerlark.operators.asof import SLICED_ROWS, SLICES, busy_keys, carried
 
 # The features' names in the order that models take them.
 FEATURES = [
@@ -108,19 +109,66 @@ def new_daily_alerts(found: DataFrame, existing: DataFrame) -> DataFrame:
     return found.join(existing.select("user_id", "day"), ["user_id", "day"], "left_anti")
 
 
-def velocity(txns: DataFrame) -> DataFrame:
-    """Counts, sums and distinct devices of the hour, day and week before each transaction."""
-    seconds = F.col("timestamp").cast("long")
-    rows = txns.filter("timestamp IS NOT NULL").withColumn("_s", seconds)
-    out = {}
-    for name, span in (("1h", 3600), ("24h", 86400), ("7d", 604800)):
+#: The spans before a transaction that are looked at, in seconds.
+SPANS = {"1h": 3600, "24h": 86400, "7d": 604800}
+
+
+def velocity(txns: DataFrame, most: int = SLICED_ROWS, slices: int = SLICES) -> DataFrame:
+    """Counts, sums and distinct devices of the hour, day and week before each transaction.
+
+    Users of up to `most` rows have a window each. A frame of a busier one could hold very many rows, so that theirs are told
+    by running sums of what enters and leaves it, in slices.
+    """
+    rows = txns.filter("timestamp IS NOT NULL").withColumn("_s", F.col("timestamp").cast("long"))
+    busy, out = busy_keys(rows, "user_id", most), {}
+    for name, span in SPANS.items():
         w = Window.partitionBy("user_id").orderBy("_s").rangeBetween(-span, -1)
         out |= {
             f"count_{name}": F.count(F.lit(1)).over(w),
             f"sum_{name}": F.coalesce(F.sum("amount").over(w), F.lit(0.0)),
             f"devices_{name}": F.size(F.collect_set("device_id").over(w)),
         }
-    return rows.withColumns(out).drop("_s")
+    if busy is None:
+        return rows.withColumns(out).drop("_s")
+    calm = rows.join(busy, "user_id", "left_anti").withColumns(out)
+    return calm.unionByName(_busy_velocity(rows.join(busy, "user_id", "left_semi"), most, slices)).select(*txns.columns, *out)
+
+
+def _busy_velocity(rows: DataFrame, most: int, slices: int) -> DataFrame:
+    """velocity() of rows (_s, their second) by running sums.
+
+    A row enters all frames after its second and leaves one a span later. Its device counts until the user's next row
+    with it: that row takes it off, and puts it back in for when it would have left.
+    """
+    place = F.col("_s")
+    device = F.when(F.col("device_id").isNotNull(), F.concat_ws("~", F.col("user_id").cast("string"), "device_id"))
+    known = carried(rows.withColumn("_d", device).filter("_d IS NOT NULL"), "_d", ["_s", "event_id"], {"_before": place}, {}, place, most, slices, itself=False)
+    rows = known.drop("_d").unionByName(rows.filter("device_id IS NULL").withColumn("_before", F.lit(None).cast("long")))
+    amount, held = F.coalesce(F.col("amount").cast("double"), F.lit(0.0)), F.when(F.col("device_id").isNotNull(), 1).otherwise(0)
+    again = {n: F.coalesce(place - F.col("_before") <= span, F.lit(False)) for n, span in SPANS.items()}
+    names = [f"{what}_{n}" for n in SPANS for what in ("count", "sum", "devices")]
+
+    def change(at: Column, kind: int, values: dict[str, Column]) -> Column:
+        numbers = [values.get(n, F.lit(0)).cast("double" if n.startswith("sum") else "long").alias(f"_{n}") for n in names]
+        return F.struct(at.cast("long").alias("_at"), F.lit(kind).alias("_kind"), *numbers)
+
+    enters = {}
+    for n in SPANS:
+        enters |= {f"count_{n}": F.lit(1), f"sum_{n}": amount, f"devices_{n}": held - again[n].cast("int")}
+    changes = [change(place, 0, {}), change(place, 1, enters)]
+    for n, span in SPANS.items():
+        changes.append(change(place + span, 1, {f"count_{n}": F.lit(-1), f"sum_{n}": -amount, f"devices_{n}": -held}))
+        changes.append(F.when(again[n], change(F.col("_before") + span, 1, {f"devices_{n}": F.lit(1)})))
+    own = [c for c in rows.columns if c != "_before"]
+    events = rows.select("user_id", F.struct(*own).alias("_row"), F.explode(F.filter(F.array(*changes), lambda x: x.isNotNull())).alias("_e"))
+    events = events.select("user_id", F.when(F.col("_e._kind") == 0, F.col("_row")).alias("_row"), F.col("_row.event_id").alias("_id"), "_e.*")
+    found = carried(events, "user_id", ["_at", "_kind", "_id"], {}, {n: F.col(f"_{n}") for n in names}, F.col("_at"), most, slices).filter("_kind = 0")
+    # of an empty frame rounding may leave a trace
+    shown = [
+        F.when(F.col(f"count_{c[4:]}") == 0, 0.0).otherwise(F.col(c)).alias(c) if c.startswith("sum") else F.col(c).cast("int" if c.startswith("devices") else "long").alias(c)
+        for c in names
+    ]
+    return found.select("_row.*", *shown)
 
 
 def shared_devices(txns: DataFrame) -> DataFrame:

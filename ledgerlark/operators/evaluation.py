@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlark.operators.asof import SLICED_ROWS, SLICES, carried
 from ledgerlark.operators.ranks import cumulated, quantiles, smallest
 
 def binary_metrics(rows: DataFrame, label: str = "label", score: str = "score", cut: float = 0.5, *by: str) -> DataFrame:
@@ -153,12 +154,12 @@ def ks(reference: DataFrame, actual: DataFrame, column: str) -> DataFrame:
     )
 
 
-def review_budget(rows: DataFrame, day: Column, score: str, key: str, budget: int) -> DataFrame:
-    """rows with day, rank and route: the day's `budget` riskiest go to review."""
-    w = Window.partitionBy("day").orderBy(F.desc(score), key)
-    return rows.withColumn("day", day).withColumn("rank", F.row_number().over(w)).withColumn(
-        "route", F.when(F.col("rank") <= budget, "review").otherwise("auto")
-    )
+def review_budget(rows: DataFrame, day: Column, score: str, key: str, budget: int, most: int = SLICED_ROWS, slices: int = SLICES) -> DataFrame:
+    """rows with day, rank and route: the day's `budget` riskiest go to review. Busy days are ranked in slices of scores."""
+    risk = F.coalesce(-F.col(score).cast("double"), F.lit(float("inf")))
+    placed = rows.withColumns({"day": day, "_risk": risk})
+    ranked = carried(placed, "day", ["_risk", key], {}, {"rank": F.lit(1)}, F.col("_risk"), most, slices).withColumn("rank", F.col("rank").cast("int"))
+    return ranked.drop("_risk").withColumn("route", F.when(F.col("rank") <= budget, "review").otherwise("auto"))
 
 
 def uncertainty_queue(rows: DataFrame, labelled: DataFrame, day: Column, score: str, key: str, most: int) -> DataFrame:

@@ -451,7 +451,7 @@ _VELOCITY = ", ".join(
 )
 
 
-@query(f"WITH t AS (SELECT *, epoch(timestamp)::BIGINT AS s FROM v_transactions) SELECT event_id, {_VELOCITY} FROM t")
+@query(f"WITH t AS (SELECT *, floor(epoch(timestamp))::BIGINT AS s FROM v_transactions) SELECT event_id, {_VELOCITY} FROM t")
 def velocity_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = behaviour.velocity(S.transactions(spark, sf))
     out = [c for k in ("1h", "24h", "7d") for c in (F.col(f"count_{k}"), r6(f"sum_{k}"), F.col(f"devices_{k}").cast("long"))]

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import asof, behaviour, models
+from ledgerlark.operators import asof, behaviour, evaluation, models
 from ledgerlark.plans.queries import keyed_state
 from ledgerlark.sources import files
 from ledgerlark.sources import tables as S
@@ -300,24 +300,50 @@ def test_compaction_rewrites_touched_buckets_alone(spark, tmp_path):
 
 # as-of joins
 
+@pytest.mark.parametrize("itself", [True, False])
 @pytest.mark.parametrize("most", [5, 1 << 16])
-def test_values_carried_over_slices(spark, most):
+def test_values_carried_over_slices(spark, most, itself):
     rng = random.Random(most)
     rows = [(rng.choice([1, 1, 1, 2, None]), None if rng.random() < 0.05 else DAY + dt.timedelta(hours=rng.randint(0, 60)), i, rng.choice([None, "a", "b"]), rng.choice([None, 1, -1])) for i in range(400)]
     df = spark.createDataFrame(rows, "k long, at timestamp, i long, v string, d int").repartition(5)
-    got = {r.i: (r["last"], r.total) for r in asof.carried(df, "k", ["at", "i"], {"last": F.col("v")}, {"total": F.col("d")}, most=most, slices=7).collect()}
+    got = {r.i: (r["last"], r.total) for r in asof.carried(df, "k", ["at", "i"], {"last": F.col("v")}, {"total": F.col("d")}, most=most, slices=7, itself=itself).collect()}
     want, state = {}, collections.defaultdict(lambda: (None, 0))
     for k, _, i, v, d in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: (r[1], r[2])):
-        state[k] = (v or state[k][0], state[k][1] + (d or 0))
-        want[i] = state[k]
+        before, state[k] = state[k], (v or state[k][0], state[k][1] + (d or 0))
+        want[i] = state[k] if itself else before
     assert got == want
 
 
 def test_busy_keys_are_cut(spark):
     df = spark.range(5000).select(F.lit(1).alias("k"), F.timestamp_micros(F.col("id") * 1_000_000).alias("at"), "id")
-    sizes = [r["count"] for r in asof.time_slices(df, "k", "at", most=100, slices=16).groupBy("_slice").count().collect()]
+    sizes = [r["count"] for r in asof.slices_of(df, "k", F.unix_micros("at"), most=100, slices=16).groupBy("_slice").count().collect()]
     assert len(sizes) == 16 and max(sizes) < 1000
-    assert {r[0] for r in asof.time_slices(df, "k", "at").select("_slice").distinct().collect()} == {0}
+    assert {r[0] for r in asof.slices_of(df, "k", F.unix_micros("at")).select("_slice").distinct().collect()} == {0}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_velocity_of_busy_users_equals_the_windows(spark, seed):
+    rng = random.Random(seed)
+    rows = [
+        (i, str(i), rng.choice([1, 1, 2, 3]), rng.choice([None, 0.25, -3.5, 100.0]), "Deposit", None if i % 50 == 0 else DAY + dt.timedelta(seconds=rng.choice([60, 1800, 3600]) * rng.randint(0, 200)), rng.choice([None, "a", "b", "c"]))
+        for i in range(300)
+    ]
+    df = spark.createDataFrame(rows, S.TRANSACTIONS).repartition(4)
+    want, got = (sorted(map(tuple, behaviour.velocity(df, most=m, slices=5).collect())) for m in (10**9, 3))
+    assert len(want) == 294 and got == want
+
+
+@pytest.mark.parametrize("most", [3, 1 << 16])
+def test_review_budget_of_busy_days(spark, most):
+    rng = random.Random(most)
+    rows = [(i, rng.choice(["d1", "d1", "d2", None]), rng.choice([None, 0.1, 0.2, rng.random()])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, d string, s double").repartition(3)
+    got = {r.k: (r.day, r["rank"], r.route) for r in evaluation.review_budget(df, F.col("d"), "s", "k", 4, most=most, slices=6).collect()}
+    want = {}
+    for day in ("d1", "d2", None):
+        order = sorted((r for r in rows if r[1] == day), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        want |= {r[0]: (day, n, "review" if n <= 4 else "auto") for n, r in enumerate(order, 1)}
+    assert got == want
 
 
 def test_admission_at_the_time(spark):
