@@ -492,3 +492,26 @@ def population_ranking(spark: SparkSession, sf: str, rounds: int = 10) -> DataFr
     fraud = F.col("is_fraud") == 1
     mean = scored.groupBy(F.when(fraud, "fraud").otherwise("rest").alias("side")).agg(F.count(F.lit(1)).alias("n"), F.avg("population").alias("m"))
     return mean.select("side", "n", F.when(F.col("side") == "fraud", F.col("m") > 0.6).otherwise(F.col("m") < 0.4).alias("told_apart"))
+
+
+@query("""SELECT user_id, count(*) AS n_rows, true AS known_when_next_met FROM v_transactions GROUP BY user_id HAVING count(*) >= 30""")
+def stream_retraining(spark: SparkSession, sf: str, trees: int = 5) -> DataFrame:
+    """Forests that the stream itself trains as users grow: on how many rows at last, and whether rows after a training were scored by it."""
+    at, txns = _shared(spark), S.transactions(spark, sf)
+    registry = ModelRegistry(spark, f"{at}/models")
+    start = txns.agg(F.min("timestamp")).first()[0]
+    cut = F.lit(start) + F.expr("INTERVAL 25 DAYS")
+    with keyed_state(spark):
+        for k, part in enumerate((txns.filter(F.col("timestamp") < cut), txns.filter(F.col("timestamp") >= cut))):
+            S.land_in_order(part, f"{at}/landed/{k}", "timestamp", "event_id")
+            stream = jobs.stream_features(S.read_stream(spark, f"{at}/landed/*", S.TRANSACTIONS), mode="scoring")
+            sink = live.model_sink(registry, at, live.retraining(registry, lambda: txns, trees=trees))
+            jobs.run_batches(live.model_inputs(stream), sink, f"{at}/checkpoint", mode="append")
+    scored = spark.read.parquet(f"{at}/scored")
+    versions = None
+    for v in registry.versions():
+        part = spark.read.parquet(f"{registry.folder}/trained/{v}").select("user_id", F.lit(v).alias("from_version"))
+        versions = part if versions is None else versions.unionByName(part)
+    first = versions.groupBy("user_id").agg(F.min("from_version").alias("from_version"))
+    met = scored.join(first, "user_id").filter(F.col("version") >= F.col("from_version")).groupBy("user_id").agg(F.min(F.col("personal").isNotNull()).alias("met"))
+    return registry.trained().join(met, "user_id", "left").select("user_id", "n_rows", F.coalesce("met", F.lit(True)).alias("known_when_next_met"))

@@ -13,9 +13,6 @@ from ledgerlark.operators import behaviour, models, scoring, workflow
 from ledgerlark.sources import files
 from ledgerlark.sources.registry import ModelRegistry
 
-_VERDICT = ["personal", "personal_anomaly", "population", "score", "is_anomaly", "severity"]
-
-
 def model_inputs(features: DataFrame) -> DataFrame:
     """Rows of stream_features() with the features that a row alone decides."""
     return features.withColumns(
@@ -93,3 +90,24 @@ def retrain(registry: ModelRegistry, txns: DataFrame, contamination: DataFrame |
         return None
     features = behaviour.behaviour_features(txns.join(due, "user_id", "left_semi"))
     return registry.publish(forests=models.train_forests(features, contamination, trees))
+
+
+def retraining(
+    registry: ModelRegistry, history: Callable[[], DataFrame], contamination: DataFrame | None = None, growth: float = 1.0, trees: int = models.TREES
+) -> Callable[[DataFrame, int], None]:
+    """A step for the end of model_sink(): after each micro-batch, forests of its users who have grown() are published.
+
+    history gives all transactions; only those users' ones until the batch's last time are read. A user has to have `growth` times as many rows
+    as the forest in use was trained on, so that it's up to the caller how often that is. A replayed batch finds its users trained.
+    """
+
+    def then(scored: DataFrame, batch: int) -> None:
+        trained = registry.trained().select("user_id", "n_rows")
+        due = grown(scored, registry).join(trained, "user_id", "left").filter(F.col("n") >= growth * F.coalesce("n_rows", F.lit(0))).select("user_id")
+        if due.isEmpty():
+            return
+        last = scored.agg(F.max("timestamp")).first()[0]
+        features = behaviour.behaviour_features(history().filter(F.col("timestamp") <= F.lit(last)).join(due, "user_id", "left_semi"))
+        registry.publish(forests=models.train_forests(features, contamination, trees))
+
+    return then

@@ -232,6 +232,22 @@ def test_grown_users_of_a_micro_batch(spark, history, tmp_path):
     assert {(r.user_id, r.n) for r in live.grown(scored, registry).collect()} == {(2, 41)}
 
 
+def test_retraining_at_the_end_of_a_batch(spark, history, tmp_path):
+    registry = ModelRegistry(spark, f"{tmp_path}/models", buckets=4)
+    then = live.retraining(registry, lambda: history, growth=1.2, trees=2)
+
+    def batch(last):
+        rows = history.filter(F.col("event_id") <= last)
+        then(rows.groupBy("user_id").agg((F.count(F.lit(1)) - 1).alias("prior_count"), F.max("timestamp").alias("timestamp")), 0)
+        return {r.user_id: (r.n_rows, r.version) for r in registry.trained().collect()}
+
+    assert batch(80) == {}
+    assert batch(89) == {1: (30, 1), 2: (30, 1), 3: (30, 1)}
+    assert batch(104) == {1: (30, 1), 2: (30, 1), 3: (30, 1)}
+    assert batch(107) == {1: (36, 2), 2: (36, 2), 3: (36, 2)}
+    assert batch(107) == {1: (36, 2), 2: (36, 2), 3: (36, 2)} and registry.latest() == 2
+
+
 # upserts
 
 CHANGES = "k long, at timestamp, seq long, value string"
