@@ -49,7 +49,8 @@ class ModelRegistry:
         found = self.manifest(version - 1)
         if forests is not None:
             at = f"{self.folder}/forests/{version}"
-            forests.withColumn("bucket", self._bucket(found)).write.mode("overwrite").partitionBy("bucket").parquet(at)
+            # small buckets share a task, and a large one is split
+            forests.withColumn("bucket", self._bucket(found)).hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(at)
             written = self._nodes([version])
             if written is not None:
                 written.groupBy("user_id").agg(F.first("n_rows").alias("n_rows"), F.first("offset").alias("offset")).write.mode("overwrite").parquet(

@@ -21,6 +21,11 @@ from ledgerlark.sources import files
 BUCKETS = 64
 
 
+def _by_bucket(rows: DataFrame, path: str) -> None:
+    """Writes rows with a few files for each bucket: small buckets share a task, and a large one is split."""
+    rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 class UpsertTable:
     """schema has the key, the order columns, of which the first is a change's time, and what changes. n is not among them."""
 
@@ -49,7 +54,7 @@ class UpsertTable:
         bucket = F.pmod(F.xxhash64(self.key), F.lit(found["buckets"])).cast("int")
         rows = changes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
         rows = rows.filter(F.col(self.key).isNotNull() & F.col(self.order[0]).isNotNull()).withColumn("bucket", bucket)
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/changes/{batch}")
+        _by_bucket(rows, f"{self.folder}/changes/{batch}")
         self._commit(found | {"pending": [*found["pending"], batch]})
 
     def read(self, as_of: dt.datetime | None = None, state: int | None = None) -> DataFrame:
@@ -72,8 +77,8 @@ class UpsertTable:
         touched = {str(r[0]) for r in changes.select("bucket").distinct().collect()}
         mine = F.col("bucket").isin([int(b) for b in touched])
         current = self._folded(self._current(found).filter(mine), changes, horizon)
-        current.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/current/{state}")
-        changes.filter(self._time() > F.lit(horizon)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/recent/{state}")
+        _by_bucket(current, f"{self.folder}/current/{state}")
+        _by_bucket(changes.filter(self._time() > F.lit(horizon)), f"{self.folder}/recent/{state}")
         for kind in ("current", "recent"):
             written = {n.split("=")[1] for n in files.names(self.spark, f"{self.folder}/{kind}/{state}") if n.startswith("bucket=")}
             kept = {b: v for b, v in found[kind].items() if b not in touched}
