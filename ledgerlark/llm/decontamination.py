@@ -211,14 +211,15 @@ def contamination(
     A word is a run of ASCII letters, digits and characters beyond ASCII; A-Z count as a-z. spans
     holds the start and end of each maximal run of hit words, longest_match the words of the longest
     match with one item. Null texts have no words and no hits,
-    and null or empty items no windows; items with equal texts count each; repeated documents are
-    rows of their own; a null doc_id stays null. Words are compared by 64-bit hashes. An empty
-    benchmark leaves every document clean.
+    and null or empty items no windows; items with equal texts count each, but those without an
+    item_id, which hit words like any other, count as one together and aren't among the ids of
+    items_sha256; repeated documents are rows of their own; a null doc_id stays null. Words are
+    compared by 64-bit hashes. An empty benchmark leaves every document clean.
     """
     spark = documents.sparkSession
-    tests = benchmark.select(
-        F.col("item_id").cast("string").alias("item"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")
-    ).filter("item IS NOT NULL")
+    # an id is told from none by what goes before it
+    item = F.coalesce(F.concat(F.lit("="), F.col("item_id").cast("string")), F.lit(""))
+    tests = benchmark.select(item.alias("item"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     size = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size * 5 // (4 * block_bytes)) if size > block_bytes else 1)
     if blocks == 1:
@@ -261,7 +262,7 @@ def contamination(
                 out.append(
                     {
                         "doc_id": row["doc_id"], "t1": row["t1"], "t2": row["t2"], "n_words": row["n_words"], "n_hit": hit, "n_items": len(row["items"]),
-                        "items_sha256": hashlib.sha256(",".join(sorted(row["items"])).encode()).hexdigest(),
+                        "items_sha256": hashlib.sha256(",".join(sorted(x[1:] for x in row["items"] if x)).encode()).hexdigest(),
                         "contaminated": hit > 0 and 20 * hit >= row["n_words"],
                         "longest_match": row["longest"], "spans": [x for s in spans for x in s],
                     }

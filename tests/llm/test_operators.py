@@ -266,7 +266,7 @@ def test_decontamination_edges(spark):
         got = {r.doc_id: r for r in decontamination.contamination(docs(spark, texts), tests, block_bytes=block).collect()}
         n = len(EDGES)
         assert [(got[i].n_hit, got[i].n_items, got[i].contaminated) for i in range(n, n + 4)] == [
-            (2, 1, True), (0, 0, False), (13, 2, True), (20, 2, False),
+            (2, 1, True), (0, 0, False), (13, 3, True), (20, 3, False),
         ]
         assert got[n + 2].items_sha256 == hashlib.sha256(b"1,10").hexdigest()
         assert got[0].n_words == 0 and got[0].items_sha256 == hashlib.sha256(b"").hexdigest()
@@ -285,6 +285,22 @@ def test_contaminated_rows_without_ids_take_no_others_along(spark):
     assert sorted(r.text for r in decontamination.decontaminate(frame, tests).collect()) == ["four clean words here", "x y"]
 
 
+@pytest.mark.parametrize("block", [decontamination.BLOCK_BYTES, 40])
+def test_items_without_an_id_hit_like_others(spark, block):
+    one, two = lorem(14, 9), lorem(14, 10)
+    tests = spark.createDataFrame([(None, one), (None, two), ("7", two)], "item_id string, text string")
+    got = {r.doc_id: r for r in decontamination.contamination(docs(spark, [one, f"{one} {two}", "clean words"]), tests, block_bytes=block).collect()}
+    assert [(got[i].n_hit, got[i].n_items, got[i].contaminated) for i in range(3)] == [(14, 1, True), (28, 2, True), (0, 0, False)]
+    assert got[0].items_sha256 == hashlib.sha256(b"").hexdigest() and got[1].items_sha256 == hashlib.sha256(b"7").hexdigest()
+
+
+def test_a_document_of_five_megabytes_is_searched_whole(spark):
+    item = lorem(14, 9)
+    tests = spark.createDataFrame([("7", item)], "item_id string, text string")
+    row = decontamination.contamination(docs(spark, ["word " * 1_000_000 + item]), tests).first()
+    assert (row.n_words, row.n_hit, row.contaminated) == (1_000_014, 14, False)
+
+
 # packing
 
 def test_long_white_space(vocabulary):
@@ -513,6 +529,16 @@ def test_quotation_is_told_from_abuse():
     assert quoted[0] == 0 and quoted[4] > 0
 
 
+def test_the_training_row_of_a_repeated_id_is_the_same_in_any_order(spark):
+    texts = [f"text {k}" for k in range(30)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    found = set()
+    for order in (texts, texts[::-1]):
+        rows = toxicity.training_rows(docs(spark, order, [1 + k % 2 for k in range(30)] if order is texts else [2 - k % 2 for k in range(30)]).repartition(7), labels)
+        found.add(tuple(sorted((r.doc_id, r.text, r.toxic) for r in rows.collect())))
+    assert len(found) == 1 and all(toxic == 1 for _, _, toxic in found.pop())
+
+
 def test_toxicity_learns_and_handles_edges(spark):
     bad = [f"{lorem(20, k)} grumbus {lorem(10, k + 1)}" for k in range(60)]
     good = [lorem(30, 1000 + k) for k in range(140)]
