@@ -140,7 +140,10 @@ def _is_held_out() -> Column:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """doc_id, text, toxic of at most `most` labelled documents that aren't held out."""
+    """doc_id, text, toxic of at most `most` labelled documents that aren't held out.
+
+    Of several texts of one doc_id the one of least hash is taken, whatever order tasks end in.
+    """
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -150,11 +153,9 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAIN
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return (
-        documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(chosen), "doc_id")
-        .dropDuplicates(["doc_id"])
-    )
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    return texts.groupBy("doc_id").agg(one.alias("text"), F.first("toxic").alias("toxic"))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
