@@ -17,6 +17,7 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base rules or whose posterior of being good is too low; null texts have no words and fail."""
     bound_batches(spark)
     return quality.judge(docs).filter("_kept").select(*docs.columns)
 
@@ -33,11 +34,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rows whose text a benchmark item contaminates, rows of equal texts together; null and empty texts stay."""
     bound_batches(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a packed sequence; a null or empty text is its end id alone."""
     import public_tokenizers
 
     bound_batches(spark)
