@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.operators.asof import SLICED_ROWS, SLICES, carried
-from ledgerlark.operators.ranks import cumulated, quantiles, smallest
+from ledgerlark.operators.ranks import before_slice, in_slices, quantiles, smallest
 
 def binary_metrics(rows: DataFrame, label: str = "label", score: str = "score", cut: float = 0.5, *by: str) -> DataFrame:
     """Confusion counts and accuracy, precision, recall and F1, per group of by."""
@@ -52,10 +52,12 @@ def roc_auc(rows: DataFrame, label: str = "label", score: str = "score") -> Data
         .groupBy(F.col(score).cast("double").alias("x"))
         .agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
     )
-    won = F.sum(F.col("p") * (F.col("c_n") + 0.5 * F.col("n")))
-    return cumulated(values, "x", ["p", "n"]).agg(
+    # negatives below a positive: those of its slice, and those of the slices before
+    near = F.sum(F.col("p") * (F.col("b_n") + 0.5 * F.col("n")))
+    slices = in_slices(values, "x", ["p", "n"]).groupBy("slice").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), near.alias("near"))
+    return slices.withColumn("won", F.col("near") + F.col("p") * before_slice("n")).agg(
         F.sum("p").alias("positives"), F.sum("n").alias("negatives"),
-        F.try_divide(won, F.sum("p").cast("double") * F.sum("n").cast("double")).alias("auc"),
+        F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("n").cast("double")).alias("auc"),
     )
 
 
@@ -79,9 +81,7 @@ def isotonic(rows: DataFrame, label: str = "label", score: str = "score"):
 def conformal(calibration: DataFrame, test: DataFrame, alpha: float = 0.1, label: str = "label", score: str = "score") -> DataFrame:
     """One row: split-conformal threshold from calibration rows, and test coverage and mean set size."""
     wrong = F.when(F.col(label) == 1, 1 - F.col(score)).otherwise(F.col(score))
-    n = calibration.filter(F.col(score).isNotNull()).agg(F.count(F.lit(1))).first()[0]
-    place = min(n, int(-(-(n + 1) * (1 - alpha) // 1)))
-    threshold = smallest(calibration, wrong, place).withColumnRenamed("x", "threshold")
+    threshold = smallest(calibration, wrong, lambda n: min(n, int(-(-(n + 1) * (1 - alpha) // 1)))).withColumnRenamed("x", "threshold")
     size = F.when(F.col(score) <= F.col("threshold"), 1).otherwise(0) + F.when(1 - F.col(score) <= F.col("threshold"), 1).otherwise(0)
     return test.crossJoin(F.broadcast(threshold)).groupBy("threshold").agg(
         F.avg(F.when(wrong <= F.col("threshold"), 1.0).otherwise(0.0)).alias("coverage"), F.avg(size).alias("mean_set_size")
@@ -127,31 +127,29 @@ def bootstrap_rate(rows: DataFrame, value: Column, rounds: int = 100, level: flo
     return draws.agg(F.avg("m").alias("mean"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
 
 
-def psi(reference: DataFrame, actual: DataFrame, column: str, bins: int = 10, floor: float = 1e-4) -> DataFrame:
-    """One row: the population stability index of a column, over quantile bins of the reference."""
+def psi(rows: DataFrame, is_reference: Column, column: str, bins: int = 10, floor: float = 1e-4) -> DataFrame:
+    """One row: the population stability index of a column's other rows against the reference ones, over quantile bins of these."""
+    rows = rows.select(F.col(column).cast("double").alias("x"), F.coalesce(is_reference, F.lit(False)).alias("r")).filter("x IS NOT NULL")
     shares = [i / bins for i in range(1, bins)]
-    cuts = quantiles(reference, {"x": F.col(column)}, shares).select(F.col("quantiles").alias("_c"))
-
-    def binned(df: DataFrame, name: str) -> DataFrame:
-        b = F.size(F.filter("_c", lambda c: c < F.col(column)))
-        return df.filter(F.col(column).isNotNull()).crossJoin(F.broadcast(cuts)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias(name))
-
-    both = binned(reference, "e").join(binned(actual, "a"), "bin", "full").na.fill(0)
+    cuts = quantiles(rows, {"x": F.when(F.col("r"), F.col("x"))}, shares).select(F.col("quantiles").alias("_c"))
+    b = F.size(F.filter("_c", lambda c: c < F.col("x")))
+    both = rows.crossJoin(F.broadcast(cuts)).groupBy(b.alias("bin")).agg(F.count_if("r").alias("e"), F.count_if(~F.col("r")).alias("a"))
     over = Window.partitionBy()  # as many rows as bins
     e, a = (F.greatest(F.coalesce(F.try_divide(F.col(c), F.sum(c).over(over)), F.lit(0.0)), F.lit(floor)) for c in ("e", "a"))
     return both.withColumn("part", (a - e) * F.ln(a / e)).agg(F.sum("part").alias("psi"), F.count(F.lit(1)).alias("bins"))
 
 
-def ks(reference: DataFrame, actual: DataFrame, column: str) -> DataFrame:
-    """One row: the largest distance between two samples' distribution functions."""
-    side = lambda df, r: df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"), F.lit(r).alias("r"))
-    values = side(reference, 1).unionByName(side(actual, 0)).groupBy("x").agg(
-        F.sum("r").alias("e"), F.sum(1 - F.col("r")).alias("a")
-    )
-    sums = values.agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
-    return cumulated(values, "x", ["e", "a"]).crossJoin(F.broadcast(sums)).agg(
-        F.max(F.abs(F.try_divide(F.col("c_e") + F.col("e"), "te") - F.try_divide(F.col("c_a") + F.col("a"), "ta"))).alias("ks")
+def ks(rows: DataFrame, is_reference: Column, column: str) -> DataFrame:
+    """One row: the largest distance between the distribution functions of a column's reference rows and its other ones."""
+    r = F.coalesce(is_reference, F.lit(False))
+    values = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(
+        F.count_if(r).alias("e"), F.count_if(~r).alias("a")
     )
+    far = F.try_divide(F.col("b_e") + F.col("e"), "t_e") - F.try_divide(F.col("b_a") + F.col("a"), "t_a")
+    step = F.try_divide(F.col("e"), "t_e") - F.try_divide(F.col("a"), "t_a")
+    slices = in_slices(values, "x", ["e", "a"]).groupBy("slice").agg(F.max(far).alias("top"), F.min(far).alias("low"), F.sum(step).alias("step"))
+    before = before_slice("step")
+    return slices.select(F.greatest(F.abs(before + F.col("top")), F.abs(before + F.col("low"))).alias("far")).agg(F.max("far").alias("ks"))
 
 
 def review_budget(rows: DataFrame, day: Column, score: str, key: str, budget: int, most: int = SLICED_ROWS, slices: int = SLICES) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,31 +17,37 @@ _CUTS, _ACCURACY = 1000, 10_000
 GATHERED = 100_000
 
 
-def cumulated(values: DataFrame, x: str, counts: list[str], *by: str) -> DataFrame:
-    """values, one per value of x (and by), with c_<count>: the sum of the smaller values' counts.
+def in_slices(values: DataFrame, x: str, counts: list[str]) -> DataFrame:
+    """values, one per value of x, with slice; b_<count>: the sum of the smaller values' counts in the slice; t_<count>: the sum of all.
 
-    Values are summed inside slices and slices are offset, so no single task sorts all values. The
-    slices lie between approximate quantiles, so that outliers don't crowd the others into one;
-    there is a fixed, small number of them for each group of by, which are few.
+    Slices are in order of x and lie between approximate quantiles, so that outliers don't crowd the others into
+    one; there is a fixed, small number of them. Rows come dealt by slice, so that grouping them by it needs no shuffle.
     """
     slices = 1 << _LEVELS
     shares = ", ".join(f"{k / slices}D" for k in range(1, slices))  # as text, for one call instead of one for each
-    cuts = values.groupBy(*by).agg(F.expr(f"percentile_approx(`{x}`, array({shares}))").alias("_cuts"))
-    sliced = values.join(F.broadcast(cuts), list(by)) if by else values.crossJoin(F.broadcast(cuts))
+    whole = values.agg(F.expr(f"percentile_approx(`{x}`, array({shares}))").alias("_cuts"), *[F.sum(c).alias(f"t_{c}") for c in counts])
     # a binary search for the number of cuts below x
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(_LEVELS))])
     below = F.aggregate(
         steps, F.lit(0), lambda low, step: F.when(F.get(F.col("_cuts"), low + step - 1) < F.col(x), low + step).otherwise(low)
     )
-    sliced = sliced.withColumn("_s", below).drop("_cuts")
-    sums = sliced.groupBy(*by, "_s").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
-    before = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
-    offsets = sums.select(*by, "_s", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in counts])
-    inside = Window.partitionBy(*by, "_s").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        sliced.withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in counts})
-        .join(F.broadcast(offsets), [*by, "_s"])
-        .select(*values.columns, *[(F.col(f"_i_{c}") + F.col(f"_o_{c}")).alias(f"c_{c}") for c in counts])
+    sliced = values.crossJoin(F.broadcast(whole)).withColumn("slice", below).drop("_cuts")  # one row
+    inside = Window.partitionBy("slice").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    return sliced.withColumns({f"b_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in counts})
+
+
+def before_slice(c: str) -> Column:
+    """The sum of c over the slices before, where there is a row for each slice."""
+    return F.coalesce(F.sum(c).over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def cumulated(values: DataFrame, x: str, counts: list[str]) -> DataFrame:
+    """values, one per value of x, with c_<count>: the sum of the smaller values' counts. No single task sorts all values."""
+    sliced = in_slices(values, x, counts)
+    sums = sliced.groupBy("slice").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
+    offsets = sums.select("slice", *[before_slice(f"_{c}").alias(f"_o_{c}") for c in counts])
+    return sliced.join(F.broadcast(offsets), "slice").select(
+        *values.columns, *[(F.col(f"b_{c}") + F.col(f"_o_{c}")).alias(f"c_{c}") for c in counts]
     )
 
 
@@ -144,7 +151,11 @@ def quantiles(df: DataFrame, columns: dict[str, Column], shares: list[float]) ->
     return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
-def smallest(df: DataFrame, value: Column, place: int) -> DataFrame:
-    """One row with x: the value that is place-th in order, from 1; null if there are fewer. Runs at once, as quantiles does."""
-    _, found = _select(df, {"x": value}, lambda n: {place - 1})
-    return df.sparkSession.range(1).select(F.lit(found.get(("x", place - 1))).cast("double").alias("x"))
+def smallest(df: DataFrame, value: Column, place: int | Callable[[int], int]) -> DataFrame:
+    """One row with x: the value that is place-th in order, from 1; null if there are fewer. Runs at once, as quantiles does.
+
+    place may be told from the number of values that aren't null.
+    """
+    at = place if callable(place) else lambda n: place
+    totals, found = _select(df, {"x": value}, lambda n: {at(n) - 1})
+    return df.sparkSession.range(1).select(F.lit(found.get(("x", at(totals["x"]) - 1))).cast("double").alias("x"))

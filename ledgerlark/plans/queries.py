@@ -386,9 +386,8 @@ def calibration_bins(spark: SparkSession, sf: str) -> DataFrame:
 _CUT = "c AS (SELECT quantile_cont(epoch_us(txn_dt)::DOUBLE, 0.5) AS cut FROM t)"
 
 
-def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = preparation.time_split(_scored(spark, sf), "txn_dt", 0.5, 0.5)
-    return rows.filter("split = 'train'"), rows.filter("split <> 'train'")
+def _split(spark: SparkSession, sf: str) -> DataFrame:
+    return preparation.time_split(_scored(spark, sf), "txn_dt", 0.5, 0.5).withColumn("first_half", F.col("split") == "train")
 
 
 @query(f"""{_SCORED}, {_CUT}, k AS (SELECT CASE WHEN label = 1 THEN 1 - score ELSE score END AS w FROM t, c WHERE epoch_us(txn_dt) < cut),
@@ -396,7 +395,8 @@ q AS (SELECT w AS threshold FROM (SELECT w, row_number() OVER (ORDER BY w) AS r,
 SELECT round(threshold, 6) AS threshold, round(avg((CASE WHEN label = 1 THEN 1 - score ELSE score END <= threshold)::INT), 6) AS coverage,
   round(avg((score <= threshold)::INT + (1 - score <= threshold)::INT), 6) AS mean_set_size FROM t, c, q WHERE epoch_us(txn_dt) >= cut GROUP BY threshold""")
 def conformal_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.conformal(*_halves(spark, sf)).select(r6("threshold"), r6("coverage"), r6("mean_set_size"))
+    rows = _split(spark, sf)
+    return evaluation.conformal(rows.filter("first_half"), rows.filter("NOT first_half")).select(r6("threshold"), r6("coverage"), r6("mean_set_size"))
 
 
 @query(f"""{_SCORED}, k AS (SELECT strftime(txn_dt, '%Y-%m') AS period, {_CONFUSION.format(s='score')} FROM t GROUP BY 1),
@@ -434,14 +434,14 @@ b AS (SELECT {_BIN} AS bin, count(*) FILTER (WHERE epoch_us(txn_dt) < cut) AS x,
 s AS (SELECT greatest(x / sum(x) OVER ()::DOUBLE, 0.0001) AS x, greatest(y / sum(y) OVER ()::DOUBLE, 0.0001) AS y FROM b)
 SELECT round(sum((y - x) * ln(y / x)), 6) AS psi, count(*) AS bins FROM s""")
 def psi(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.psi(*_halves(spark, sf), "score").select(r6("psi"), "bins")
+    return evaluation.psi(_split(spark, sf), F.col("first_half"), "score").select(r6("psi"), "bins")
 
 
 @query(f"""{_SCORED}, {_CUT}, v AS (SELECT score, count(*) FILTER (WHERE epoch_us(txn_dt) < cut) AS x, count(*) FILTER (WHERE epoch_us(txn_dt) >= cut) AS y FROM t, c GROUP BY score),
 s AS (SELECT sum(x) OVER (ORDER BY score) / sum(x) OVER ()::DOUBLE AS x, sum(y) OVER (ORDER BY score) / sum(y) OVER ()::DOUBLE AS y FROM v)
 SELECT round(max(abs(x - y)), 6) AS ks FROM s""")
 def ks_statistic(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.ks(*_halves(spark, sf), "score").select(r6("ks"))
+    return evaluation.ks(_split(spark, sf), F.col("first_half"), "score").select(r6("ks"))
 
 
 _RANGE = "OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN {0} PRECEDING AND 1 PRECEDING)"

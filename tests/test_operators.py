@@ -314,6 +314,33 @@ def test_ranks_with_an_outlier(spark):
     assert below == {v: sum(i % 3 for i in range(k)) for k, v in enumerate(values)}
 
 
+def test_auc_ks_and_psi_equal_brute_force(spark):
+    """Over thousands of values, of which a third are one value and one lies far out."""
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random(6000) < 1 / 3, 0.25, rng.normal(size=6000))
+    x[7] = 1e18
+    y, first = rng.integers(0, 2, 6000), rng.random(6000) < 0.4
+    data = [*zip(x.tolist(), y.tolist(), first.tolist(), strict=True), (None, 1, True), (0.5, None, None)]
+    rows = spark.createDataFrame(data, "x double, y int, first boolean").repartition(3)
+    auc = evaluation.roc_auc(rows, "y", "x").first()
+    ups, downs = x[y == 1], np.sort(x[y == 0])
+    won = (np.searchsorted(downs, ups, "left") + np.searchsorted(downs, ups, "right")).sum() / 2
+    assert (auc.positives, auc.negatives, auc.auc) == (len(ups), len(downs), pytest.approx(won / len(ups) / len(downs)))
+    one, two = np.sort(x[first]), np.sort(np.r_[x[~first], 0.5])
+    at = np.union1d(one, two)
+    far = np.abs(np.searchsorted(one, at, "right") / len(one) - np.searchsorted(two, at, "right") / len(two)).max()
+    assert evaluation.ks(rows, F.col("first"), "x").first().ks == pytest.approx(far)
+    cuts = np.quantile(one, np.arange(1, 10) / 10)
+    shares = [np.maximum(np.bincount(np.searchsorted(cuts, v, "left"), minlength=10) / len(v), 1e-4) for v in (one, two)]
+    here = np.flatnonzero(sum(np.bincount(np.searchsorted(cuts, v, "left"), minlength=10) for v in (one, two)))
+    found = evaluation.psi(rows, F.col("first"), "x").first()
+    e, a = (s[here] for s in shares)
+    assert (found.bins, found.psi) == (len(here), pytest.approx(((a - e) * np.log(a / e)).sum()))
+    none = rows.filter("x > 1e20")
+    assert evaluation.ks(none, F.col("first"), "x").first().ks is None
+    assert evaluation.roc_auc(none, "y", "x").first().auc is None
+
+
 @pytest.mark.parametrize("gathered", [1, 20])
 def test_quantiles_narrow_until_few_values_are_left(spark, monkeypatch, gathered):
     rng = np.random.default_rng(3)
