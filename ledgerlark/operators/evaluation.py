@@ -71,13 +71,6 @@ def calibration_bins(rows: DataFrame, label: str = "label", score: str = "score"
     return per.withColumn("gap", F.col("n") / total * F.abs(F.col("mean_score") - F.col("rate")))
 
 
-def isotonic(rows: DataFrame, label: str = "label", score: str = "score"):
-    """A fitted isotonic model of label on score."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    return IsotonicRegression(featuresCol=score, labelCol=label).fit(rows.select(F.col(score).cast("double"), F.col(label).cast("double")))
-
-
 def conformal(calibration: DataFrame, test: DataFrame, alpha: float = 0.1, label: str = "label", score: str = "score") -> DataFrame:
     """One row: split-conformal threshold from calibration rows, and test coverage and mean set size."""
     wrong = F.when(F.col(label) == 1, 1 - F.col(score)).otherwise(F.col(score))
