@@ -351,3 +351,44 @@ def test_quantiles_narrow_until_few_values_are_left(spark, monkeypatch, gathered
     got = {r["column"]: r.quantiles for r in ranks.quantiles(df, {c: F.col(c) for c in values}, shares).collect()}
     assert got == {c: pytest.approx(list(np.quantile(v.astype(float), shares))) for c, v in values.items()}
     assert ranks.smallest(df, F.col("even"), 1234).first().x == np.sort(values["even"])[1233]
+
+
+# forests
+
+def test_trees_of_values_that_are_neighbours_as_doubles():
+    """Where rounding puts a cut on the greater of two ends, neither child may be empty."""
+    x = np.zeros((40, 2))
+    x[:, 1] = np.where(np.arange(40) < 20, 1.0, np.nextafter(1.0, 2))
+    nodes = models._grow(x, np.stack([np.arange(40)] * 100), np.random.default_rng(1))
+    assert [len(t) for t in models._packed(nodes)["features"]] == [3] * 100
+    assert len(set(models._isolation(x, nodes, 40))) == 1
+
+
+def test_trees_as_bytes_and_rows_by_themselves():
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.random((70, 3)) * 9)
+    nodes = models._grow(x, np.stack([rng.choice(70, 64, replace=False) for _ in range(20)]), rng)
+    packed = models._packed(nodes)
+    assert all((a == b).all() for a, b in zip(models._unpacked(packed[::-1]), nodes, strict=True))
+
+    def walked(row):
+        depth = 0.0
+        for t in packed.itertuples():
+            f, cut, n = np.frombuffer(t.features, np.int8), np.frombuffer(t.cuts), 0
+            while f[n] >= 0:
+                n = 2 * int((f[:n] >= 0).sum()) + 1 + int(row[f[n]] > cut[n])
+            depth += cut[n]
+        return depth / len(packed)
+
+    together = models._path_lengths(x, nodes)
+    assert together.tolist() == [walked(r) for r in x] == [models._path_lengths(x[k : k + 1], nodes)[0] for k in range(len(x))]
+
+
+def test_scores_by_own_forests_with_and_without_busy_users(spark):
+    rows = [(k, str(k), 1 + k % 3 + (k > 130), float(k * 37 % 101), "Deposit", DAY + dt.timedelta(minutes=7 * k), "ab"[k % 7 == 0]) for k in range(200)]
+    features = behaviour.behaviour_features(spark.createDataFrame(rows, S.TRANSACTIONS))
+    shares = spark.createDataFrame([(1, 0.1)], "user_id long, contamination double")
+    wanted = sorted(map(tuple, models.score_forests(features, models.train_forests(features, shares, trees=5)).collect()))
+    for most in (1 << 16, 65, 1):
+        assert sorted(map(tuple, models.own_forest_scores(features, shares, trees=5, most=most).collect())) == wanted
+    assert {r[1] for r in wanted} == {1, 2, 3} and sum(r[4] for r in wanted) > 3
