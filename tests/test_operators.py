@@ -93,6 +93,17 @@ def test_daily_anomalies(spark):
     assert behaviour.new_daily_alerts(found, found).count() == 0
 
 
+def test_days_of_two_or_three_deviations_exactly(spark):
+    """Whatever the order of days: of k days, one of n and the others equal, that one is sqrt(k - 1) deviations away."""
+    cases = {(days, a, b, at): 2 + (days == 10) for days in (5, 10) for a in (1, 2, 3, 7) for b in (6, 11, 13, 29) for at in range(days) if a < b}
+    users = list(cases)
+    rows = [(u, (DAY + dt.timedelta(days=k)).date(), b if k == at else a) for u, (days, a, b, at) in enumerate(users) for k in range(days)]
+    wanted = {u: "Medium" if days == 5 else "High" for u, (days, a, b, at) in enumerate(users) if a * (days - 1) + b >= 10}
+    found = behaviour.daily_anomalies(spark.createDataFrame(rows, "user_id long, day date, n long").repartition(3)).collect()
+    assert {r.user_id: r.severity for r in found} == wanted and len(found) == len(wanted)
+    assert all(r.z == pytest.approx(cases[users[r.user_id]]) for r in found)
+
+
 def test_ensemble_table(spark):
     rows = spark.createDataFrame(
         [(None, None, None, False), (None, 0.4, None, False), (None, 0.5, None, False), (0.6, None, True, False),
