@@ -171,6 +171,39 @@ def test_daily_check_leaves_out_rows_of_closed_days_and_forgets_idle_users():
     assert c.past.value is None and not c.open
 
 
+@pytest.mark.parametrize("size", [1, 3, 30])
+def test_closed_days_of_a_group_of_users(size):
+    rng = random.Random(size)
+    counts = {u: {d: rng.choice([1, 1, 2, 3, 9]) for d in range(30) if rng.random() < 0.8} for u in (7, 8, 2**60 + 1)}
+    c = jobs.ClosedDays()
+    c.init(Handle())
+    found = collections.defaultdict(list)
+    for first in range(0, 30, size):
+        rows = [(u, (DAY + dt.timedelta(days=d)).date(), n) for u, by in counts.items() for d, n in by.items() if first <= d < first + size]
+        rng.shuffle(rows)
+        frame = pd.DataFrame(rows, columns=["user_id", "day", "n"])
+        if rows:
+            for out in c.handleInputRows((3,), iter([frame[:2], frame[2:]]), None):
+                for r in out.itertuples():
+                    found[r.user_id].append(((r.day - DAY.date()).days, r.n, round(r.z, 6), r.severity))
+    assert found == {u: w for u, by in counts.items() if (w := judged(by))} and found
+
+
+def test_closed_days_forget_idle_users_and_begin_them_anew():
+    c = jobs.ClosedDays(idle_days=30)
+    c.init(Handle())
+
+    def users(*rows):
+        frame = pd.DataFrame([(u, (DAY + dt.timedelta(days=d)).date(), n) for u, d, n in rows], columns=["user_id", "day", "n"])
+        list(c.handleInputRows((3,), iter([frame]), None))
+        held = c.past.value[0]
+        return {held[k]: held[k + 2] for k in range(0, len(held), 5)}
+
+    assert users((1, 0, 12), (2, 0, 5), (2, 25, 1)) == {1: 12, 2: 6}
+    assert users((2, 31, 1)) == {2: 7}
+    assert users((2, 70, 3), (1, 70, 4)) == {1: 4, 2: 3}
+
+
 # registry
 
 @pytest.fixture(scope="module")
