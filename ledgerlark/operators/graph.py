@@ -66,8 +66,9 @@ def propagated(edges: DataFrame, seeds: DataFrame, folder: str, rounds: int = 3,
     In each round a device has the mean of its accounts' risk, and an account keeps 1 - share of its own seed, 0
     where there is none, and takes share of the mean of its devices. An account without a device keeps what it has.
     """
-    distinct = edges.filter("account IS NOT NULL AND device IS NOT NULL").select("account", "device").distinct()
-    accounts = edges.filter("account IS NOT NULL").select("account").distinct()
+    # the rounds read the edges again and again
+    kept = written(edges.filter("account IS NOT NULL").select("account", "device").distinct(), f"{folder}/edges")
+    distinct, accounts = kept.filter("device IS NOT NULL"), kept.select("account").distinct()
     known = seeds.groupBy("account").agg(F.max("fraud").cast("double").alias("seed"))
     start = written(accounts.join(known, "account", "left").select("account", F.coalesce("seed", F.lit(0.0)).alias("seed")), f"{folder}/seeds")
     risk = start.select("account", F.col("seed").alias("risk"))
