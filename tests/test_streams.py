@@ -117,6 +117,30 @@ def test_profiles_equal_a_walk_over_rows(mode, seed):
     assert got == walked(batches, mode)
 
 
+@pytest.mark.parametrize("mode", ["training", "scoring"])
+@pytest.mark.parametrize("seed", range(4))
+def test_profiles_of_a_group_equal_a_walk_over_each_users_rows(mode, seed):
+    rng = random.Random(seed)
+    start = int(DAY.replace(tzinfo=dt.UTC).timestamp()) * 1_000_000
+    ids = itertools.count()
+    batches = [
+        [(rng.choice([7, -2, 2**60 + 1, 9]), next(ids), rng.choice([None, -3.0, 2.5, 40.0, rng.random()]), start + rng.randint(0, 50) * 1_000_000, rng.choice([None, "", "a", "b"])) for _ in range(rng.randint(1, 40))]
+        for _ in range(6)
+    ]
+    p = jobs.Profile(mode)
+    p.init(Handle())
+    got = {}
+    for batch in batches:
+        frame = pd.DataFrame([(e, str(e), u, a, "Deposit", pd.Timestamp(t, unit="us"), d) for u, e, a, t, d in batch], columns=["event_id", "transaction_id", "user_id", "amount", "tx_type", "timestamp", "device_id"])
+        for out in p.handleInputRows((3,), iter([frame.astype({"amount": float})]), None):
+            for r in out.itertuples():
+                got[r.event_id] = (r.delta_prev_seconds, round(r.rolling_mean_10, 9), r.rolling_count_10, r.device_change, r.prior_count, None if np.isnan(r.prior_max) else r.prior_max, r.late)
+    wanted = {}
+    for user in (7, -2, 2**60 + 1, 9):
+        wanted |= walked([[r[1:] for r in batch if r[0] == user] for batch in batches], mode)
+    assert got == wanted
+
+
 # daily check
 
 def judged(counts):
