@@ -403,3 +403,20 @@ def test_scores_by_own_forests_with_and_without_busy_users(spark):
     for most in (1 << 16, 65, 1):
         assert sorted(map(tuple, models.own_forest_scores(features, shares, trees=5, most=most).collect())) == wanted
     assert {r[1] for r in wanted} == {1, 2, 3} and sum(r[4] for r in wanted) > 3
+
+
+def test_the_population_model_walks_over_bins_and_cuts_between_all_few_values(spark):
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 97 != 0, (F.col("id") % 1999).cast("double")).alias("x"),
+        F.when(F.col("id") % 1000 == 0, 7.0).otherwise((F.col("id") % 3).cast("double")).alias("few"),
+        ((F.col("id") % 1999 >= 1900) | (F.col("id") % 1000 == 0)).cast("int").alias("y"),
+    )
+    model = models.train_population(rows, ["x", "few"], "y", rounds=3)
+    x, few = model.stages[0].getSplitsArray()
+    assert few == [float("-inf"), 0.5, 1.5, 4.5, float("inf")] and len(x) <= models.BINS + 1
+    # half of the weight is the frauds', so half of the cuts lie among them
+    assert sum(c >= 1900 for c in x[1:-1]) >= models.BINS // 3
+    scored = models.score_population(rows, model, ["x", "few"])
+    assert scored.columns == ["x", "few", "y", "population"]
+    means = dict(scored.groupBy("y").agg(F.avg("population")).collect())
+    assert means[0] < 0.4 < 0.6 < means[1] and scored.filter("population IS NULL").isEmpty()
