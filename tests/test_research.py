@@ -192,3 +192,32 @@ def test_robust_distances_equal_brute_force(spark):
         middle = statistics.median(past)
         spread = statistics.median(abs(x - middle) for x in past) or 1.0
         assert got[k][0].z == pytest.approx(abs(amount - middle) / spread, abs=2e-6)
+
+
+def test_robust_distances_of_users_whose_rows_lie_over_several_batches(spark):
+    rng, rows = np.random.default_rng(3), []
+    start = dt.datetime(2024, 1, 1)
+    for e in range(400):
+        user = [None, 1, 2, 2**60 + 1][int(rng.integers(4))]
+        rows.append((e, str(e), user, start + dt.timedelta(minutes=int(rng.integers(300))), None if rng.random() < 0.2 else float(rng.integers(50)), float(rng.random())))
+    features = spark.createDataFrame(rows, "event_id long, transaction_id string, user_id long, timestamp timestamp, amount double, ratio double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = behaviour.robust_reasons(features, ["amount", "ratio"], top=2, last=20)
+        # medians are array work over rows in order, where each row and feature had collected its window
+        assert "collect_list" not in found._jdf.queryExecution().toString()
+        got = {r.event_id: {x.feature: x.z for x in r.reasons} for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(rows)
+    for user in (None, 1, 2, 2**60 + 1):
+        own = sorted((r for r in rows if r[2] == user), key=lambda r: (r[3], r[0]))
+        for k, r in enumerate(own):
+            for name, at in (("amount", 4), ("ratio", 5)):
+                past = [x[at] for x in own[max(0, k - 20) : k] if x[at] is not None]
+                wanted = 0.0
+                if past and r[at] is not None:
+                    middle = np.median(past)
+                    wanted = abs(r[at] - middle) / (np.median(np.abs(np.array(past) - middle)) or 1.0)
+                assert got[r[0]][name] == pytest.approx(wanted, abs=2e-6)
