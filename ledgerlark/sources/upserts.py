@@ -74,18 +74,22 @@ class UpsertTable:
         if found["horizon"] is not None and horizon < dt.datetime.fromisoformat(found["horizon"]):
             raise ValueError(f"the table is folded until {found['horizon']} already")
         state, changes = max(self.states(), default=0) + 1, self._changes(found)
-        touched = {str(r[0]) for r in changes.select("bucket").distinct().collect()}
+        touched = set(found["recent"]).union(*[self._written("changes", batch) for batch in found["pending"]])
         mine = F.col("bucket").isin([int(b) for b in touched])
         current = self._folded(self._current(found).filter(mine), changes, horizon)
         _by_bucket(current, f"{self.folder}/current/{state}")
         _by_bucket(changes.filter(self._time() > F.lit(horizon)), f"{self.folder}/recent/{state}")
         for kind in ("current", "recent"):
-            written = {n.split("=")[1] for n in files.names(self.spark, f"{self.folder}/{kind}/{state}") if n.startswith("bucket=")}
+            written = self._written(kind, state)
             kept = {b: v for b, v in found[kind].items() if b not in touched}
             found[kind] = kept | dict.fromkeys(sorted(written), state)
         self._commit(found | {"pending": [], "folded": max([found["folded"], *found["pending"]]), "horizon": horizon.isoformat()})
         return len(touched)
 
+    def _written(self, kind: str, version: int) -> set[str]:
+        """The buckets that rows were written of."""
+        return {n.split("=")[1] for n in files.names(self.spark, f"{self.folder}/{kind}/{version}") if n.startswith("bucket=")}
+
     def _time(self) -> Column:
         return F.col(self.order[0])
 
@@ -97,9 +101,8 @@ class UpsertTable:
         schema = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
         parts = [self._parts("recent", found["recent"], schema)]
         for batch in found["pending"]:
-            at = f"{self.folder}/changes/{batch}"
-            if any(n.startswith("bucket=") for n in files.names(self.spark, at)):
-                parts.append(self.spark.read.schema(schema).parquet(at))
+            if self._written("changes", batch):
+                parts.append(self.spark.read.schema(schema).parquet(f"{self.folder}/changes/{batch}"))
         return reduce(DataFrame.unionByName, parts)
 
     def _parts(self, kind: str, versions: dict, schema: T.StructType) -> DataFrame:
@@ -113,12 +116,13 @@ class UpsertTable:
         names = [n for n in self.schema.names if n != self.key]
         rank = F.struct(*[F.col(c) for c in self.order])
         until = changes if as_of is None else changes.filter(self._time() <= F.lit(as_of))
-        new = until.groupBy("bucket", self.key).agg(F.max_by(F.struct(*names), rank).alias("_new"), F.count(F.lit(1)).alias("_n"))
-        both = current.join(new, ["bucket", self.key], "left")
-        later = F.col("_new").isNotNull() & (F.struct(*[F.col(f"_new.{c}") for c in self.order]) > rank)
-        kept = both.select(
+        # where the order names all columns its greatest value is the last change
+        last = F.max_by(F.struct(*names), rank) if set(names) - set(self.order) else F.max(rank)
+        new = until.groupBy("bucket", self.key).agg(last.alias("_new"), F.count(F.lit(1)).alias("_n"))
+        # one join for changed, unchanged and new keys, so that changes are read and grouped once
+        both = current.join(new, ["bucket", self.key], "full")
+        later = F.col("_new").isNotNull() & (F.col("n").isNull() | (F.struct(*[F.col(f"_new.{c}") for c in self.order]) > rank))
+        return both.select(
             self.key, *[F.when(later, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in names],
-            (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), "bucket",
+            (F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("n"), "bucket",
         )
-        unseen = new.join(current.select("bucket", self.key), ["bucket", self.key], "left_anti")
-        return kept.unionByName(unseen.select(self.key, *[F.col(f"_new.{c}").alias(c) for c in names], F.col("_n").alias("n"), "bucket"))

@@ -433,3 +433,15 @@ def test_admission_at_the_time(spark):
         4: (2, False, "Medium", "pending alerts"), 5: (2, True, "Medium", "frozen"), 6: (2, False, "Medium", "pending alerts"),
         7: (2, False, "Medium", "pending alerts"), 9: (0, False, None, None),
     }
+
+
+def test_changes_are_grouped_once_for_known_and_new_keys(spark, tmp_path):
+    schema = spark.createDataFrame([], "k long, at timestamp, seq long").schema
+    table = UpsertTable(spark, f"{tmp_path}/table", schema, "k", ["at", "seq"], buckets=2)
+    at = lambda d: DAY.replace(tzinfo=None) + dt.timedelta(days=d)
+    table.apply(spark.createDataFrame([(1, at(0), 1), (2, at(0), 1), (3, at(0), 2)], schema), 0)
+    assert table.compact(at(1)) == len({n for n in (tmp_path / "table" / "changes" / "0").iterdir() if n.name.startswith("bucket=")})
+    table.apply(spark.createDataFrame([(1, at(2), None), (2, at(-1), 9), (4, at(2), 1), (4, at(2), 3)], schema), 1)
+    rows = table.read()
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    assert sorted(tuple(r)[:4] for r in rows.collect()) == [(1, at(2), None, 2), (2, at(0), 1, 2), (3, at(0), 2, 1), (4, at(2), 3, 2)]
