@@ -402,10 +402,14 @@ def linked(
     crowded = met.filter("crowded").select(F.col("x").alias("key"), F.col("y").alias("id"))
     few = met.filter("NOT crowded").select(F.col("x").alias("a"), F.col("y").alias("b"))
     ids = met.select(F.explode(F.expr("CASE WHEN crowded THEN array(y) ELSE array(x, y) END")).alias("id")).distinct()
-    known = written(fetch(written(ids, "ids")), "known")
+    ids = written(ids, "ids")
+    known = written(fetch(ids), "known")
+    forget(ids)
     open_ = written(crowded.join(crowded.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id"), "open")
     links = written(verified(look(few.unionByName(with_centres(open_)).distinct()), known, decode, percent), "links")
+    forget(met)
     comp = None if links.isEmpty() else joined_with(None, links)
+    forget(links)
     tagged = open_ if comp is None else open_.join(comp, "id", "left")
     component = F.col("id") if comp is None else F.coalesce("component", "id")
     tagged = written(tagged.select("key", "id", component.alias("component")), "tagged")
