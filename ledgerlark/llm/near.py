@@ -23,15 +23,15 @@ from ledgerlark.llm.common import forget, written
 #: Centres of a crowded key that hashes choose, besides the one that the degree chooses.
 CENTRES = 2
 #: Shingles that are hashed at once.
-BLOCK = 1 << 17
+BLOCK = 1 << 18
 #: Band rows that a task gathers before it sends them, and that a bucket has on average.
 HELD_ROWS, BUCKET_ROWS = 1 << 20, 1 << 20
 #: Members up to which a key gives all its pairs; with more, anywhere, it counts as crowded.
 FEW = 8
 #: Counters of shingles, which order them from rare to frequent, and longs of a set's parity bits.
 COUNTERS, PARITY = 1 << 18, 4
-#: Shingles before it that a shingle carries, to tell that two sets have met already.
-BEFORE = 6
+#: Members up to which a shingle's pairs are looked at within one task, and members to a bucket of shingles on average.
+LISTED, MEMBERS = 1 << 12, 1 << 9
 #: Longs of the bitmap of ids that thins out texts before they are shuffled.
 BITMAP = 1 << 17
 
@@ -246,6 +246,40 @@ def with_centres(members: DataFrame) -> DataFrame:
     return found.filter("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
+def parities(x: np.ndarray) -> np.ndarray:
+    """PARITY longs that tell of 64 * PARITY classes of shingles whether the set has an odd number of them."""
+    bits = np.bincount((mix(x) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) % 2
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def close(rows: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (a, b) of rows that hold a shingle in common and may be similar, across components.
+
+    Rows, in order of shingles, are longs by columns: shingle, id, component, place in the set, size of it and parities.
+    """
+    token, ids, comp, place, n = rows[:5]
+    parity = np.ascontiguousarray(rows[5:].T).view(np.uint64)
+    begins = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, int)
+    size = np.diff(np.r_[begins, len(token)])
+    after = np.repeat(begins + size, size) - np.arange(len(token)) - 1  # rows of the shingle that follow
+    found = [np.zeros((0, 2), np.int64)]
+    away, at = 1, np.flatnonzero(after)
+    while len(at):
+        x = at[comp[at] != comp[at + away]]
+        both = n[x] + n[x + away]
+        least = -(-percent * both // (100 + percent))  # the overlap that will do
+        x_left, y_left = n[x] - place[x], n[x + away] - place[x + away]
+        fits = np.minimum(x_left, y_left) >= least
+        x, both, least = x[fits], both[fits], least[fits]
+        differ = np.bitwise_count(parity[x] ^ parity[x + away]).sum(1, dtype=np.int64)
+        x = x[differ <= both - 2 * least]
+        if len(x):
+            found.append(np.stack((np.minimum(ids[x], ids[x + away]), np.maximum(ids[x], ids[x + away])), 1))
+        away += 1
+        at = at[after[at] >= away]
+    return np.concatenate(found)
+
+
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sets, sorted, have percent of their union in common."""
     if len(x) > len(y):
@@ -288,14 +322,14 @@ def _spans(batches: Iterator[pa.RecordBatch], decode: Decode) -> Iterator[tuple[
             yield from zip(ids[start : start + 256], comps[start : start + 256], decode(data[start : start + 256]), strict=True)
 
 
-def joined(members: DataFrame, decode: Decode, percent: int) -> DataFrame:
+def joined(members: DataFrame, decode: Decode, percent: int, listed: int = LISTED) -> DataFrame:
     """Pairs (a, b) of members (id, component, data) of different components, with none left out whose similarity is percent.
 
     Two such sets, in any one order of shingles, have a common one among the first n - ceil(n *
     percent / 100) + 1 of each. The rarest come first, so that copies of a text, edited too
     much to be similar, don't meet at what all of them hold. What meets is ruled out by length, by
-    what is left from the first common place on, and by parities of hashed shingles, of which no more
-    differ than shingles do. Where shingles shortly before are common too the pair has met there.
+    what is left from the common place on, and by parities of hashed shingles, of which no more
+    differ than shingles do. Shingles meet by bucket, as runs of longs; those of more than `listed` members are joined by Spark.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,60 +343,69 @@ def joined(members: DataFrame, decode: Decode, percent: int) -> DataFrame:
     often = np.zeros(COUNTERS, np.int64)
     often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
     held = members.sparkSession.sparkContext.broadcast(often)
-    names = ["token", "id", "component", "n", "at", *[f"p{k}" for k in range(PARITY)]]
+    names = ["token", "id", "component", "at", "n", *[f"p{k}" for k in range(PARITY)]]
+    buckets = max(64, members.count() // MEMBERS)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = held.value
-        columns: list[list[np.ndarray]] = [[] for _ in [*names, "before", "sizes"]]
-        size = 0
 
-        def batch() -> pa.RecordBatch:
-            *plain, before, sizes = (np.concatenate(v) for v in columns)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(before, pa.int64()))
-            return pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in plain), lists], names=[*names, "before"])
+        def flush(rows: np.ndarray) -> pa.RecordBatch:
+            bucket = (mix(rows[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[:, order], bucket[order]
+            at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            runs = [rows[:, i:j].tobytes() for i, j in zip(at, [*at[1:], len(bucket)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(runs, pa.binary())], names=["bucket", "rows"])
 
+        parts: list[np.ndarray] = []
+        size = 0
         for i, c, x in _spans(batches, decode):
             n = len(x)
             seen = frequency[x % np.uint64(COUNTERS)]
-            order = np.lexsort((x, seen))
-            x, seen = x[order], seen[order]
-            first = n - -(-n * percent // 100) + 1
+            order = np.lexsort((x, seen))[: n - -(-n * percent // 100) + 1]
             # what no other member holds can't be met
-            places = np.flatnonzero(seen[:first] > 1)
+            places = np.flatnonzero(seen[order] > 1)
             if not len(places):
                 continue
-            bits = np.bincount((mix(x) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) % 2
-            parity = np.packbits(bits.astype(np.uint8)).view(np.int64)
-            m = len(places)
-            tokens = x[places].view(np.int64)
-            sizes = np.minimum(np.arange(m), BEFORE)
-            before = np.repeat(np.arange(m) - sizes, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            row = [tokens, np.full(m, i), np.full(m, c), np.full(m, n), places, *(np.full(m, b) for b in parity), tokens[before], sizes]
-            for k, v in enumerate(row):
-                columns[k].append(v)
-            size += m
+            row = np.empty((len(names), len(places)), np.int64)
+            row[0], row[1], row[2], row[3], row[4] = x[order[places]].view(np.int64), i, c, places, n
+            row[5:] = parities(x)[:, None]
+            parts.append(row)
+            size += len(places)
             if size >= BLOCK:
-                yield batch()
-                columns, size = [[] for _ in [*names, "before", "sizes"]], 0
+                yield flush(np.concatenate(parts, 1))
+                parts, size = [], 0
         if size:
-            yield batch()
-
-    rows = written(members.mapInArrow(prefixes, ", ".join(f"{x} long" for x in names) + ", before array<long>"), "prefixes")
-    # of a token, the smaller components against all it has
-    sizes = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("l"), F.count(F.lit(1)).alias("several")).filter("several > 1")
-    minor = written(rows.join(largest.select("token", "l"), "token").filter("component <> l.component").drop("l"), "minor")
-    other = rows.select("token", *[F.col(x).alias(f"{x}2") for x in [*names[1:], "before"]])
-    both = f"(({percent} * (n + n2) + {99 + percent}) DIV {100 + percent})"  # the least overlap that will do
-    differ = " + ".join(f"bit_count(p{k} ^ p{k}2)" for k in range(PARITY))
-    met = minor.join(
-        other,
-        (minor["token"] == other["token"])
-        & F.expr(f"component <> component2 AND least(n - at, n2 - at2) >= {both} AND least(n, n2) >= {both} AND {differ} <= n + n2 - 2 * {both} AND NOT arrays_overlap(before, before2)"),
-    )
-    found = written(met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "pairs")
-    forget(rows)
-    forget(minor)
+            yield flush(np.concatenate(parts, 1))
+
+    def meet(runs: pd.DataFrame) -> pd.DataFrame:
+        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(len(names), -1) for x in runs["rows"]], 1)
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        begins = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
+        size = np.diff(np.r_[begins, rows.shape[1]])
+        several = np.minimum.reduceat(rows[2], begins) != np.maximum.reduceat(rows[2], begins)
+        busy = rows[:, np.repeat(several & (size > listed), size)]
+        pairs = close(rows[:, np.repeat(several & (size <= listed), size)], percent)
+        found = pd.DataFrame(pairs, columns=["a", "b"]).drop_duplicates()
+        out = pd.DataFrame(busy.T, columns=names).assign(listed=False, a=0, b=0)
+        return pd.concat([out, found.assign(listed=True, **dict.fromkeys(names, 0))])[["listed", "a", "b", *names]]
+
+    runs = members.mapInArrow(prefixes, "bucket long, rows binary")
+    met = runs.groupBy("bucket").applyInPandas(meet, "listed boolean, " + ", ".join(f"{x} long" for x in ["a", "b", *names]))
+    met = written(met, "shared")
+    pairs, rows = met.filter("listed").select("a", "b"), met.filter("NOT listed").select(*names)
+    if not rows.isEmpty():
+        # of a token, the smaller components against all it has
+        sizes = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
+        largest = sizes.groupBy("token").agg(F.max(F.struct("size", "component")).alias("l"))
+        minor = rows.join(largest, "token").filter("component <> l.component").drop("l")
+        other = rows.select("token", *[F.col(x).alias(f"{x}2") for x in names[1:]])
+        both = f"(({percent} * (n + n2) + {99 + percent}) DIV {100 + percent})"  # the least overlap that will do
+        differ = " + ".join(f"bit_count(p{k} ^ p{k}2)" for k in range(PARITY))
+        busy = minor.join(other, "token").filter(f"component <> component2 AND least(n - at, n2 - at2) >= {both} AND {differ} <= n + n2 - 2 * {both}")
+        pairs = pairs.unionByName(busy.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")))
+    found = written(pairs.distinct(), "pairs")
+    forget(met)
     held.destroy()
     return found
 
@@ -417,10 +460,11 @@ def linked(
     split = tagged.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y")
     left = tagged.join(split.select("key"), "key").select("id", "component").distinct().join(known, "id")
     members = written(left.select("id", "component", "data"), "members")
+    forget(tagged)
     if not members.isEmpty():
         links = written(verified(joined(members, decode, percent), known, decode, percent), "links")
         if not links.isEmpty():
             comp = joined_with(comp, links)
-    forget(tagged)
+        forget(links)
     forget(members)
     return comp, known

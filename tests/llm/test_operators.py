@@ -255,6 +255,34 @@ def test_edited_copies_equal_brute_force(spark):
     assert got == set(np.flatnonzero(first != np.arange(len(texts))).tolist())
 
 
+def test_places_of_lines_are_sent_in_runs(spark):
+    """A line costs no row of its own: there is one for each document and one for each bucket that a task has lines of."""
+    texts = ["\n".join(f"line {k} of {d}, or not" for k in range(2000)) + "\nshared\nshared" for d in range(3)]
+    scan = near_lines.scanned(docs(spark, texts).coalesce(1), 16).collect()
+    assert len(scan) <= 3 + 16
+    rows = sorted((r.doc_id, r.n_lines, list(r.removed)) for r in scan if r.bucket is None)
+    assert rows == [(0, 2002, [2001]), (1, 2002, [2000, 2001]), (2, 2002, [2000, 2001])]
+    assert sum(len(r.lines) for r in scan if r.lines) == 8 * len(near_lines._FIRST) * (6000 + 1)
+
+
+@pytest.mark.parametrize("listed", [near.LISTED, 1])
+def test_pairs_by_bucket_and_by_join_equal_brute_force(spark, listed):
+    """Sets that share a shingle meet in runs of longs; those of busy shingles are joined."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for k in range(12):
+        base = rng.integers(1 << 60, size=40, dtype=np.uint64)
+        for edits in (0, 1, 2, 4, 6, 9):
+            x = base.copy()
+            x[rng.choice(40, edits, replace=False)] = rng.integers(1 << 60, size=edits, dtype=np.uint64)
+            sets.append(np.unique(x))
+    frame = spark.createDataFrame([(i, i // 2, bytearray(x.tobytes())) for i, x in enumerate(sets)], "id long, component long, data binary")
+    read = lambda data: [np.frombuffer(x, np.uint64) for x in data]
+    found = {(r.a, r.b) for r in near.joined(frame.repartition(3), read, 80, listed).collect()}
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if i // 2 != j // 2 and near.alike(sets[i], sets[j], 80)}
+    assert alike and alike <= found and len(found) < 3 * len(alike)
+
+
 # decontamination
 
 def test_decontamination_edges(spark):
