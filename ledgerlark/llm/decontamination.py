@@ -182,7 +182,42 @@ def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _matches(documents: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
+_FINISHED = (
+    "doc_id long, t1 long, t2 long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
+    "longest_match long, spans array<long>"
+)
+
+
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _SCHEMA as rows of _FINISHED."""
+    digest = pa.schema(
+        [
+            ("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
+            ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest_match", pa.int64()), ("spans", pa.list_(pa.int64())),
+        ]
+    )
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            flat = row["spans"]
+            spans = join_spans(list(zip(flat[0::2], flat[1::2], strict=True)))
+            hit = sum(b - a for a, b in spans)
+            out.append(
+                {
+                    "doc_id": row["doc_id"], "t1": row["t1"], "t2": row["t2"], "n_words": row["n_words"], "n_hit": hit, "n_items": len(row["items"]),
+                    "items_sha256": hashlib.sha256(",".join(sorted(x[1:] for x in row["items"] if x)).encode()).hexdigest(),
+                    "contaminated": hit > 0 and 20 * hit >= row["n_words"],
+                    "longest_match": row["longest"], "spans": [x for s in spans for x in s],
+                }
+            )
+        yield pa.RecordBatch.from_pylist(out, digest)
+
+
+def _matches(documents: DataFrame, items: list[tuple[str, bytes]], window: int, whole: bool = False) -> DataFrame:
+    """The matches of each row with items; whole: as finished rows, where no other block adds to them.
+
+    Rows are finished in the same call, since a second one would hold another Python worker for each task.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(items)
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64()]
     names = ["doc_id", "t1", "t2", "n_words", "spans", "items", "longest"]
@@ -197,10 +232,11 @@ def _matches(documents: DataFrame, items: list[tuple[str, bytes]], window: int)
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(list(v), k) for v, k in zip(got, kinds, strict=True))], names=names)
 
     text = F.coalesce("text", F.lit(""))
-    return documents.select(
+    rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"),
         F.encode(text, "UTF-8").alias("text"),
-    ).mapInArrow(run, _SCHEMA)
+    )
+    return rows.mapInArrow(lambda batches: _finished(run(batches)), _FINISHED) if whole else rows.mapInArrow(run, _SCHEMA)
 
 
 def contamination(
@@ -223,57 +259,28 @@ def contamination(
     size = tests.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size * 5 // (4 * block_bytes)) if size > block_bytes else 1)
     if blocks == 1:
-        found = _matches(documents, [(r[0], bytes(r[1])) for r in tests.collect()], window)
-    else:
-        # one pass over the documents for each block; places are then gathered by row, or for all
-        # rows of equal doc_id and text at once, since they have the same
-        rows = documents.select("doc_id", "text")
-        one: DataFrame | None = None
-        for k in range(blocks):
-            part = tests.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-            got = _matches(rows, [(r[0], bytes(r[1])) for r in part.collect()], window)
-            one = got if one is None else one.unionByName(got)
-        found = (
-            one.groupBy("doc_id", "t1", "t2")
-            .agg(
-                F.max("n_words").alias("n_words"),
-                (F.count(F.lit(1)) / blocks).cast("int").alias("copies"),
-                F.flatten(F.collect_set("spans")).alias("spans"),
-                F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-                F.max("longest").alias("longest"),
-            )
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-            .drop("copies", "copy")
+        return _matches(documents, [(r[0], bytes(r[1])) for r in tests.collect()], window, whole=True)
+    # one pass over the documents for each block; places are then gathered by row, or for all
+    # rows of equal doc_id and text at once, since they have the same
+    rows = documents.select("doc_id", "text")
+    one: DataFrame | None = None
+    for k in range(blocks):
+        part = tests.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
+        got = _matches(rows, [(r[0], bytes(r[1])) for r in part.collect()], window)
+        one = got if one is None else one.unionByName(got)
+    found = (
+        one.groupBy("doc_id", "t1", "t2")
+        .agg(
+            F.max("n_words").alias("n_words"),
+            (F.count(F.lit(1)) / blocks).cast("int").alias("copies"),
+            F.flatten(F.collect_set("spans")).alias("spans"),
+            F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+            F.max("longest").alias("longest"),
         )
-    digest = pa.schema(
-        [
-            ("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
-            ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest_match", pa.int64()), ("spans", pa.list_(pa.int64())),
-        ]
-    )
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                flat = row["spans"]
-                spans = join_spans(list(zip(flat[0::2], flat[1::2], strict=True)))
-                hit = sum(b - a for a, b in spans)
-                out.append(
-                    {
-                        "doc_id": row["doc_id"], "t1": row["t1"], "t2": row["t2"], "n_words": row["n_words"], "n_hit": hit, "n_items": len(row["items"]),
-                        "items_sha256": hashlib.sha256(",".join(sorted(x[1:] for x in row["items"] if x)).encode()).hexdigest(),
-                        "contaminated": hit > 0 and 20 * hit >= row["n_words"],
-                        "longest_match": row["longest"], "spans": [x for s in spans for x in s],
-                    }
-                )
-            yield pa.RecordBatch.from_pylist(out, digest)
-
-    return found.select("doc_id", "t1", "t2", "n_words", "spans", "items", "longest").mapInArrow(
-        finish,
-        "doc_id long, t1 long, t2 long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-        "longest_match long, spans array<long>",
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+        .drop("copies", "copy")
     )
+    return found.select("doc_id", "t1", "t2", "n_words", "spans", "items", "longest").mapInArrow(_finished, _FINISHED)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -127,16 +127,18 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, id) in order, and how many ids each one's key has."""
-    order = np.argsort(keys)
-    keys, ids = keys[order], ids[order]
+def _distinct(keys: np.ndarray, ids: np.ndarray, in_order: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, id) in order, and how many ids each one's key has; in_order: keys are, and ids may be overwritten."""
+    if not in_order:
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
     if len(keys):
         same = keys[1:] == keys[:-1]
         at = np.flatnonzero(np.r_[same, False] | np.r_[False, same])  # only these need an order of ids
         ids[at] = ids[at[np.lexsort((ids[at], keys[at]))]]
         new = np.r_[True, ~same | (ids[1:] != ids[:-1])]
-        keys, ids = keys[new], ids[new]
+        if not new.all():
+            keys, ids = keys[new], ids[new]
     begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
     n = np.diff(np.r_[begins, len(keys)])
     return keys, ids, np.repeat(n, n)
@@ -145,6 +147,14 @@ def _distinct(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _ROUTED = "bucket long, keys binary, ids binary, crowded binary"
 
 
+def _bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of buckets each of some longs belongs to."""
+    found = np.empty(len(x), np.int64)
+    for at in range(0, len(x), BLOCK):
+        found[at : at + BLOCK] = mix(x[at : at + BLOCK].view(np.uint64)) % np.uint64(buckets)
+    return found
+
+
 def route(parts: Iterable[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
     """Band keys and ids, given in parts (ids, keys by bands), as runs of longs for each bucket of keys.
 
@@ -153,41 +163,50 @@ def route(parts: Iterable[tuple[np.ndarray, np.ndarray]], buckets: int) -> Itera
     meeting place so gets at most FEW rows for each HELD_ROWS of all.
     """
 
-    def flush(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        keys, ids, n = _distinct(keys, ids)
+    def flush(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, ids = np.concatenate([k.ravel() for _, k in parts]), np.concatenate([np.repeat(i, k.shape[1]) for i, k in parts])
+        parts.clear()  # a worker holds these rows for each task, so that no array stays beyond its use
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        del order
+        keys, ids, n = _distinct(keys, ids, in_order=True)
         hot = n > FEW
+        del n
         sign = hot & np.r_[True, keys[1:] != keys[:-1]]
-        bucket = (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        spread = -1 - (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        bucket = _bucket_of(keys, buckets)
         told, told_at = keys[sign], bucket[sign]
-        keys, ids = np.r_[keys, told], np.r_[ids, ids[sign]]
-        bucket = np.r_[np.where(hot, spread, bucket), told_at]
+        bucket[hot] = -1 - _bucket_of(ids[hot], buckets)
+        if len(told):
+            keys, ids, bucket = np.r_[keys, told], np.r_[ids, ids[sign]], np.r_[bucket, told_at]
+        del hot, sign
         order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
-        keys, ids, bucket = keys[order], ids[order], bucket[order]
+        bucket = bucket[order]
+        keys = keys[order]
+        ids = ids[order]
+        del order
         told_order = np.argsort(told_at, kind="stable")
         told, told_at = told[told_order], told_at[told_order]
         at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         spans = list(zip(at, [*at[1:], len(bucket)], strict=True))
-        low, high = (np.searchsorted(told_at, bucket[at], side) for side in ("left", "right"))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(bucket[at], pa.int64()), pa.array([keys[i:j].tobytes() for i, j in spans], pa.binary()),
-                pa.array([ids[i:j].tobytes() for i, j in spans], pa.binary()),
-                pa.array([told[i:j].tobytes() for i, j in zip(low, high, strict=True)], pa.binary()),
-            ],
-            names=["bucket", "keys", "ids", "crowded"],
-        )
+        named = bucket[at]
+        del bucket
+        low, high = (np.searchsorted(told_at, named, side) for side in ("left", "right"))
+        runs = []
+        for rows in (keys, ids):
+            runs.append(pa.array([rows[i:j].tobytes() for i, j in spans], pa.binary()))
+        tells = pa.array([told[i:j].tobytes() for i, j in zip(low, high, strict=True)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(named, pa.int64()), *runs, tells], names=["bucket", "keys", "ids", "crowded"])
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for ids, keys in parts:
-        held.append((keys.ravel(), np.repeat(ids, keys.shape[1])))
+        held.append((ids, keys))
         size += keys.size
         if size >= HELD_ROWS:
-            yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            held, size = [], 0
+            yield flush(held)
+            size = 0
     if size:
-        yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield flush(held)
 
 
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:

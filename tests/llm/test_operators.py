@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -211,6 +212,17 @@ def test_pipeline_keeps_documents_that_differ_in_a_word(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1]
 
 
+def test_routing_holds_little_more_than_its_rows():
+    rng = np.random.default_rng(5)
+    rows = 4096
+    parts = ((rng.integers(0, 1 << 40, rows), rng.integers(-1 << 62, 1 << 62, (rows, 16))) for _ in range(near.HELD_ROWS // (16 * rows)))
+    tracemalloc.start()
+    sent = sum(b.num_rows for b in near.route(parts, 64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent == 64 and peak < 4 * 16 * near.HELD_ROWS
+
+
 # lines
 
 def test_lines_equal_brute_force(spark):
@@ -303,6 +315,12 @@ def test_decontamination_edges(spark):
     assert decontamination.contamination(docs(spark, texts), tests.limit(0)).filter("contaminated").count() == 0
 
 
+def test_contamination_asks_python_once_for_a_task(spark):
+    tests = spark.createDataFrame([("a", lorem(20, 1))], "item_id string, text string")
+    for found in (decontamination.contamination(docs(spark, EDGES), tests), decontamination.decontaminate(docs(spark, EDGES), tests)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_contaminated_rows_without_ids_take_no_others_along(spark):
     item = lorem(14, 9)
     tests = spark.createDataFrame([("1", item), ("2", lorem(14, 10))], "item_id string, text string")
