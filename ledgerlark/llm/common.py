@@ -18,6 +18,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Bytes of rows that Python workers get at once; texts are long, so rows are no measure.
 ARROW_BYTES = 4 << 20
+#: Bytes of a row group of long rows, as written.
+GROUP_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -41,13 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, long_rows: bool = False) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends there,
-    and a lost executor costs no recomputation of what came before."""
+    and a lost executor costs no recomputation of what came before.
+
+    Parquet looks at its buffers every 100 rows, and Spark reads up to 4,096 rows of a row group at once. long_rows is for rows of
+    megabytes: buffers are looked at row by row, so that a task holds a small row group and not its whole file.
+    """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    del df
+    out = df.write.option("compression", "zstd")
+    if long_rows:
+        out = out.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", 1)
+    out.parquet(path)
+    del df, out
     release(spark)
     out = spark.read.schema(schema).parquet(path)
     out._written_path = path

@@ -175,7 +175,7 @@ def _repeated(pairs: DataFrame, name: str) -> DataFrame:
             F.collect_list(F.expr(f"CASE WHEN total <= {OFTEN} THEN key END")).alias("keys"),
             F.collect_list(F.expr(f"CASE WHEN total > {OFTEN} THEN key END")).alias("often"),
         ),
-        name,
+        name, long_rows=True,
     )
     forget(pairs)
     return got
@@ -540,15 +540,15 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     other; a null doc_id stays null. Suffixes are compared as bytes; 64-bit hashes only choose
     anchors. An empty table gives an empty result.
     """
-    chunks = written(chunks_of(documents), "chunks")
+    chunks = written(chunks_of(documents), "chunks", long_rows=True)
     named = _repeated(chunks.select("chunk", "sizes", "data").mapInArrow(name_anchors, _PAIRS), "anchors")
     total = named.agg(F.sum(F.size("keys") + F.size("often"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_ANCHORS))
     runs = written(
         chunks.join(named, "chunk").select("chunk", "sizes", "data", "keys", "often").mapInArrow(_runs(buckets), "bucket int, chunk long, run binary, n long"),
-        "runs",
-    )
-    merged = written(runs.filter("bucket >= 0").groupBy("bucket").applyInPandas(_merger(buckets), "chunk long, found array<int>"), "merged")
+        "runs", long_rows=True,
+    )
+    merged = written(runs.filter("bucket >= 0").groupBy("bucket").applyInPandas(_merger(buckets), "chunk long, found array<int>"), "merged", long_rows=True)
     # one chunk's replies are a row, so that texts are joined with them once
     found = merged.groupBy("chunk").agg(F.collect_list("found").alias("found"))
     replies = found.join(runs.filter("bucket = -1").select("chunk", F.col("run").alias("places"), "n"), "chunk")

@@ -9,11 +9,12 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import (
-    decontamination, licenses, near, near_documents, near_lines, packing, pages, quality, repeats, sharding, toxicity,
+    common, decontamination, licenses, near, near_documents, near_lines, packing, pages, quality, repeats, sharding, toxicity,
 )
 
 #: Columns whose names the operators use inside.
@@ -119,6 +120,20 @@ def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_chunks_lie_in_small_row_groups(spark, monkeypatch, tmp_path):
+    texts = [f"{lorem(2000, i)} {lorem(2000, 100 + i // 2)}" for i in range(40)]
+    monkeypatch.setattr(common, "GROUP_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(repeats, "chunks_of", lambda documents, made=repeats.chunks_of: made(documents.coalesce(1), 1 << 14))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
+    for name in ("chunks", "runs"):
+        files = [pq.ParquetFile(f).metadata for f in tmp_path.glob(f"{name}-*/*.parquet")]
+        # a row that is longer has a group of its own
+        groups = [f.row_group(k) for f in files for k in range(f.num_row_groups)]
+        assert groups and all(g.num_rows == 1 or g.total_byte_size < 1 << 18 for g in groups), name
+
+
 def test_front_coding_and_merge():
     runs = [sorted(hashlib.md5(f"{r}{k % 7}".encode()).digest()[: k % 5 + 1] * 3 for k in range(40)) for r in range(5)]
     blobs = [repeats.front_code([(e, s, b"before", e % 2 == 0) for e, s in enumerate(run)]) for run in runs]
