@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -405,6 +406,25 @@ def test_scores_by_own_forests_with_and_without_busy_users(spark):
     assert {r[1] for r in wanted} == {1, 2, 3} and sum(r[4] for r in wanted) > 3
 
 
+def test_forests_of_many_users_come_from_few_calls(spark):
+    """A call of Python for each user costs far more than the user's rows; together trees are what they are alone."""
+    rng = np.random.default_rng(3)
+    x, sizes = np.floor(rng.random((150, 3)) * 9), [1, 40, 30, 79]
+    samples = [a + np.stack([rng.choice(n, min(n, 32), replace=False) for _ in range(4)]) for a, n in zip(np.cumsum([0, *sizes]), sizes)]
+    together = models._packed(models._grow_all(x, samples, [np.random.default_rng(k) for k in range(4)]))
+    alone = [models._packed(models._grow(x, s, np.random.default_rng(k))) for k, s in enumerate(samples)]
+    assert together[["features", "cuts"]].values.tolist() == [r for a in alone for r in a[["features", "cuts"]].values.tolist()]
+    features = behaviour.behaviour_features(txns(spark, [(k, 1 + k % 3, float(k), k, "a") for k in range(100)]))
+    forests = models.train_forests(features, trees=2)
+    for found in (forests, models.score_forests(features, forests), models.own_forest_scores(features, trees=2)):
+        assert "InPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_forests_cut_batches_at_users():
+    batches = [pa.RecordBatch.from_pydict({"user_id": pa.array(u, pa.int64())}) for u in ([1, 1, 2], [], [2, 2], [2], [3], [3, 4, 4, 5], [6])]
+    assert [b.column(0).to_pylist() for b in models._whole(iter(batches))] == [[1, 1], [2, 2, 2, 2], [3, 3, 4, 4], [5], [6]]
+
+
 def test_the_population_model_walks_over_bins_and_cuts_between_all_few_values(spark):
     rows = spark.range(4000).select(
         F.when(F.col("id") % 97 != 0, (F.col("id") % 1999).cast("double")).alias("x"),
